@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, near_dedup, sharding, top_k
+from . import decontamination, language_id, near_dedup, secrets, sharding, top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
+    "op2_decontamination": decontamination.op2_decontamination,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_sharding": sharding.op4_sharding,
     "op5_top_k": top_k.op5_top_k,
+    "op7_secrets": secrets.op7_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {
