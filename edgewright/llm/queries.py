@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, near_dedup, secrets, sharding, top_k
+from . import decontamination, language_id, near_dedup, packing, secrets, sharding, top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": sharding.op4_sharding,
     "op5_top_k": top_k.op5_top_k,
     "op7_secrets": secrets.op7_secrets,
+    "op8_packing": packing.op8_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
