@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, near_dedup, packing, secrets, sharding, top_k
+from . import decontamination, language_id, near_dedup, packing, secrets, sharding, substring_dedup, top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
@@ -16,9 +16,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_top_k": top_k.op5_top_k,
     "op7_secrets": secrets.op7_secrets,
     "op8_packing": packing.op8_packing,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_sharding": sharding.ORACLE,
     "op5_top_k": top_k.ORACLE,
+    "op10_substring_dedup": substring_dedup.ORACLE,
 }
