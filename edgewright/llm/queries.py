@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, near_dedup, packing, secrets, sharding, substring_dedup, top_k
+from . import decontamination, language_id, lm_scoring, near_dedup, packing, secrets, sharding, substring_dedup, suffix_dedup, top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
@@ -14,8 +14,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_sharding": sharding.op4_sharding,
     "op5_top_k": top_k.op5_top_k,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_secrets": secrets.op7_secrets,
     "op8_packing": packing.op8_packing,
+    "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 

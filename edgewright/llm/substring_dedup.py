@@ -13,7 +13,6 @@ are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa

@@ -42,6 +42,8 @@ class Units:
     hashes: Callable[[list[bytes] | bytes], np.ndarray]
     join: bytes
     hot: int = 10_000
+    #: Of units and places among them: what a suffix that starts there is ordered by.
+    lead: Callable[[list[bytes] | bytes, np.ndarray], np.ndarray] | None = None
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:
@@ -87,8 +89,8 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(units: np.ndarray, ends: np.ndarray, u: Units) -> tuple[np.ndarray, ...]:
-    """Runs of windows that share a minimiser: first window, how many, minimiser, and whether the
-    minimiser occurs twice in the run. ``ends`` are where texts end among the units."""
+    """Runs of windows that share a minimiser: first window, how many, minimiser, whether it occurs
+    twice in the run, and where it first does. ``ends`` are where texts end among the units."""
     out: list[tuple[np.ndarray, ...]] = []
     for a in range(0, len(units) - u.size + 1, CHUNK):
         part = units[a : a + CHUNK + u.size - 1]
@@ -109,10 +111,12 @@ def runs(units: np.ndarray, ends: np.ndarray, u: Units) -> tuple[np.ndarray, ...
         within = np.arange(len(inside)) - np.repeat(begin, np.diff([*begin, len(inside)]))
         begin = np.flatnonzero(within % (CUT * u.size) == 0)
         n = np.diff([*begin, len(inside)])
-        out.append((inside[begin] + a, n, key[begin].astype(np.int64), np.logical_or.reduceat(twice, begin)))
+        i = inside[begin]
+        place = i + (((first[i] & _POSITION).astype(np.int64) - i) & 0xFFFF)
+        out.append((i + a, n, key[begin].astype(np.int64), np.logical_or.reduceat(twice, begin), place + a))
     if not out:
         none = np.zeros(0, np.int64)
-        return none, none, none, none.astype(bool)
+        return none, none, none, none.astype(bool), none
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -124,8 +128,9 @@ def identified(docs: DataFrame) -> DataFrame:
     return docs.select(doc_id.alias("doc_id"), text.cast("binary").alias("text"), F.coalesce(doc_id, low).alias("id"), F.xxhash64(text).alias("text_hash"))
 
 
-def _chunks(texts: list[bytes], u: Units) -> Iterator[tuple[int, list, np.ndarray, np.ndarray]]:
-    """Texts in groups of about CHUNK units: the first one's place, their units, hashes and ends."""
+def _chunks(texts: list[bytes], u: Units) -> Iterator[tuple[int, list, list | bytes, np.ndarray, np.ndarray]]:
+    """Texts in groups of about CHUNK units: the first one's place, each one's units, then all units,
+    their hashes and where texts end among them."""
     held, size, first = [], 0, 0
     for i, text in enumerate(texts):
         held.append(u.split(text))
@@ -133,23 +138,26 @@ def _chunks(texts: list[bytes], u: Units) -> Iterator[tuple[int, list, np.ndarra
         if size >= CHUNK or i == len(texts) - 1:
             ends = np.cumsum([len(x) for x in held])
             flat = b"".join(held) if isinstance(held[0], bytes) else [w for x in held for w in x]
-            yield first, held, u.hashes(flat), ends
+            yield first, held, flat, u.hashes(flat), ends
             held, size, first = [], 0, i + 1
 
 
 def minimisers(base: DataFrame, u: Units) -> DataFrame:
-    """(key, id, text_hash) for every run of windows, twice where its minimiser is in it twice."""
+    """(key, id, text_hash) for every run of windows, twice where its minimiser is in it twice; also
+    the lead of the suffix that starts at the minimiser, if units have leads."""
+    leads = ["lead"] if u.lead else []
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hashes = (np.asarray(batch.column(c)) for c in (1, 2))
-            for first, _, units, ends in _chunks(batch.column(0).to_pylist(), u):
-                start, _, key, twice = runs(units, ends, u)
+            for first, _, flat, units, ends in _chunks(batch.column(0).to_pylist(), u):
+                start, _, key, twice, place = runs(units, ends, u)
                 row = first + np.searchsorted(ends, start, "right")
                 again = np.repeat(np.arange(len(key)), 1 + twice)
-                yield pa.RecordBatch.from_arrays([pa.array(key[again]), pa.array(ids[row[again]]), pa.array(hashes[row[again]])], ["key", *_WHO])
+                more = [pa.array(u.lead(flat, place)[again])] if u.lead else []
+                yield pa.RecordBatch.from_arrays([pa.array(key[again]), pa.array(ids[row[again]]), pa.array(hashes[row[again]]), *more], ["key", *_WHO, *leads])
 
-    return base.select("text", *_WHO).mapInArrow(run, "key long, id long, text_hash long")
+    return base.select("text", *_WHO).mapInArrow(run, ", ".join(f"{c} long" for c in ("key", *_WHO, *leads)))
 
 
 def repeated_keys(keys: DataFrame) -> DataFrame:
@@ -209,8 +217,8 @@ def _strings(found: DataFrame, u: Units, hot: bool) -> DataFrame:
         for batch in batches:
             wanted = batch.column(3)
             ids, hashes = (np.asarray(batch.column(c)) for c in (1, 2))
-            for first, held, units, ends in _chunks(batch.column(0).to_pylist(), u):
-                start, n, key, _ = runs(units, ends, u)
+            for first, held, _, units, ends in _chunks(batch.column(0).to_pylist(), u):
+                start, n, key, _, _ = runs(units, ends, u)
                 row = np.searchsorted(ends, start, "right")
                 begin = start - (ends[row] - np.array([len(x) for x in held])[row])
                 keep = np.zeros(len(key), bool)
