@@ -13,6 +13,11 @@ distances to some reference differ by more than ``most`` can't link and is disca
 verified bit by bit. Only a spanning forest of the links leaves a task, so large groups of near
 copies stay linear. Components follow by minimum labels with pointer jumping, cut by checkpoint().
 
+One fingerprint of 3-word shingles within 2 bits finds few near copies of 0.8 similarity, so the
+pipeline asks ``keep_one`` for more: a family of fingerprints over different words, each with seeds
+of its own, linked within one bit through the same buckets and pivot tables; a pair also has to
+agree in its sketch, least hashes of 5-word shingles, as pairs of 0.8 similarity do.
+
 Defined results: a null or empty text has no shingles and fingerprint zero, linked like any other;
 a text with fewer words than a shingle takes the whole sequence; repeated rows and copies share a
 component; an empty table gives an empty result; other columns are ignored. A null ``doc_id`` keeps
@@ -27,7 +32,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -36,6 +41,9 @@ WORDS, MOST_BITS, BLOCKS, REFERENCES = 3, 2, 6, 24
 SEED = 42
 #: Shingles whose bits are unpacked at once.
 CHUNK = 1 << 16
+#: What the pipeline asks for: fingerprints of a family, blocks of each, least hashes of SHINGLE words
+#: in a sketch, and how many of them pairs of 0.8 similarity share but for one in twenty.
+FAMILY, FAMILY_BLOCKS, SHINGLE, SKETCH, AGREEING = 16, 3, 5, 32, 22
 #: Nodes from here on stand for fingerprints whose rows all lack an id.
 _NO_DOC = 1 << 62
 
@@ -86,7 +94,7 @@ def pivot_table(fps: np.ndarray, references: int = REFERENCES) -> np.ndarray:
     return np.bitwise_count(fps[:, None] ^ refs[None, :]).astype(np.int8)
 
 
-def linked(fps: np.ndarray, keys: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def linked(fps: np.ndarray, keys: np.ndarray, most: int, sketches: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Positions of linked pairs among fingerprints sorted by bucket; a bucket's key is in ``keys``.
 
     Pairs are tried by their distance in the sorted order, until no bucket is that large."""
@@ -99,6 +107,8 @@ def linked(fps: np.ndarray, keys: np.ndarray, most: int) -> tuple[np.ndarray, np
             i = same[a : a + CHUNK]
             i = i[np.abs(pivots[i] - pivots[i + lag]).max(axis=1) <= most]
             i = i[np.bitwise_count(fps[i] ^ fps[i + lag]) <= most]
+            if sketches is not None:
+                i = i[(sketches[i] == sketches[i + lag]).sum(axis=1) >= AGREEING]
             left.append(i)
             right.append(i + lag)
         lag += 1
@@ -128,14 +138,14 @@ class Forest:
         return [x for x, _ in found], [r for _, r in found]
 
 
-def links(representatives: DataFrame, most: int = MOST_BITS, blocks: int = BLOCKS) -> DataFrame:
-    """A spanning forest (a, b) of the links between the ``node`` of rows (node, fp), fp distinct."""
-    buckets = representatives.select("node", "fp", F.explode(F.array(*[F.struct(F.lit(k).cast("byte").alias("pick"), F.col("fp").bitwiseAND(F.lit(m)).alias("kept")) for k, m in enumerate(block_masks(most, blocks))])).alias("bucket")).select("bucket.pick", "bucket.kept", "fp", "node")
+def _spanning(buckets: DataFrame, most: int) -> DataFrame:
+    """A spanning forest (a, b) of the links between the nodes of rows (pick, kept, fp, node, sketch
+    or null), where a pick and what is kept name a bucket."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, held = Forest(), None
 
-        def link(rows: np.ndarray) -> None:
+        def link(rows: np.ndarray, sketches: np.ndarray | None) -> None:
             keys = rows[:, :2]
             same = (keys[1:] == keys[:-1]).all(axis=1)
             shared = np.zeros(len(rows), bool)
@@ -143,27 +153,45 @@ def links(representatives: DataFrame, most: int = MOST_BITS, blocks: int = BLOCK
             shared[:-1] |= same
             rows = rows[shared]
             if len(rows):
-                i, j = linked(rows[:, 2].view(np.uint64), rows[:, :2], most)
+                i, j = linked(np.ascontiguousarray(rows[:, 2]).view(np.uint64), rows[:, :2], most, None if sketches is None else sketches[shared])
                 for a, b in zip(rows[i, 3].tolist(), rows[j, 3].tolist(), strict=True):
                     forest.unite(a, b)
 
+        def cut(rows: np.ndarray, sketches: np.ndarray | None, a: int, b: int) -> tuple[np.ndarray, np.ndarray | None]:
+            return rows[a:b], None if sketches is None else sketches[a:b]
+
         for batch in batches:
-            rows = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in range(4)], axis=1)
-            rows = rows if held is None else np.concatenate([held, rows])
-            if not len(rows):
+            if not len(batch):
                 continue
+            rows = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in range(4)], axis=1)
+            sketches = None
+            if not batch.column(4).null_count:
+                sketches = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(len(rows), -1)
+            if held is not None:
+                rows = np.concatenate([held[0], rows])
+                sketches = None if sketches is None else np.concatenate([held[1], sketches])
             last = np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(axis=1))
-            cut = last[-1] + 1 if len(last) else 0  # the last bucket may go on in the next batch
-            link(np.ascontiguousarray(rows[:cut]))
-            held = np.ascontiguousarray(rows[cut:])
+            end = last[-1] + 1 if len(last) else 0  # the last bucket may go on in the next batch
+            link(*cut(rows, sketches, 0, end))
+            held = cut(rows, sketches, end, len(rows))
         if held is not None:
-            link(held)
+            link(*held)
         a, b = forest.edges()
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return buckets.repartition("pick", "kept").sortWithinPartitions("pick", "kept").mapInArrow(run, "a long, b long")
 
 
+def _buckets(fp: Column, masks: list[int], first: int = 0) -> list[Column]:
+    return [F.struct(F.lit(first + k).cast("short").alias("pick"), fp.bitwiseAND(F.lit(m)).alias("kept"), fp.alias("fp")) for k, m in enumerate(masks)]
+
+
+def links(representatives: DataFrame, most: int = MOST_BITS, blocks: int = BLOCKS) -> DataFrame:
+    """A spanning forest (a, b) of the links between the ``node`` of rows (node, fp), fp distinct."""
+    rows = representatives.select("node", F.explode(F.array(*_buckets(F.col("fp"), block_masks(most, blocks)))).alias("b"))
+    return _spanning(rows.select("b.pick", "b.kept", "b.fp", "node", F.lit(None).cast("binary").alias("sketch")), most)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of every node of the edges (a, b): the least node that it reaches."""
     edges = edges.union(edges.select("b", "a")).distinct().checkpoint()
@@ -189,6 +217,62 @@ def near_dedup(docs: DataFrame, words: int = WORDS, most: int = MOST_BITS) -> Da
     return of_doc.join(placed, "fp").select("doc_id", hexed, F.when(F.col("component_id") < _NO_DOC, F.col("component_id")).alias("component_id"))
 
 
+def _mixed(h: np.ndarray, multiplier: int) -> np.ndarray:
+    """Another hash of each hash."""
+    h = (h ^ h >> np.uint64(31)) * np.uint64(multiplier)
+    return h ^ h >> np.uint64(29)
+
+
+_FAMILY = [xxhash.xxh64_intdigest(b"family %d" % i, SEED) | 1 for i in range(max(FAMILY, SKETCH))]
+
+
+def family_of(tokens: list[bytes]) -> tuple[list[int], bytes]:
+    """The family's fingerprints over a text's different words, and the sketch of its shingles."""
+    words = np.frombuffer(b"".join(map(xxhash.xxh64_digest, set(tokens), repeat(SEED))), np.uint64)
+    fps = [0] * FAMILY
+    for k in range(FAMILY if len(words) else 0):
+        ones = np.zeros(64, np.int64)
+        for a in range(0, len(words), CHUNK):
+            ones += np.unpackbits(_mixed(words[a : a + CHUNK], _FAMILY[k]).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        fps[k] = _signed(int.from_bytes(np.packbits(ones * 2 > len(words)).tobytes(), "big"))
+    least = np.full(SKETCH, (1 << 64) - 1, np.uint64)
+    n = max(1, len(tokens) - SHINGLE + 1)
+    for a in range(0, n, CHUNK):
+        part = tokens[a : a + CHUNK + SHINGLE - 1]
+        shingles = map(b" ".join, zip(*(part[i:] for i in range(SHINGLE)), strict=False)) if len(tokens) >= SHINGLE else [b" ".join(tokens)]
+        h = np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles, repeat(SEED))), np.uint64)
+        for k in range(SKETCH):
+            least[k] = min(least[k], _mixed(h, _FAMILY[k]).min())
+    return fps, (_mixed(least, _FAMILY[0]) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` from each group of near copies, with all its columns: that of the least id.
+
+    Rows that share an id count as one row; rows without an id can't be told apart, and all stay."""
+    schema = "doc_id long, same binary, fps array<long>, sketch binary"
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in common.rows_of(batches):
+            tokens = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
+            found = [family_of(w) for w in tokens]
+            same = [xxhash.xxh3_128_digest(b" ".join(w)) for w in tokens]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(same, pa.binary()), pa.array([f for f, _ in found], pa.list_(pa.int64())), pa.array([s for _, s in found], pa.binary())], ["doc_id", "same", "fps", "sketch"])
+
+    read = common.id_and_text(docs.filter(F.col("doc_id").isNotNull())).withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = common.written(read.mapInArrow(run, schema), "family")
+    reps = rows.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("fps").alias("fps"), F.first("sketch").alias("sketch"))
+    reps = common.written(reps.drop("same"), "representatives")
+    masks = block_masks(1, FAMILY_BLOCKS)
+    every = [b for k in range(FAMILY) for b in _buckets(F.col("fps")[k], masks, k * len(masks))]
+    buckets = reps.select("node", "sketch", F.explode(F.array(*every)).alias("b")).select("b.pick", "b.kept", "b.fp", "node", "sketch")
+    label = components(common.written(_spanning(buckets, 1), "links"))
+    first = F.coalesce("component", "node") == F.col("node")
+    kept = common.written(reps.join(label, "node", "left").filter(first).select(F.col("node").alias("kept_id")).distinct(), "kept")
+    named = docs.join(kept, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    return named.union(docs.filter(F.col("doc_id").isNull()))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and component."""
     return near_dedup(common.table(spark, sf_dir, "documents"))
