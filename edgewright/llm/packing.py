@@ -19,6 +19,7 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -26,7 +27,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -36,35 +36,62 @@ from . import common
 TOKENIZER, END = "word_bpe_49k.json", 1
 LENGTH, WIDTH = 2048, 16
 #: Pieces of a rank bucket, on average; words that a worker remembers; documents split at a time.
-BUCKET, REMEMBERED, DOCUMENTS = 4096, 600_000, 128
+BUCKET, REMEMBERED, DOCUMENTS = 4096, 1_200_000, 128
 #: The program stops within a sequence, or this share, of a lower bound, or after so many steps;
 #: its patterns cover the histogram after any number of them.
 GAP, STEPS = 5e-4, 2_000
 
-#: How the tokenizer of TOKENIZER splits a text into words (a fixed value).
-_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Texts with other characters, or with a special token's text, go through the tokenizer as a whole.
-_OTHER = regex.compile(r"[^\x00-\x1b\x20-\x7e\xa1-įı-ɏ]|<\|")
+#: White space on which the tokenizer and ``str.split`` may differ: such texts go through it whole.
+_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028-\u202f\u205f\u3000\ufeff]")
+#: What ends the last token of a word in the vocabulary (a fixed value of TOKENIZER).
+_WORD_END = "</w>"
+#: A plain word and what may follow it: two to the tokenizer, and each the same wherever it stands.
+_PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,;:!?]*)")
 
 
 class Encoder:
-    """Token ids of texts, as bytes; a word's ids are asked for once."""
+    """Token ids of texts, as bytes; a word between spaces is asked for once, unless forgotten."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(_WORD_END)]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words: list[str]) -> None:
+        """Plain words go through the tokenizer together, and are told apart by the ends of words."""
+        known, parts, other = self.known, {}, []
+        for w in words:
+            if m := _PLAIN.fullmatch(w.lower()):
+                parts[w] = m.groups()
+            else:
+                other.append(w)
+        plain = list({p for pair in parts.values() for p in pair if p and p not in known})
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) == len(plain):
+            data, a = ids.tobytes(), 0
+            for w, b in zip(plain, (4 * stops).tolist(), strict=True):
+                known[w] = data[a:b]
+                a = b
+            for w, (letters, mark) in parts.items():
+                known[w] = known[letters] + known[mark] if mark else known[letters]
+        else:
+            other = words
+        if other:
+            known.update(zip(other, self._ids(other), strict=True))
+
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         for a in range(0, len(texts), DOCUMENTS):
             some = [t or "" for t in texts[a : a + DOCUMENTS]]
-            words = [None if _OTHER.search(t) else _WORDS.findall(t.lower()) for t in some]
+            words = [None if _OTHER_SPACE.search(t) else t.split() for t in some]
             if len(self.known) > REMEMBERED:
                 self.known.clear()
             if new := list(set().union(*(w for w in words if w)) - self.known.keys()):
-                self.known.update(zip(new, self._ids(new), strict=True))
+                self._learn(new)
             for t, w in zip(some, words, strict=True):
                 yield self._ids([t])[0] if w is None else b"".join(map(self.known.__getitem__, w))
 
