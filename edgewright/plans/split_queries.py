@@ -108,7 +108,7 @@ e AS (SELECT regime, count(*) AS n FROM (SELECT regime, node FROM all_ends GROUP
 g AS (SELECT regime, count(*) AS n FROM (SELECT regime, 'g' || right(node, 2) AS grp FROM all_ends GROUP BY ALL HAVING count(DISTINCT side) = 2) GROUP BY regime),
 tr AS (SELECT DISTINCT regime, node FROM all_ends WHERE side = 'train'),
 s AS (SELECT r.regime, (x.node IS NOT NULL)::INT + (y.node IS NOT NULL)::INT AS seen FROM regimes r LEFT JOIN tr x ON x.regime = r.regime AND x.node = a LEFT JOIN tr y ON y.regime = r.regime AND y.node = b WHERE side = 'test'),
-c AS (SELECT regime, count(*) FILTER (seen = 0) AS tests_0_seen, count(*) FILTER (seen = 1) AS tests_1_seen, count(*) FILTER (seen = 2) AS tests_2_seen FROM s GROUP BY regime)
+c AS (SELECT r.regime, count(*) FILTER (seen = 0) AS tests_0_seen, count(*) FILTER (seen = 1) AS tests_1_seen, count(*) FILTER (seen = 2) AS tests_2_seen FROM (SELECT DISTINCT regime FROM regimes) r LEFT JOIN s USING (regime) GROUP BY r.regime)
 SELECT r.regime, coalesce(p.n, 0) AS shared_pairs, coalesce(e.n, 0) AS shared_entities, coalesce(g.n, 0) AS shared_groups, tests_0_seen, tests_1_seen, tests_2_seen,
   coalesce(p.n, 0) = 0 AND CASE r.regime WHEN 'R1' THEN tests_0_seen + tests_1_seen = 0 WHEN 'R2' THEN tests_0_seen + tests_2_seen = 0 ELSE coalesce(e.n, 0) = 0 END AS passed
 FROM (SELECT DISTINCT regime FROM regimes) r LEFT JOIN p USING (regime) LEFT JOIN e USING (regime) LEFT JOIN g USING (regime) LEFT JOIN c USING (regime)""")
