@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 ALPHABET = "ACDEFGHIKLMNPQRSTVWY"
 ATTRIBUTES = {
     "hydrophobicity": ("RKEDQN", "GASTPHY", "CLVIMFW"),
-    "volume": ("GASTPDC", "NVEQIL", "MHKFRYW"),
+    "normalized_vdw_volume": ("GASTPDC", "NVEQIL", "MHKFRYW"),
     "polarity": ("LIFWCMVY", "PATGS", "HQRKNED"),
-    "polarizability": ("GASDT", "CPNVEQIL", "KMHFRYW"),
     "charge": ("KR", "ANCQGHILMFPSTWYV", "DE"),
     "secondary_structure": ("EALMQKRH", "VIYCWFT", "GNPSD"),
-    "solvent_accessibility": ("ALFCGIVW", "RKQEND", "MPSTHY"),
+    "solvent_accessibility": ("ALFCGIVW", "RKQEND", "MSPTHY"),
+    "polarizability": ("GASDT", "CPNVEQIL", "KMHFRYW"),
 }
 DIGITS = 6
 
@@ -99,3 +99,20 @@ def letter_histogram(df: DataFrame) -> DataFrame:
 def capped(seq: Column, cap: int = 1022, terminal: str = "N") -> Column:
     """The first (N) or last (C) ``cap`` letters."""
     return F.substring(seq, 1, cap) if terminal == "N" else F.right(seq, F.lit(cap))
+
+
+def feature_names() -> list[str]:
+    """All features in order: letters, then each attribute's composition, transition and distribution."""
+    names = list(ALPHABET)
+    for a in ATTRIBUTES:
+        names += [f"{a}_C{d}" for d in "123"] + [f"{a}_T{p}" for p in ("12", "13", "23")]
+        names += [f"{a}_D{d}_{q}" for d in "123" for q in ("000", "025", "050", "075", "100")]
+    return names
+
+
+def feature_vectors(df: DataFrame) -> DataFrame:
+    """(entity, v): the 167 features of each entity as one array, in the order of their names."""
+    long = composition(df).union(ctd_composition(df)).union(ctd_transition(df)).union(ctd_distribution(df))
+    by_name = long.groupBy("entity_id").agg(F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("m"))
+    names = F.array(*[F.lit(n) for n in feature_names()])
+    return by_name.select(F.col("entity_id").alias("entity"), F.transform(names, lambda n: F.col("m")[n]).alias("v"))

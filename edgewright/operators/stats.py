@@ -43,11 +43,13 @@ def entity_statistics(entities: DataFrame, degree: DataFrame) -> DataFrame:
     """entity_id, length, positive degree (0 where no pair names it), and the deciles of both.
 
     Length deciles lie between quantiles of the lengths; degree deciles between those of ranks, ties
-    in order of the id."""
+    in order of the id, or of its hash if it is no number."""
     joined = entities.join(degree.select(F.col("node").alias("entity_id"), F.col("pos_degree").alias("degree")), "entity_id", "left").na.fill(0, ["degree"])
     edges = quantile_edges(joined, "length")
     placed = joined.join(F.broadcast(edges)).withColumn("length_decile", edge_bin("length")).drop("edges")
-    return ranked(placed, "degree", "entity_id").withColumn("degree_decile", rank_decile()).select("entity_id", "length", "degree", "length_decile", "degree_decile")
+    number = dict(placed.dtypes)["entity_id"] in ("int", "bigint", "smallint")
+    placed = placed.withColumn("tie", F.col("entity_id") if number else F.xxhash64("entity_id"))
+    return ranked(placed, "degree", "tie").withColumn("degree_decile", rank_decile()).select("entity_id", "length", "degree", "length_decile", "degree_decile")
 
 
 def occurrences(pairs: DataFrame, values: DataFrame) -> DataFrame:

@@ -163,6 +163,24 @@ def test_sequence_features(spark):
         assert len(rows) == 4 * n and all(0 <= r["value"] <= 1 for r in rows)
 
 
+def test_feature_vectors(spark):
+    df = spark.createDataFrame([(1, "MKTAYIAKQR"), (2, "A")], "entity_id long, seq string")
+    v = {r["entity"]: r["v"] for r in sequence.feature_vectors(df).collect()}
+    assert len(sequence.feature_names()) == 167 and all(len(x) == 167 and None not in x for x in v.values())
+    assert v[1][:3] == [0.2, 0.0, 0.0] and v[2][0] == 1.0
+
+
+def test_command_line(spark, tmp_path):
+    from edgewright.__main__ import main
+
+    (tmp_path / "e.tsv").write_text("P1\tMKT\nP2\tACD\nP3\tACD\n")
+    (tmp_path / "p.tsv").write_text("P1\tP2\t1\nP2\tP1\t1\nP3\tP1\t0\n")
+    main(["validate", "--entities", str(tmp_path / "e.tsv"), "--pairs", str(tmp_path / "p.tsv"), "--out", str(tmp_path / "o")], spark)
+    audit_row = spark.read.json(str(tmp_path / "o" / "audit")).first()
+    assert (audit_row["canonical_pairs"], audit_row["reversed_duplicates"], audit_row["n_shared"]) == (2, 1, 1)
+    assert spark.read.parquet(str(tmp_path / "o" / "canonical_pairs")).count() == 2
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "e.fasta").write_text(">P1 first\nMKT\nAYI\n>P2\nacd\n\n")
     assert {tuple(r) for r in files.read_entities(spark, str(tmp_path / "e.fasta")).collect()} == {("P1", "MKTAYI"), ("P2", "ACD")}
@@ -187,7 +205,7 @@ def test_sinks(spark, tmp_path):
 
 
 def test_stream_equals_batch(spark, data, tmp_path):
-    events = spark.read.parquet(f"{data}/events.parquet")
+    events = spark.read.parquet(f"{data}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     source = tmp_path / "events"
     events.write.parquet(str(source))
     live = stream.windowed_counts(spark.readStream.schema(events.schema).parquet(str(source)))
