@@ -147,3 +147,27 @@ def welch(x: tuple[Column, Column, Column], y: tuple[Column, Column, Column]) ->
     (ex, vx, gx), (ey, vy, gy) = x, y
     both = vx + vy
     return {"difference": ex - ey, "se": F.sqrt(both), "df": F.try_divide(both * both, vx * vx / (gx - 1) + vy * vy / (gy - 1))}
+
+
+def paired_difference(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(replicate, roc_auc) with the difference of two scores' areas in the same replicates."""
+    x, y = first.select("replicate", F.col("roc_auc").alias("x")), second.select("replicate", F.col("roc_auc").alias("y"))
+    return x.join(y, "replicate").select("replicate", F.round(F.col("x") - F.col("y"), DIGITS).alias("roc_auc"))
+
+
+def mean_differences(values: DataFrame, replicates: int, seed: int = SEED) -> DataFrame:
+    """(replicate, difference) of the means of side 1 and side 0 of (side, key, x), either side drawn
+    with replacement: each row is taken a Poisson number of times, drawn for itself.
+
+    A row needs no other row for its draws, so sides of any size are drawn without numbering them."""
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("side").cast("string"), F.col("key").cast("string"), F.col("replicate").cast("string"))), 1, 12), 16, 10).cast("double") / float(1 << 48)
+    cumulative, term = [], math.exp(-1)
+    total = 0.0
+    for k in range(12):
+        total += term
+        cumulative.append(round(total, 12))
+        term /= k + 1
+    times = sum((F.when(u >= c, 1).otherwise(0) for c in cumulative), F.lit(0))
+    drawn = values.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("times", times)
+    mean = lambda side: F.try_divide(F.sum(F.when(F.col("side") == side, F.col("times") * F.col("x"))), F.sum(F.when(F.col("side") == side, F.col("times"))))
+    return drawn.groupBy("replicate").agg(F.round(mean(1) - mean(0), DIGITS).alias("difference"))
