@@ -101,6 +101,24 @@ def capped(seq: Column, cap: int = 1022, terminal: str = "N") -> Column:
     return F.substring(seq, 1, cap) if terminal == "N" else F.right(seq, F.lit(cap))
 
 
+# Hydropathy of Kyte and Doolittle, average masses of free amino acids, and of water.
+HYDROPATHY = {"A": 1.8, "C": 2.5, "D": -3.5, "E": -3.5, "F": 2.8, "G": -0.4, "H": -3.2, "I": 4.5, "K": -3.9, "L": 3.8, "M": 1.9, "N": -3.5, "P": -1.6, "Q": -3.5, "R": -4.5, "S": -0.8, "T": -0.7, "V": 4.2, "W": -0.9, "Y": -1.3}
+MASS = {"A": 89.0932, "C": 121.1582, "D": 133.1027, "E": 147.1293, "F": 165.1891, "G": 75.0666, "H": 155.1546, "I": 131.1729, "K": 146.1876, "L": 131.1729, "M": 149.2113, "N": 132.1179, "P": 115.1305, "Q": 146.1445, "R": 174.201, "S": 105.0926, "T": 119.1192, "V": 117.1463, "W": 204.2252, "Y": 181.1885}
+WATER = 18.0153
+AROMATIC, HELIX, TURN, SHEET = "FWY", "EMALK", "NPGSD", "VIYFWLT"
+
+
+def properties(df: DataFrame) -> DataFrame:
+    """(entity_id, mass, aromaticity, hydropathy, helix, turn, sheet): weighted counts of letters."""
+    clean = df.select("entity_id", cleaned(F.col("seq")).alias("s"))
+    counted = clean.select("entity_id", "s", F.length("s").alias("n"), *[(F.length("s") - F.length(F.translate("s", c, ""))).alias(f"of_{c}") for c in ALPHABET])
+    # whole numbers of the scales' last digit, so that sums are exact in any order
+    weighted = lambda scale, unit: sum((F.col(f"of_{c}").cast("long") * round(scale[c] * unit) for c in ALPHABET), F.lit(0).cast("long"))
+    share = lambda letters: F.round(letter_share(F.col("s"), letters), DIGITS)
+    mass = (weighted(MASS, 10_000) - (F.col("n").cast("long") - 1) * round(WATER * 10_000)) / 10_000
+    return counted.select("entity_id", mass.alias("mass"), share(AROMATIC).alias("aromaticity"), F.round(weighted(HYDROPATHY, 10) / (F.col("n") * 10), DIGITS).alias("hydropathy"), share(HELIX).alias("helix"), share(TURN).alias("turn"), share(SHEET).alias("sheet"))
+
+
 def feature_names() -> list[str]:
     """All features in order: letters, then each attribute's composition, transition and distribution."""
     names = list(ALPHABET)

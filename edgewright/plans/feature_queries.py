@@ -45,6 +45,20 @@ def letter_histogram(spark, sf_dir):
     return sequence.letter_histogram(t.sequences(spark, sf_dir))
 
 
+def _weighted(scale: dict[str, float], unit: int) -> str:
+    return " + ".join(f"(length(s) - length(replace(s, '{c}', ''))) * {round(x * unit)}" for c, x in scale.items())
+
+
+def _share(letters: str) -> str:
+    return f"round((length(s) - length(translate(s, '{letters}', ''))) / length(s), 6)"
+
+
+@query("sequence_properties", f"""WITH {CLEAN} SELECT entity_id, ({_weighted(sequence.MASS, 10_000)} - (length(s) - 1) * {round(sequence.WATER * 10_000)}) / 10000 AS mass, {_share(sequence.AROMATIC)} AS aromaticity,
+  round(({_weighted(sequence.HYDROPATHY, 10)}) / (length(s) * 10), 6) AS hydropathy, {_share(sequence.HELIX)} AS helix, {_share(sequence.TURN)} AS turn, {_share(sequence.SHEET)} AS sheet FROM clean""")
+def sequence_properties(spark, sf_dir):
+    return sequence.properties(t.sequences(spark, sf_dir))
+
+
 PAIRS = "pairs AS (SELECT x.vec_id AS a, y.vec_id AS b, x.embedding::DOUBLE[] AS u, y.embedding::DOUBLE[] AS v FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1)"
 _IN_SQL = {
     "sum": "list_transform(range(1, len(u) + 1), lambda i: u[i] + v[i])",
