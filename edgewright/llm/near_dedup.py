@@ -11,7 +11,7 @@ fingerprints, as only the ignored bits differ in it. In a bucket the pivot table
 fingerprint's Hamming distances to reference fingerprints. By the triangle inequality a pair whose
 distances to some reference differ by more than ``most`` can't link and is discarded; survivors are
 verified bit by bit. Only a spanning forest of the links leaves a task, so large groups of near
-copies stay linear. Components follow by minimum labels with pointer jumping, cut by checkpoint().
+copies stay linear. Components follow by contracting edges to parents, cut by checkpoint().
 
 One fingerprint of 3-word shingles within 2 bits finds few near copies of 0.8 similarity, so the
 pipeline asks ``keep_one`` for more: a family of fingerprints over different words, each with seeds
@@ -193,18 +193,34 @@ def links(representatives: DataFrame, most: int = MOST_BITS, blocks: int = BLOCK
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) of every node of the edges (a, b): the least node that it reaches."""
-    edges = edges.union(edges.select("b", "a")).distinct().checkpoint()
-    label = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("component")).checkpoint()
+    """(node, component) of every node of the edges (a, b): the least node that it reaches.
+
+    A round gives every node the least of its neighbours and itself as its parent, after a jump to
+    that one's own parent, and contracts each edge to the parents of its ends. Edges within a parent
+    go, so tasks that found one group again and again cost one pass over what they sent."""
+    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct().checkpoint()
+    steps: list[DataFrame] = []
     for _ in range(rounds):
-        near = edges.join(label, edges.b == label.node).groupBy("a").agg(F.min("component").alias("least"))
-        lower = label.join(near, label.node == near.a).select("node", F.least("component", "least").alias("next"), F.col("component").alias("was"))
-        via = label.select(F.col("node").alias("via"), F.col("component").alias("further"))
-        lower = lower.join(via, lower.next == via.via).select("node", F.least("next", "further").alias("component"), (F.least("next", "further") < F.col("was")).alias("moved")).checkpoint()
-        label = lower.select("node", "component")
-        if not lower.filter("moved").limit(1).count():
-            return label
-    raise RuntimeError(f"components still move after {rounds} rounds")
+        if not edges.limit(1).count():
+            break
+        near = edges.union(edges.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("first")).checkpoint()
+        second = near.select(F.col("node").alias("first"), F.col("first").alias("parent"))
+        step = near.join(second, "first").select("node", "parent").checkpoint()
+        steps.append(step)
+        of_a, of_b = (step.select(F.col("node").alias(x), F.col("parent").alias(f"p{x}")) for x in ("a", "b"))
+        moved = edges.join(of_a, "a").join(of_b, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+        up = step.select(F.col("parent").alias("a")).distinct().join(of_a, "a").select("a", F.col("pa").alias("b"))
+        both = moved.union(up).filter("a <> b")
+        edges = both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
+    else:
+        raise RuntimeError(f"edges are left after {rounds} rounds")
+    if not steps:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    label = steps[0].withColumnRenamed("parent", "component")
+    for step in steps[1:]:
+        further = step.select(F.col("node").alias("component"), "parent")
+        label = label.join(further, "component", "left").select("node", F.coalesce("parent", "component").alias("component"))
+    return label.checkpoint()
 
 
 def near_dedup(docs: DataFrame, words: int = WORDS, most: int = MOST_BITS) -> DataFrame:
