@@ -42,7 +42,7 @@ def remove_repeats(docs: DataFrame, units: windows.Units = UNITS) -> DataFrame:
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    joined = base.join(found, ["id", "text_hash"], "left").select("doc_id", "text", "spans")
+    joined = windows.with_spans(base, found)
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary")
 
 

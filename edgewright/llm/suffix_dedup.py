@@ -104,7 +104,7 @@ def remove_repeats(docs: DataFrame, units: windows.Units = UNITS, batches: int =
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = base.join(found, ["id", "text_hash"], "left").select("doc_id", "text", "spans")
+    joined = windows.with_spans(base, found)
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

@@ -120,12 +120,22 @@ def runs(units: np.ndarray, ends: np.ndarray, u: Units) -> tuple[np.ndarray, ...
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+#: Stands for a null ``doc_id``.
+_NO_ID = -(1 << 63)
+
+
 def identified(docs: DataFrame) -> DataFrame:
-    """doc_id and the UTF-8 text, with what tells rows apart: the id and a hash of the text."""
+    """The UTF-8 text with what tells rows apart: the id and a hash of the text.
+
+    Both joins with what is found read these columns and no others, so they share one shuffle."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    low = F.lit(-(1 << 63))
-    doc_id = F.col("doc_id").cast("long")
-    return docs.select(doc_id.alias("doc_id"), text.cast("binary").alias("text"), F.coalesce(doc_id, low).alias("id"), F.xxhash64(text).alias("text_hash"))
+    return docs.select(text.cast("binary").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("text_hash"))
+
+
+def with_spans(base: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, text and spans of every row of ``base``."""
+    doc_id = F.when(F.col("id") != _NO_ID, F.col("id")).alias("doc_id")
+    return base.join(found, _WHO, "left").select(doc_id, "text", "spans")
 
 
 def _chunks(texts: list[bytes], u: Units) -> Iterator[tuple[int, list, list | bytes, np.ndarray, np.ndarray]]:
