@@ -233,13 +233,13 @@ def near_dedup(docs: DataFrame, words: int = WORDS, most: int = MOST_BITS) -> Da
     return of_doc.join(placed, "fp").select("doc_id", hexed, F.when(F.col("component_id") < _NO_DOC, F.col("component_id")).alias("component_id"))
 
 
-def _mixed(h: np.ndarray, multiplier: int) -> np.ndarray:
+def _mixed(h: np.ndarray, multiplier: np.uint64 | np.ndarray) -> np.ndarray:
     """Another hash of each hash."""
-    h = (h ^ h >> np.uint64(31)) * np.uint64(multiplier)
+    h = (h ^ h >> np.uint64(31)) * multiplier
     return h ^ h >> np.uint64(29)
 
 
-_FAMILY = [xxhash.xxh64_intdigest(b"family %d" % i, SEED) | 1 for i in range(max(FAMILY, SKETCH))]
+_MULTIPLIERS = np.array([xxhash.xxh64_intdigest(b"family %d" % i, SEED) | 1 for i in range(max(FAMILY, SKETCH))], np.uint64)
 
 
 def family_of(tokens: list[bytes]) -> tuple[list[int], bytes]:
@@ -249,7 +249,7 @@ def family_of(tokens: list[bytes]) -> tuple[list[int], bytes]:
     for k in range(FAMILY if len(words) else 0):
         ones = np.zeros(64, np.int64)
         for a in range(0, len(words), CHUNK):
-            ones += np.unpackbits(_mixed(words[a : a + CHUNK], _FAMILY[k]).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+            ones += np.unpackbits(_mixed(words[a : a + CHUNK], _MULTIPLIERS[k]).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
         fps[k] = _signed(int.from_bytes(np.packbits(ones * 2 > len(words)).tobytes(), "big"))
     least = np.full(SKETCH, (1 << 64) - 1, np.uint64)
     n = max(1, len(tokens) - SHINGLE + 1)
@@ -257,9 +257,9 @@ def family_of(tokens: list[bytes]) -> tuple[list[int], bytes]:
         part = tokens[a : a + CHUNK + SHINGLE - 1]
         shingles = map(b" ".join, zip(*(part[i:] for i in range(SHINGLE)), strict=False)) if len(tokens) >= SHINGLE else [b" ".join(tokens)]
         h = np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles, repeat(SEED))), np.uint64)
-        for k in range(SKETCH):
-            least[k] = min(least[k], _mixed(h, _FAMILY[k]).min())
-    return fps, (_mixed(least, _FAMILY[0]) >> np.uint64(56)).astype(np.uint8).tobytes()
+        for b in range(0, len(h), 4096):
+            least = np.minimum(least, _mixed(h[None, b : b + 4096], _MULTIPLIERS[:SKETCH, None]).min(axis=1))
+    return fps, (_mixed(least, _MULTIPLIERS[0]) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -270,10 +270,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in common.rows_of(batches):
-            tokens = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
-            found = [family_of(w) for w in tokens]
-            same = [xxhash.xxh3_128_digest(b" ".join(w)) for w in tokens]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(same, pa.binary()), pa.array([f for f, _ in found], pa.list_(pa.int64())), pa.array([s for _, s in found], pa.binary())], ["doc_id", "same", "fps", "sketch"])
+            same, fps, sketches = [], [], []
+            for text in texts:  # one text's words at a time
+                tokens = (text or "").encode("utf-8", "replace").lower().split()
+                same.append(xxhash.xxh3_128_digest(b" ".join(tokens)))
+                found = family_of(tokens)
+                fps.append(found[0])
+                sketches.append(found[1])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(same, pa.binary()), pa.array(fps, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "same", "fps", "sketch"])
 
     read = common.id_and_text(docs.filter(F.col("doc_id").isNotNull())).withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = common.written(read.mapInArrow(run, schema), "family")

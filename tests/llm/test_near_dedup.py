@@ -53,6 +53,15 @@ def test_links_within_bits(spark):
     assert [found.get(i, i) for i in range(len(fps))] == label
 
 
+def test_components_of_long_paths(spark):
+    rng = random.Random(3)
+    order = rng.sample(range(100), 70)
+    edges = list(zip(order, order[1:], strict=False)) + [(200 + i, 200) for i in range(1, 30)] + [(300, 300)]
+    rng.shuffle(edges)
+    found = {r["node"]: r["component"] for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {x: min(order) for x in order} | {200 + i: 200 for i in range(30)}
+
+
 def test_one_of_near_copies_stays(spark):
     rng = random.Random(2)
     originals = [words(rng, 120, "abcdefghijklmnop") for _ in range(12)]
