@@ -14,9 +14,13 @@ verified bit by bit. Only a spanning forest of the links leaves a task, so large
 copies stay linear. Components follow by contracting edges to parents, cut by checkpoint().
 
 One fingerprint of 3-word shingles within 2 bits finds few near copies of 0.8 similarity, so the
-pipeline asks ``keep_one`` for more: a family of fingerprints over different words, each with seeds
-of its own, linked within one bit through the same buckets and pivot tables; a pair also has to
-agree in its sketch, least hashes of 5-word shingles, as pairs of 0.8 similarity do.
+pipeline's ``keep_one`` links by the rule itself: the Jaccard similarity of the sets of 5-word
+shingles. Sets that similar share a shingle among their first fifth in any common order, so these
+prefixes, rare shingles first, are joined on the shingle (an order from a sample; it decides cost,
+not results). Candidates lose those that lengths, places or 512 bits of parity prove too far apart,
+and the others are verified on their whole sets. Each bucket's neighbours and its first text go
+first, so that a large group of near copies becomes one component in linear time; then all pairs of
+a bucket that are in different components.
 
 Defined results: a null or empty text has no shingles and fingerprint zero, linked like any other;
 a text with fewer words than a shingle takes the whole sequence; repeated rows and copies share a
@@ -32,7 +36,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -41,9 +45,11 @@ WORDS, MOST_BITS, BLOCKS, REFERENCES = 3, 2, 6, 24
 SEED = 42
 #: Shingles whose bits are unpacked at once.
 CHUNK = 1 << 16
-#: What the pipeline asks for: fingerprints of a family, blocks of each, least hashes of SHINGLE words
-#: in a sketch, and how many of them pairs of 0.8 similarity share but for one in twenty.
-FAMILY, FAMILY_BLOCKS, SHINGLE, SKETCH, AGREEING = 16, 3, 5, 32, 22
+#: What the pipeline asks for: words of a shingle, and the similarity of linked texts as a fraction.
+SHINGLE, SIMILAR = 5, (4, 5)
+#: Texts whose shingles are counted for the order, from how many texts on one is frequent, how many are
+#: told apart, and the longs of parity of a set.
+SAMPLE, FREQUENT, MOST_FREQUENT, PARITY = 1 << 15, 4, 1 << 18, 8
 #: Nodes from here on stand for fingerprints whose rows all lack an id.
 _NO_DOC = 1 << 62
 
@@ -94,7 +100,7 @@ def pivot_table(fps: np.ndarray, references: int = REFERENCES) -> np.ndarray:
     return np.bitwise_count(fps[:, None] ^ refs[None, :]).astype(np.int8)
 
 
-def linked(fps: np.ndarray, keys: np.ndarray, most: int, sketches: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def linked(fps: np.ndarray, keys: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of linked pairs among fingerprints sorted by bucket; a bucket's key is in ``keys``.
 
     Pairs are tried by their distance in the sorted order, until no bucket is that large."""
@@ -107,8 +113,6 @@ def linked(fps: np.ndarray, keys: np.ndarray, most: int, sketches: np.ndarray |
             i = same[a : a + CHUNK]
             i = i[np.abs(pivots[i] - pivots[i + lag]).max(axis=1) <= most]
             i = i[np.bitwise_count(fps[i] ^ fps[i + lag]) <= most]
-            if sketches is not None:
-                i = i[(sketches[i] == sketches[i + lag]).sum(axis=1) >= AGREEING]
             left.append(i)
             right.append(i + lag)
         lag += 1
@@ -139,13 +143,13 @@ class Forest:
 
 
 def _spanning(buckets: DataFrame, most: int) -> DataFrame:
-    """A spanning forest (a, b) of the links between the nodes of rows (pick, kept, fp, node, sketch
-    or null), where a pick and what is kept name a bucket."""
+    """A spanning forest (a, b) of the links between the nodes of rows (pick, kept, fp, node), where
+    a pick and what is kept name a bucket."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, held = Forest(), None
 
-        def link(rows: np.ndarray, sketches: np.ndarray | None) -> None:
+        def link(rows: np.ndarray) -> None:
             keys = rows[:, :2]
             same = (keys[1:] == keys[:-1]).all(axis=1)
             shared = np.zeros(len(rows), bool)
@@ -153,43 +157,36 @@ def _spanning(buckets: DataFrame, most: int) -> DataFrame:
             shared[:-1] |= same
             rows = rows[shared]
             if len(rows):
-                i, j = linked(np.ascontiguousarray(rows[:, 2]).view(np.uint64), rows[:, :2], most, None if sketches is None else sketches[shared])
+                i, j = linked(np.ascontiguousarray(rows[:, 2]).view(np.uint64), rows[:, :2], most)
                 for a, b in zip(rows[i, 3].tolist(), rows[j, 3].tolist(), strict=True):
                     forest.unite(a, b)
 
-        def cut(rows: np.ndarray, sketches: np.ndarray | None, a: int, b: int) -> tuple[np.ndarray, np.ndarray | None]:
-            return rows[a:b], None if sketches is None else sketches[a:b]
-
         for batch in batches:
             if not len(batch):
                 continue
             rows = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in range(4)], axis=1)
-            sketches = None
-            if not batch.column(4).null_count:
-                sketches = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(len(rows), -1)
             if held is not None:
-                rows = np.concatenate([held[0], rows])
-                sketches = None if sketches is None else np.concatenate([held[1], sketches])
+                rows = np.concatenate([held, rows])
             last = np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(axis=1))
             end = last[-1] + 1 if len(last) else 0  # the last bucket may go on in the next batch
-            link(*cut(rows, sketches, 0, end))
-            held = cut(rows, sketches, end, len(rows))
+            link(rows[:end])
+            held = rows[end:]
         if held is not None:
-            link(*held)
+            link(held)
         a, b = forest.edges()
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return buckets.repartition("pick", "kept").sortWithinPartitions("pick", "kept").mapInArrow(run, "a long, b long")
 
 
-def _buckets(fp: Column, masks: list[int], first: int = 0) -> list[Column]:
-    return [F.struct(F.lit(first + k).cast("short").alias("pick"), fp.bitwiseAND(F.lit(m)).alias("kept"), fp.alias("fp")) for k, m in enumerate(masks)]
+def _buckets(fp: Column, masks: list[int]) -> list[Column]:
+    return [F.struct(F.lit(k).cast("short").alias("pick"), fp.bitwiseAND(F.lit(m)).alias("kept"), fp.alias("fp")) for k, m in enumerate(masks)]
 
 
 def links(representatives: DataFrame, most: int = MOST_BITS, blocks: int = BLOCKS) -> DataFrame:
     """A spanning forest (a, b) of the links between the ``node`` of rows (node, fp), fp distinct."""
     rows = representatives.select("node", F.explode(F.array(*_buckets(F.col("fp"), block_masks(most, blocks)))).alias("b"))
-    return _spanning(rows.select("b.pick", "b.kept", "b.fp", "node", F.lit(None).cast("binary").alias("sketch")), most)
+    return _spanning(rows.select("b.pick", "b.kept", "b.fp", "node"), most)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -233,60 +230,143 @@ def near_dedup(docs: DataFrame, words: int = WORDS, most: int = MOST_BITS) -> Da
     return of_doc.join(placed, "fp").select("doc_id", hexed, F.when(F.col("component_id") < _NO_DOC, F.col("component_id")).alias("component_id"))
 
 
-def _mixed(h: np.ndarray, multiplier: np.uint64 | np.ndarray) -> np.ndarray:
-    """Another hash of each hash."""
-    h = (h ^ h >> np.uint64(31)) * multiplier
-    return h ^ h >> np.uint64(29)
+_MULTIPLIERS = np.array([xxhash.xxh64_intdigest(b"shingle %d" % i, SEED) | 1 for i in range(SHINGLE + 1)], np.uint64)
 
 
-_MULTIPLIERS = np.array([xxhash.xxh64_intdigest(b"family %d" % i, SEED) | 1 for i in range(max(FAMILY, SKETCH))], np.uint64)
+def tokens_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def family_of(tokens: list[bytes]) -> tuple[list[int], bytes]:
-    """The family's fingerprints over a text's different words, and the sketch of its shingles."""
-    words = np.frombuffer(b"".join(map(xxhash.xxh64_digest, set(tokens), repeat(SEED))), np.uint64)
-    fps = [0] * FAMILY
-    for k in range(FAMILY if len(words) else 0):
-        ones = np.zeros(64, np.int64)
-        for a in range(0, len(words), CHUNK):
-            ones += np.unpackbits(_mixed(words[a : a + CHUNK], _MULTIPLIERS[k]).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        fps[k] = _signed(int.from_bytes(np.packbits(ones * 2 > len(words)).tobytes(), "big"))
-    least = np.full(SKETCH, (1 << 64) - 1, np.uint64)
-    n = max(1, len(tokens) - SHINGLE + 1)
-    for a in range(0, n, CHUNK):
-        part = tokens[a : a + CHUNK + SHINGLE - 1]
-        shingles = map(b" ".join, zip(*(part[i:] for i in range(SHINGLE)), strict=False)) if len(tokens) >= SHINGLE else [b" ".join(tokens)]
-        h = np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles, repeat(SEED))), np.uint64)
-        for b in range(0, len(h), 4096):
-            least = np.minimum(least, _mixed(h[None, b : b + 4096], _MULTIPLIERS[:SKETCH, None]).min(axis=1))
-    return fps, (_mixed(least, _MULTIPLIERS[0]) >> np.uint64(56)).astype(np.uint8).tobytes()
+def key_of(tokens: list[bytes]) -> int:
+    """What texts of the same words share."""
+    return _signed(xxhash.xxh3_64_intdigest(b" ".join(tokens)))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` from each group of near copies, with all its columns: that of the least id.
+def shingles(tokens: list[bytes]) -> np.ndarray:
+    """The different hashes of a text's shingles, in order; a shorter text is one shingle."""
+    n = len(tokens) - SHINGLE + 1
+    if n < 1:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(tokens), SEED)], np.uint64)
+    words = np.frombuffer(b"".join(map(xxhash.xxh64_digest, tokens, repeat(SEED))), np.uint64)
+    h = words[:n] * _MULTIPLIERS[0]
+    for k in range(1, SHINGLE):
+        h += words[k : k + n] * _MULTIPLIERS[k]
+    h = (h ^ h >> np.uint64(31)) * _MULTIPLIERS[SHINGLE]
+    return np.unique(h ^ h >> np.uint64(29))
 
-    Rows that share an id count as one row; rows without an id can't be told apart, and all stay."""
-    schema = "doc_id long, same binary, fps array<long>, sketch binary"
+
+def prefix(h: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of a set, rare ones first: a similar set has one of them in its own prefix."""
+    known, counts = frequent
+    at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+    count = np.where(known[at] == h, counts[at], 0) if len(known) else np.zeros(len(h), np.int64)
+    part, whole = SIMILAR
+    return h[np.lexsort((h, count))][: len(h) + 1 + -len(h) * part // whole]
+
+
+def parity(h: np.ndarray) -> np.ndarray:
+    """Whether the number of shingles in each of 64 * PARITY classes is odd; two sets differ in at
+    least as many shingles as classes."""
+    odd = np.bincount((h % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _far(shared: Column | int, n_a: Column, n_b: Column) -> Column:
+    """Whether sets of ``n_a`` and ``n_b`` shingles that share so many are less similar than the rule."""
+    part, whole = SIMILAR
+    return shared * F.lit(part + whole) < (n_a + n_b) * F.lit(part)
+
+
+def _frequent(docs: DataFrame, documents: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of frequent shingles in a sample of rows (doc_id, text), in order, and their counts."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in common.rows_of(batches):
+            for text in texts:
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(tokens_of(text)).view(np.int64))], ["h"])
+
+    share = int(min(1.0, SAMPLE / max(documents, 1)) * (1 << 20))
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
+    counts = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT)
+    found = counts.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).toArrow()
+    h, n = (found.column(c).to_numpy().astype(t) for c, t in (("h", np.int64), ("n", np.int64)))
+    order = np.argsort(h.view(np.uint64))
+    return h.view(np.uint64)[order], n[order]
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) of keys whose whole shingle sets are similar, as nodes (a, b)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in common.rows_of(batches):
+            for text in texts:
+                tokens = tokens_of(text)
+                yield pa.RecordBatch.from_arrays([pa.array([key_of(tokens)], pa.int64()), pa.array([shingles(tokens).view(np.int64)], pa.list_(pa.int64()))], ["key", "held"])
+
+    of_a, of_b = (reps.select(F.col("key").alias(x), F.col("node").alias(f"node_{x}"), F.col("n").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}")) for x in ("a", "b"))
+    differ = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    near = pairs.join(of_a, "a").join(of_b, "b").filter(~_far((F.col("n_a") + F.col("n_b") - differ) / 2, F.col("n_a"), F.col("n_b")))
+    near = common.written(near.drop("odd_a", "odd_b"), "candidates")
+    ids = near.select(F.explode(F.array("node_a", "node_b")).alias("doc_id")).distinct()
+    sets = common.written(docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "key long, held array<long>").dropDuplicates(["key"]), "sets")
+    held_a, held_b = (sets.select(F.col("key").alias(x), F.col("held").alias(f"held_{x}")) for x in ("a", "b"))
+    shared = F.size(F.array_intersect("held_a", "held_b"))
+    linked = near.join(held_a, "a").join(held_b, "b").filter(~_far(shared, F.col("n_a"), F.col("n_b")))
+    return common.written(linked.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "links")
+
+
+def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The key and node of each different text of rows (doc_id, text), and links (a, b) between nodes
+    that join all that links of the rule join."""
+    sent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, docs.count()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in common.rows_of(batches):
-            same, fps, sketches = [], [], []
+            keys, sizes, odd, first = [], [], [], []
             for text in texts:  # one text's words at a time
-                tokens = (text or "").encode("utf-8", "replace").lower().split()
-                same.append(xxhash.xxh3_128_digest(b" ".join(tokens)))
-                found = family_of(tokens)
-                fps.append(found[0])
-                sketches.append(found[1])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(same, pa.binary()), pa.array(fps, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "same", "fps", "sketch"])
+                tokens = tokens_of(text)
+                h = shingles(tokens)
+                keys.append(key_of(tokens))
+                sizes.append(len(h))
+                odd.append(parity(h))
+                first.append(prefix(h, sent.value).view(np.int64))
+            lists = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(odd, lists), pa.array(first, lists)], ["doc_id", "key", "n", "odd", "first"])
+
+    rows = common.written(docs.mapInArrow(run, "doc_id long, key long, n long, odd array<long>, first array<long>"), "prefixes")
+    reps = rows.groupBy("key").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("n", "odd", "first")))
+    reps = common.written(reps, "representatives")
+    bucket = Window.partitionBy("h")
+    row = F.struct("key", "n", "at")
+    placed = reps.select("key", "n", F.posexplode("first").alias("at", "h")).withColumn("size", F.count("*").over(bucket)).filter("size > 1")
+    placed = placed.withColumn("before", F.lag(row).over(bucket.orderBy("n", "key"))).withColumn("lead", F.first(row).over(bucket.orderBy("n", "key")))
+    placed = common.written(placed.drop("size"), "shared")
+
+    def pairs(of: DataFrame, x: str, y: str) -> DataFrame:
+        shared = F.least(F.col(f"{x}.n") - F.col(f"{x}.at"), F.col(f"{y}.n") - F.col(f"{y}.at"))  # at most, where a pair first meets
+        near = of.filter((F.col(f"{x}.key") != F.col(f"{y}.key")) & ~_far(shared, F.col(f"{x}.n"), F.col(f"{y}.n")))
+        return near.select(F.least(f"{x}.key", f"{y}.key").alias("a"), F.greatest(f"{x}.key", f"{y}.key").alias("b"))
+
+    each = placed.select(row.alias("row"), "before", "lead").filter("before IS NOT NULL")
+    early = common.written(pairs(each, "row", "before").union(pairs(each, "row", "lead")).distinct(), "early")
+    links = _verified(early, docs, reps)
+    label = reps.select("key", "node").join(components(links), "node", "left").select("key", F.coalesce("component", "node").alias("label"))
+    placed = placed.select("h", "key", "n", "at").join(label, "key")
+    placed = placed.withColumn("least", F.min("label").over(bucket)).withColumn("most", F.max("label").over(bucket)).filter("least < most").drop("least", "most")
+    placed = common.written(placed, "parted")
+    x, y = placed.select("h", F.struct("key", "n", "at", "label").alias("x")), placed.select("h", F.struct("key", "n", "at", "label").alias("y"))
+    late = pairs(x.join(y, "h").filter("x.label < y.label"), "x", "y").distinct()
+    late = common.written(late.join(early, ["a", "b"], "left_anti"), "late")
+    return reps.select("key", "node"), links.union(_verified(late, docs, reps))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` from each group of near copies, with all its columns: that of the least id.
 
+    Rows that share an id count as one row; rows without an id can't be told apart, and all stay."""
     read = common.id_and_text(docs.filter(F.col("doc_id").isNotNull())).withColumn("doc_id", F.col("doc_id").cast("long"))
-    rows = common.written(read.mapInArrow(run, schema), "family")
-    reps = rows.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("fps").alias("fps"), F.first("sketch").alias("sketch"))
-    reps = common.written(reps.drop("same"), "representatives")
-    masks = block_masks(1, FAMILY_BLOCKS)
-    every = [b for k in range(FAMILY) for b in _buckets(F.col("fps")[k], masks, k * len(masks))]
-    buckets = reps.select("node", "sketch", F.explode(F.array(*every)).alias("b")).select("b.pick", "b.kept", "b.fp", "node", "sketch")
-    label = components(common.written(_spanning(buckets, 1), "links"))
+    reps, links = similar(read)
+    label = components(links)
     first = F.coalesce("component", "node") == F.col("node")
     kept = common.written(reps.join(label, "node", "left").filter(first).select(F.col("node").alias("kept_id")).distinct(), "kept")
     named = docs.join(kept, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])

@@ -75,6 +75,42 @@ def test_one_of_near_copies_stays(spark):
     assert ordered(r[0:1] for r in kept.collect()) == ordered([(i,) for i in range(12)] + [(300,), (None,), (None,)])
 
 
+def jaccard(s, t):
+    s, t = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (s.split(), t.split()))
+    return len(s & t) / len(s | t)
+
+
+def changed_copies(rng, text):
+    """Copies with passages added at either end, words replaced, and passages in another order."""
+    w, n = text.split(), len(text.split())
+    new = lambda k: words(rng, k, "qrstuvwxyz").split()
+    swap = lambda share: [rng.choice(new(1)) if rng.random() < share else x for x in w]
+    made = [w + new(int(n * x)) for x in (0.05, 0.1, 0.15, 0.2, 0.3)] + [new(int(n * x)) + w for x in (0.05, 0.1, 0.2)]
+    made += [swap(x) for x in (0.01, 0.02, 0.03, 0.05, 0.08)] + [w[n // 2 :] + w[: n // 2], rng.sample(w, n)]
+    return [" ".join(x) for x in made]
+
+
+def kept_by_brute_force(rows, similarity=0.8):
+    label = list(range(len(rows)))
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if jaccard(rows[i][1], rows[j][1]) >= similarity]
+    for _ in rows:
+        for i, j in near:
+            label[i] = label[j] = min(label[i], label[j])
+    return sorted(rows[i][0] for i in range(len(rows)) if label[i] == i)
+
+
+def test_all_pairs_of_the_rule_are_linked(spark):
+    """The copies of 0.8 or more of each original go, however they came about."""
+    rng = random.Random(11)
+    rows = []
+    for n in (40, 100, 400):
+        for _ in range(4):
+            text = words(rng, n, "abcdefghijklmnop")
+            rows += [(len(rows) + i, t) for i, t in enumerate([text, *(t for t in changed_copies(rng, text) if jaccard(text, t) >= 0.8)])]
+    kept = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == kept_by_brute_force(rows) and len(kept_by_brute_force(rows)) == 12
+
+
 def test_empty(no_docs):
     assert near_dedup.near_dedup(no_docs).count() == 0
     assert near_dedup.keep_one(no_docs).count() == 0
