@@ -111,6 +111,20 @@ def test_all_pairs_of_the_rule_are_linked(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == kept_by_brute_force(rows) and len(kept_by_brute_force(rows)) == 12
 
 
+def test_nothing_below_the_rule_is_dropped(spark):
+    """Each copy and its original alone: of those just below 0.8, both stay."""
+    rng = random.Random(12)
+    rows = []
+    for n in (40, 100, 400):
+        for _ in range(4):
+            for k in range(len(changed_copies(random.Random(0), "a b"))):
+                text = words(rng, n, "abcdefghijklmnop")
+                rows += [(len(rows), text), (len(rows) + 1, changed_copies(rng, text)[k])]
+    kept = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [r for i in range(0, len(rows), 2) for r in kept_by_brute_force(rows[i : i + 2])]
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
+
+
 def test_empty(no_docs):
     assert near_dedup.near_dedup(no_docs).count() == 0
     assert near_dedup.keep_one(no_docs).count() == 0
