@@ -11,6 +11,10 @@ texts are then scored in batches: a presence matrix times the landmarks' presenc
 kernel values, and these times the coefficients give the scores. The model is broadcast; its size
 is bounded by the parameters, not by the data.
 
+Scores of all languages sum to one, so the best can't tell that a text is in none of them. What can
+is the share of a text's n-grams that some landmark holds: ``keep_confident`` asks for most of what
+labelled texts reach. An n-gram with a character that isn't told apart counts as unknown.
+
 Defined results: a null text, or one without a letter, is ``und`` with score 0; equal scores go to
 the first language in code-point order; without labelled texts everything is ``und``; repeated rows
 get equal results; very long texts are scored whole, though the training sample takes none over
@@ -34,8 +38,9 @@ from . import common
 #: The bound on the training sample: texts in all and for each language, and characters of each.
 SAMPLE, SAMPLE_EACH, LONGEST = 12_000, 600, 20_000
 LANDMARKS, RIDGE, SYMBOLS, BATCH = 160, 1e-3, 120, 64
-#: A document stays in the pipeline if its best score reaches this.
-CONFIDENT = 0.2
+#: A document stays in the pipeline if the share of its n-grams that landmarks know reaches SLACK times
+#: what all labelled texts but this share of them reach, each landmark without itself.
+SLACK, STRANGE = 0.7, 0.01
 _B = 128  # symbols are below this
 
 
@@ -47,6 +52,8 @@ class Model:
     landmarks: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
+    told: np.ndarray
+    least_known: float
 
 
 class Kernel:
@@ -77,6 +84,15 @@ class Kernel:
         return at
 
 
+def told_apart(grams: np.ndarray) -> np.ndarray:
+    """Whether each n-gram holds no symbol that stands for several characters."""
+    pairs, triples = grams - _B, grams - (_B + _B**2)
+    one, two = grams < _B, (grams >= _B) & (triples < 0)
+    of_two = (pairs // _B > 0) & (pairs % _B > 0)
+    of_three = (triples // _B**2 > 0) & (triples // _B % _B > 0) & (triples % _B > 0)
+    return np.where(one, grams > 0, np.where(two, of_two, of_three))
+
+
 def presence(texts: list[str], kernel: Kernel, column: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The texts' presence rows over the landmarks' n-grams, and how many different ones each has."""
     rows, own = np.zeros((len(texts), width + 1), np.float32), np.ones(len(texts), np.float32)
@@ -102,10 +118,13 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridg
     marks = np.zeros((len(grams), len(chosen)), np.float32)
     for j, g in enumerate(held):
         marks[column[g], j] = 1 / np.sqrt(len(g) or 1)
-    k = np.zeros((len(texts), len(chosen)))
+    told, landmark = told_apart(grams).astype(np.float32), np.isin(np.arange(len(texts)), chosen)
+    told_by_others = told * ((marks > 0).sum(axis=1) > 1)
+    k, known = np.zeros((len(texts), len(chosen))), np.zeros(len(texts))
     for a in range(0, len(texts), BATCH):
         rows, own = presence(texts[a : a + BATCH], kernel, column, len(grams))
         k[a : a + BATCH] = rows @ marks / np.sqrt(own)[:, None]
+        known[a : a + BATCH] = np.where(landmark[a : a + BATCH], rows @ told_by_others, rows @ told) / own
     value, vector = np.linalg.eigh(k[chosen])
     good = value > 1e-8 * value.max(initial=1e-12)
     half = vector[:, good] / np.sqrt(value[good])
@@ -113,7 +132,7 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridg
     mean, y_mean = features.mean(axis=0), y.mean(axis=0)
     f = features - mean
     beta = np.linalg.solve(f.T @ f + ridge * len(texts) * np.eye(f.shape[1]), f.T @ (y - y_mean))
-    return Model(names, alphabet, grams, marks, (half @ beta).astype(np.float32), (y_mean - mean @ beta).astype(np.float32))
+    return Model(names, alphabet, grams, marks, (half @ beta).astype(np.float32), (y_mean - mean @ beta).astype(np.float32), told, SLACK * float(np.quantile(known, STRANGE)))
 
 
 class Scorer:
@@ -121,17 +140,18 @@ class Scorer:
         self.model, self.kernel = model, Kernel(model.alphabet)
         self.column = self.kernel.place(model.grams)
 
-    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """The language of each text, its score, and the share of the text's n-grams that are known."""
         m = self.model
-        names, scores = ["und"] * len(texts), [0.0] * len(texts)
+        names, scores, known = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         real = [i for i, t in enumerate(texts) if t and m.languages and any(map(str.isalpha, t))]
         for a in range(0, len(real), BATCH):
             some = real[a : a + BATCH]
             rows, own = presence([texts[i] for i in some], self.kernel, self.column, len(m.grams))
             got = (rows @ m.landmarks / np.sqrt(own)[:, None]) @ m.weights + m.bias
-            for i, top, score in zip(some, got.argmax(axis=1).tolist(), got.max(axis=1).tolist(), strict=True):
-                names[i], scores[i] = m.languages[top], min(1.0, max(0.0, score))
-        return names, scores
+            for i, top, score, share in zip(some, got.argmax(axis=1).tolist(), got.max(axis=1).tolist(), (rows @ m.told / own).tolist(), strict=True):
+                names[i], scores[i], known[i] = m.languages[top], min(1.0, max(0.0, score)), share
+        return names, scores, known
 
 
 def train(docs: DataFrame) -> Model:
@@ -142,7 +162,7 @@ def train(docs: DataFrame) -> Model:
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & short & ~common.held_out(3, 1)).select("lang", "text")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE // 20).collect()}
     if not counts:
-        return Model([], "", np.zeros(0, np.int32), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
+        return Model([], "", np.zeros(0, np.int32), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32), np.zeros(0, np.float32), 0.0)
     each = min(SAMPLE_EACH, SAMPLE // len(counts))
     share = F.create_map(*[F.lit(x) for n, c in counts.items() for x in (n, min(1.0, 1.5 * each / c))])
     h = F.xxhash64("text")
@@ -165,22 +185,22 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         for ids, held, texts in common.rows_of(batches):
-            names, scores = scorer(texts)
+            names, scores, _ = scorer(texts)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.held_out(3, 1).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_confident(docs: DataFrame, model: Model, least: float = CONFIDENT) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose language the model tells."""
+def keep_confident(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language the model tells and knows."""
     sent, where = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         for batch in batches:
-            names, scores = scorer(batch.column(where).to_pylist())
-            yield batch.filter(pc.and_(pc.not_equal(pa.array(names, pa.string()), "und"), pc.greater_equal(pa.array(scores, pa.float64()), least)))
+            names, _, known = scorer(batch.column(where).to_pylist())
+            yield batch.filter(pc.and_(pc.not_equal(pa.array(names, pa.string()), "und"), pc.greater_equal(pa.array(known, pa.float64()), sent.value.least_known)))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -34,6 +34,20 @@ def test_language_of_held_out_documents(spark, data):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1 for r in found.collect())
 
 
+def test_language_rejects_junk_and_keeps_clean_documents(spark, data):
+    """With four languages the best score is 0.25 at least, whatever the text."""
+    table = spark.read.parquet(f"{data}/documents.parquet")
+    model, rng = language_id.train(table), random.Random(13)
+    junk = [" ".join("".join(rng.choice("bcdfghjkqvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(60)) for _ in range(8)]
+    junk += ["Привет мир как дела сегодня хорошо " * 5, "日本語のテキストです。今日はいい天気。", "Καλημέρα κόσμε τι κάνεις σήμερα"]
+    odd = spark.createDataFrame([(i, t) for i, t in enumerate(junk)], "doc_id long, text string")
+    assert language_id.keep_confident(odd, model).isEmpty()
+    clean = table.filter(language_id.common.held_out(3, 1) & F.col("lang").isNotNull() & (F.length("text") > 100))
+    assert language_id.keep_confident(clean, model).count() >= 0.98 * clean.count()
+    five = language_id.fit([r["text"] for r in table.filter("lang IS NOT NULL").limit(150).collect()], [f"l{i % 6}" for i in range(150)])
+    assert not any(known >= five.least_known for known in language_id.Scorer(five)(junk)[2])
+
+
 def test_language_of_odd_rows(docs, rows, no_docs):
     model = language_id.train(docs)
     found = language_id.predict(docs, model).collect()
