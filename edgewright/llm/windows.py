@@ -105,15 +105,15 @@ def runs(units: np.ndarray, ends: np.ndarray, u: Units) -> tuple[np.ndarray, ...
             continue
         key = first[inside] >> np.uint64(16)
         twice = (first[inside] & _POSITION) != (_POSITION - (last[inside] & _POSITION))
+        place = inside + (((first[inside] & _POSITION).astype(np.int64) - inside) & 0xFFFF)
         new = np.ones(len(inside), bool)
         new[1:] = (key[1:] != key[:-1]) | (inside[1:] != inside[:-1] + 1)
         begin = np.flatnonzero(new)
         within = np.arange(len(inside)) - np.repeat(begin, np.diff([*begin, len(inside)]))
         begin = np.flatnonzero(within % (CUT * u.size) == 0)
         n = np.diff([*begin, len(inside)])
-        i = inside[begin]
-        place = i + (((first[i] & _POSITION).astype(np.int64) - i) & 0xFFFF)
-        out.append((i + a, n, key[begin].astype(np.int64), np.logical_or.reduceat(twice, begin), place + a))
+        twice |= place != np.repeat(place[begin], n)  # in two windows of the run, though in none twice
+        out.append((inside[begin] + a, n, key[begin].astype(np.int64), np.logical_or.reduceat(twice, begin), place[begin] + a))
     if not out:
         none = np.zeros(0, np.int64)
         return none, none, none, none.astype(bool), none

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import random
 from collections import Counter
 
 import pytest
@@ -43,6 +44,29 @@ def test_bytes(docs, rows, hot, batches):
     assert ordered(found) == ordered((r[0], *x) for r, x in zip(rows, brute([r[1] for r in rows], 400, False), strict=True))
 
 
+def test_texts_that_repeat_themselves(spark):
+    """Periods around size - gram + 1, where a window holds each gram once."""
+    rng = random.Random(15)
+    texts = []
+    for period in (23, 24, 25):
+        for more in (1, 3, 10, 23, 35):
+            for _ in range(8):
+                line = [f"w{rng.getrandbits(40)}" for _ in range(period)]
+                texts.append(" ".join((line * 4)[: period + 34 + more]))
+    rows = list(enumerate(texts))
+    found = [(r["doc_id"], r["n_removed"]) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert ordered(found) == ordered((i, x[1]) for (i, _), x in zip(rows, brute(texts, 35, True), strict=True))
+    texts = []
+    for period in (272, 273, 274):
+        for more in (1, 40, 272, 400):
+            for _ in range(6):
+                line = "".join(rng.choice("abcdefghijklmnop") for _ in range(period))
+                texts.append((line * 4)[: period + 399 + more])
+    rows = list(enumerate(texts))
+    found = [(r["doc_id"], r["n_removed"]) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), suffix_dedup.UNITS, 2).collect()]
+    assert ordered(found) == ordered((i, x[1]) for (i, _), x in zip(rows, brute(texts, 400, False), strict=True))
+
+
 def test_empty(no_docs):
     assert substring_dedup.remove_repeats(no_docs).count() == 0
     assert suffix_dedup.remove_repeats(no_docs).count() == 0
