@@ -50,7 +50,8 @@ BASE = (
     Rule("hex", r"[0-9a-f]+", 24),
 )
 ADDED = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    # through END, if no other BEGIN comes first; without END, through the lines of Base64
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]*PRIVATE KEY-----|(?:(?:\s|\\[nr])+(?:(?:Proc-Type|DEK-Info):[^\r\n]*|[A-Za-z0-9+/]{16,}={0,2}|(?<=[\r\n])[A-Za-z0-9+/]+={0,2}(?=[ \t]*(?:[\r\n]|\Z))))*)"),
     Rule("hub_token", r"gh[opsu]_[A-Za-z0-9]{36}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
