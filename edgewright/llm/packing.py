@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,85 +36,121 @@ from . import common
 
 TOKENIZER, END = "word_bpe_49k.json", 1
 LENGTH, WIDTH = 2048, 16
-#: Pieces of a rank bucket, on average; words that a worker remembers; documents split at a time.
-BUCKET, REMEMBERED, DOCUMENTS = 4096, 1_200_000, 128
+#: Pieces of a rank bucket, on average; words that a worker remembers; bytes of text split at a time.
+BUCKET, REMEMBERED, GROUP = 4096, 1_200_000, 8 << 20
 #: The program stops within a sequence, or this share, of a lower bound, or after so many steps;
 #: its patterns cover the histogram after any number of them.
 GAP, STEPS = 5e-4, 2_000
 
-#: White space on which the tokenizer and ``str.split`` may differ: such texts go through it whole.
-_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028-\u202f\u205f\u3000\ufeff]")
+#: White space beyond ASCII's, and what may count as such: texts that hold some are tokenized whole.
+_OTHER_SPACE = "[\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028-\u202f\u205f\u3000\ufeff]"
 #: What ends the last token of a word in the vocabulary (a fixed value of TOKENIZER).
 _WORD_END = "</w>"
 #: A plain word and what may follow it: two to the tokenizer, and each the same wherever it stands.
-_PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,;:!?]*)")
+_PLAIN = re.compile("([a-zß-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)")
+
+
+def gathered(ids: np.ndarray, first: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of words in a row, and where each word's end; a word's are at first[word]:first[word + 1]."""
+    n = first[words + 1] - first[words]
+    ends = np.cumsum(n)
+    return ids[np.arange(n.sum()) + np.repeat(first[words] - (ends - n), n)], ends
 
 
 class Encoder:
-    """Token ids of texts, as bytes; a word between spaces is asked for once, unless forgotten."""
+    """Token ids of texts: the different words of a group of texts are looked up once, and ids are
+    taken from one flat array by the words' numbers. A word is tokenized once, unless forgotten."""
 
-    def __init__(self, path: str) -> None:
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+    def __init__(self, path: str, end: int = END) -> None:
+        self.tokenizer, self.end = Tokenizer.from_file(path), end
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(_WORD_END)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        """Word 0 is the end id and word 1 has none; others are numbered in ``known``."""
+        self.known: dict[str, int] = {"": 1}
+        self.ids, self.first = np.array([self.end], "<u4"), np.array([0, 1, 1])
+
+    def _add(self, ids: np.ndarray, ends: np.ndarray) -> range:
+        """Takes new words in, and gives their numbers."""
+        n = len(self.first) - 1
+        self.first = np.concatenate([self.first, self.first[-1] + ends])
+        self.ids = np.concatenate([self.ids, ids])
+        return range(n, n + len(ends))
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _tokenized(self, texts: list[str]) -> range:
+        ids = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return self._add(np.concatenate(ids), np.cumsum([len(x) for x in ids]))
 
     def _learn(self, words: list[str]) -> None:
         """Plain words go through the tokenizer together, and are told apart by the ends of words."""
-        known, parts, other = self.known, {}, []
+        plain, pairs, other = {"": 0}, [], []
+        took = []
         for w in words:
             if m := _PLAIN.fullmatch(w.lower()):
-                parts[w] = m.groups()
+                pairs += [plain.setdefault(x, len(plain)) for x in m.groups()]
+                took.append(w)
             else:
                 other.append(w)
-        plain = list({p for pair in parts.values() for p in pair if p and p not in known})
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) == len(plain):
-            data, a = ids.tobytes(), 0
-            for w, b in zip(plain, (4 * stops).tolist(), strict=True):
-                known[w] = data[a:b]
-                a = b
-            for w, (letters, mark) in parts.items():
-                known[w] = known[letters] + known[mark] if mark else known[letters]
-        else:
-            other = words
+        if took:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([*plain][1:])], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(plain) - 1:
+                ids, ends = gathered(ids, np.array([0, 0, *stops.tolist()]), np.array(pairs))
+                self.known.update(zip(took, self._add(ids, ends[1::2]), strict=True))
+            else:
+                other = words
         if other:
-            known.update(zip(other, self._ids(other), strict=True))
-
-    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        for a in range(0, len(texts), DOCUMENTS):
-            some = [t or "" for t in texts[a : a + DOCUMENTS]]
-            words = [None if _OTHER_SPACE.search(t) else t.split() for t in some]
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            if new := list(set().union(*(w for w in words if w)) - self.known.keys()):
-                self._learn(new)
-            for t, w in zip(some, words, strict=True):
-                yield self._ids([t])[0] if w is None else b"".join(map(self.known.__getitem__, w))
+            self.known.update(zip(other, self._tokenized(other), strict=True))
+
+    def __call__(self, texts: pa.Array) -> Iterator[list[np.ndarray]]:
+        """The ids of each text, the end id last, for groups of texts."""
+        texts = texts.fill_null("")
+        size = np.cumsum(np.asarray(pc.binary_length(texts)).astype(np.int64)) // GROUP
+        for some in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(size)) + 1) if len(texts) else ():
+            yield self._group(texts.slice(some[0], len(some)))
+
+    def _group(self, texts: pa.Array) -> list[np.ndarray]:
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        odd = np.flatnonzero(pc.match_substring_regex(texts, _OTHER_SPACE))
+        if len(odd):
+            whole = texts.take(pa.array(odd)).to_pylist()
+            texts = pc.if_else(pc.match_substring_regex(texts, _OTHER_SPACE), "", texts)
+        lists = pc.ascii_split_whitespace(texts)
+        words = lists.flatten().dictionary_encode()
+        different = words.dictionary.to_pylist()
+        if new := [w for w in different if w not in self.known]:
+            self._learn(new)
+        numbers = np.fromiter(map(self.known.__getitem__, different), np.int64, len(different))[np.asarray(words.indices)]
+        last = np.asarray(lists.offsets)[1:] - lists.offsets[0].as_py()
+        known = len(self.first), len(self.ids)
+        at, more = last, np.zeros(len(last), np.int64)
+        if len(odd):  # such a text is a word of its own, in front of its end id; it isn't remembered
+            at, more = np.concatenate([last[odd], last]), np.concatenate([np.array(self._tokenized(whole)), more])
+        ids, ends = gathered(self.ids, self.first, np.insert(numbers, at, more))
+        self.first, self.ids = self.first[: known[0]], self.ids[: known[1]]
+        here = last + np.arange(len(last)) + np.searchsorted(odd, np.arange(len(last)), "right")
+        return np.split(ids, ends[here][:-1])
 
 
 @lru_cache(1)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, end: int) -> Encoder:
+    return Encoder(path, end)
 
 
 def tokenized(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) -> DataFrame:
     """doc_id, doc_tokens and the CRC-32 of each piece's ids."""
-    last = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
-        for ids, texts in common.rows_of(batches):
+        encode = encoder(path, end)
+        for batch in batches:
             n, crcs = [], []
-            for got in encode(texts):
-                got += last
-                n.append(len(got) // 4)
-                crcs.append([zlib.crc32(got[a : a + 4 * length]) for a in range(0, len(got), 4 * length)])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "doc_tokens", "crcs"])
+            for group in encode(batch.column(1)):
+                n += map(len, group)
+                crcs += [[zlib.crc32(ids[a : a + length]) for a in range(0, len(ids), length)] for ids in group]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "doc_tokens", "crcs"])
 
     docs = common.id_and_text(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
     return docs.mapInArrow(run, "doc_id long, doc_tokens long, crcs array<long>")

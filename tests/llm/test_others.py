@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -214,10 +215,20 @@ def test_columns_cover_demand_with_few_sequences():
     assert sum(n for n, _ in found) <= 1.01 * (sizes @ demand) / 128 + 1
 
 
-def test_encoder_equals_tokenizer():
+def test_encoder_equals_tokenizer(monkeypatch):
     path = public_tokenizers.path(packing.TOKENIZER)
-    t, texts = Tokenizer.from_file(path), ["It's I'LL don't 123 x²", "İstanbul ΣΑΣ ﬁ \x1c a\xa0b <|endoftext|> ‘q’", "", "\x85 a", "á e ́x", "Hello, World!? hello... Ünï-code", "a​b"]
-    assert list(packing.Encoder(path)(texts)) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    t, texts = Tokenizer.from_file(path), ["It's I'LL don't 123 x²", "İstanbul ΣΑΣ ﬁ \x1c a\xa0b <|endoftext|> ‘q’", "", "\x85 a", "á e ́x", "Hello, World!? hello... Ünï-code", "a​b", None, "  led by spaces\t\n", "lere*** x$$$ <|endoftext|> a<| b'' c'.", "\xa0", "plain again"]
+    texts += ["<|endoftext|>x " * 3, "tail"]
+    want = [[*t.encode(x or "", add_special_tokens=False).ids, packing.END] for x in texts]
+    for group in (8 << 20, 16, 1):
+        monkeypatch.setattr(packing, "GROUP", group)
+        for remembered in (1_000_000, 3):
+            monkeypatch.setattr(packing, "REMEMBERED", remembered)
+            encode = packing.Encoder(path)
+            for _ in range(2):
+                assert [x.tolist() for some in encode(pa.array(texts)) for x in some] == want
+            assert [x.tolist() for some in encode(pa.array(texts)[3:]) for x in some] == want[3:]
+    assert list(packing.Encoder(path)(pa.array([], pa.string()))) == []
 
 
 def test_base_scores_equal_definition(docs, rows, no_docs):
