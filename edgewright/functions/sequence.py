@@ -27,7 +27,7 @@ def cleaned(seq: Column) -> Column:
 
 def letter_share(seq: Column, letters: str) -> Column:
     """The share of a sequence's letters that are among ``letters``."""
-    rest = F.translate(seq, letters, "")
+    rest = F.replace(seq, F.lit(letters), F.lit("")) if len(letters) == 1 else F.translate(seq, letters, "")
     return (F.length(seq) - F.length(rest)) / F.length(seq)
 
 
@@ -73,19 +73,28 @@ def ctd_transition(df: DataFrame) -> DataFrame:
 
 def ctd_distribution(df: DataFrame) -> DataFrame:
     """(entity_id, feature, value): where the first, quarter, half, three quarter and last letter of a
-    group stand, as a share of the length; 0 for an absent group."""
+    group stand, as an unrounded share of the length; 0 for an absent group.
+
+    The place of a group's k-th letter is the length of what stands before it, found within the row."""
     clean = df.select("entity_id", cleaned(F.col("seq")).alias("s")).withColumn("n", F.length("s"))
     coded = F.array(*[F.struct(F.lit(a).alias("attribute"), group_codes(F.col("s"), a).alias("codes")) for a in ATTRIBUTES])
-    rows = clean.select("entity_id", "n", F.inline(coded)).select("entity_id", "n", "attribute", F.posexplode(F.split("codes", "")).alias("at", "digit")).filter("digit <> ''")
-    places = rows.groupBy("entity_id", "n", "attribute", "digit").agg(F.sort_array(F.collect_list(F.col("at") + 1)).alias("places"))
-    c = F.size("places")
-    at = lambda q: F.element_at("places", F.greatest(F.floor(c * q), F.lit(1)).cast("int"))
-    picks = [("000", F.element_at("places", 1)), ("025", at(0.25)), ("050", at(0.5)), ("075", at(0.75)), ("100", F.element_at("places", -1))]
-    each = F.array(*[F.struct(F.lit(k).alias("q"), F.round(v / F.col("n"), DIGITS).alias("value")) for k, v in picks])
-    found = places.select("entity_id", "attribute", "digit", F.inline(each))
-    name = F.concat("attribute", F.lit("_D"), "digit", F.lit("_"), "q")
-    names = F.explode(F.array(*[F.lit(f"{a}_D{d}_{q}") for a in ATTRIBUTES for d in "123" for q, _ in picks])).alias("feature")
-    return df.select("entity_id", names).join(found.select("entity_id", name.alias("feature"), "value"), ["entity_id", "feature"], "left").na.fill(0.0, ["value"])
+    digits = F.explode(F.array(*map(F.lit, "123"))).alias("digit")
+    rows = clean.select("entity_id", "n", F.inline(coded)).select("*", digits)
+    rows = rows.withColumn("c", F.col("n") - F.length(F.replace("codes", F.col("digit"), F.lit(""))))
+    at = lambda k: F.length(F.expr(f"substring_index(codes, digit, cast({k} AS INT))")) + 1
+    picks = [("000", "1"), ("025", "greatest(floor(c * 0.25D), 1)"), ("050", "greatest(floor(c * 0.5D), 1)"), ("075", "greatest(floor(c * 0.75D), 1)"), ("100", "c")]
+    each = F.array(*[F.struct(F.lit(q).alias("q"), F.when(F.col("c") > 0, at(k) / F.col("n")).otherwise(F.lit(0.0)).alias("value")) for q, k in picks])
+    return rows.select("entity_id", "attribute", "digit", F.inline(each)).select("entity_id", F.concat("attribute", F.lit("_D"), "digit", F.lit("_"), "q").alias("feature"), "value")
+
+
+def chunks(df: DataFrame, size: int, overlap: int = 0) -> DataFrame:
+    """(entity_id, chunk, weight, seq): pieces of ``size`` letters, each ``overlap`` into the one before;
+    ``weight`` is a piece's own length. An empty sequence is one empty piece."""
+    step = size - overlap
+    starts = F.sequence(F.lit(0), F.greatest(F.length("seq") - overlap - 1, F.lit(0)), F.lit(step))
+    rows = df.select("entity_id", "seq", F.posexplode(starts).alias("chunk", "start"))
+    piece = F.substring("seq", F.col("start") + 1, F.lit(size))
+    return rows.select("entity_id", "chunk", F.length(piece).alias("weight"), piece.alias("seq"))
 
 
 def letter_histogram(df: DataFrame) -> DataFrame:

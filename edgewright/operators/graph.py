@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from edgewright.operators.ranges import checkpointed, running
 
-def ensure_checkpoint_dir(df: DataFrame) -> None:
-    """Sets a checkpoint folder of our own where neither conf nor context has one."""
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+
+#: Edges that one task unites, at most.
+IN_ONE_TASK = 1 << 20
 
 
 def endpoints(pairs: DataFrame) -> DataFrame:
@@ -26,24 +26,54 @@ def degrees(pairs: DataFrame) -> DataFrame:
     return endpoints(pairs).groupBy("node").agg(F.count_if(F.col("label") == 1).alias("pos_degree"), F.count_if(F.col("label") == 0).alias("neg_degree"), F.count("*").alias("total_degree"))
 
 
+def _united(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least node that each node of the edges reaches."""
+    up: dict = {}
+
+    def root(x):
+        while (p := up.setdefault(x, x)) != x:
+            up[x] = x = up.setdefault(p, p)
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+        kind = batch.schema.field(0).type
+    if up:
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), kind), pa.array(map(root, list(up)), kind)], ["node", "component"])
+
+
 def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) with the least node that each reaches.
 
-    Minimum labels over neighbours, then over the label's own label; every round is a join, an
-    aggregate with partial minima, and a reliable checkpoint. Rounds grow with the logarithm of the
-    longest shortest path."""
-    ensure_checkpoint_dir(pairs)
-    edges = endpoints(pairs.select("a", "b")).distinct().checkpoint()
-    label = edges.groupBy("node").agg(F.least(F.first("node"), F.min("other")).alias("component")).checkpoint()
+    A round gives each node the least of its neighbours and itself as its parent, after a jump to that
+    one's own parent, and contracts edges to the parents of their ends; minima are partial before the
+    shuffle. Once ``IN_ONE_TASK`` edges are left at most, one task unites them. Every round is cut by a
+    reliable checkpoint."""
+    ends = endpoints(pairs.select("a", "b"))
+    edges = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    nodes, edges = endpoints(edges).select("node").distinct(), edges.filter("a <> b")
+    steps = []
     for _ in range(rounds):
-        near = edges.join(label.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("least"))
-        lower = label.join(near, "node").select("node", F.least("component", "least").alias("next"), F.col("component").alias("was"))
-        further = label.select(F.col("node").alias("next"), F.col("component").alias("jump"))
-        moved = lower.join(further, "next").select("node", F.least("next", "jump").alias("component"), (F.least("next", "jump") < F.col("was")).alias("moved")).checkpoint()
-        label = moved.select("node", "component")
-        if moved.filter("moved").isEmpty():
-            return label
-    raise RuntimeError(f"components still move after {rounds} rounds")
+        if edges.count() <= IN_ONE_TASK:
+            break
+        near = checkpointed(endpoints(edges).groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("first")))
+        step = checkpointed(near.join(near.select(F.col("node").alias("first"), F.col("first").alias("parent")), "first").select("node", "parent"))
+        steps.append(step)
+        of_a, of_b = (step.toDF(x, f"p{x}") for x in ("a", "b"))
+        moved = edges.join(of_a, "a").join(of_b, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+        up = step.select(F.col("parent").alias("a")).distinct().join(of_a, "a").select("a", F.col("pa").alias("b"))
+        edges = checkpointed(moved.union(up).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    else:
+        raise RuntimeError(f"more than {IN_ONE_TASK} edges are left after {rounds} rounds")
+    kind = edges.schema["a"].dataType.simpleString()
+    last = edges.coalesce(1).mapInArrow(_united, f"node {kind}, component {kind}").toDF("component", "next")
+    label = nodes.withColumn("component", F.col("node"))
+    for step in [*(s.toDF("component", "next") for s in steps), last]:
+        label = label.join(step, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
+    return checkpointed(label)
 
 
 def component_sizes(labels: DataFrame) -> DataFrame:
@@ -77,9 +107,8 @@ def hubs(pairs: DataFrame, k: int = 10) -> DataFrame:
 def upper_median_degree(pairs: DataFrame) -> DataFrame:
     """The upper median of degrees, from counts of each degree."""
     count = endpoints(pairs.select("a", "b")).groupBy("node").agg(F.count("*").alias("degree")).groupBy("degree").agg(F.count("*").alias("n"))
-    up_to = F.sum("n").over(Window.orderBy("degree"))
-    every = F.sum("n").over(Window.partitionBy())
-    return count.select("degree", up_to.alias("up_to"), every.alias("every")).filter("up_to > every div 2").agg(F.min("degree").alias("upper_median_degree"))
+    up = running(count, [], "degree", {"up_to": F.col("n")})
+    return up.filter("up_to > all_up_to div 2").agg(F.min("degree").alias("upper_median_degree"))
 
 
 def clustering_coefficient(pairs: DataFrame) -> DataFrame:

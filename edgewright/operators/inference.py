@@ -10,12 +10,13 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from edgewright.functions.draws import below
 from edgewright.operators.metrics import roc_auc
+from edgewright.operators.ranges import checkpointed, running
 
 SEED, DIGITS = 42, 6
 
@@ -25,13 +26,12 @@ def without_each(scored: DataFrame) -> DataFrame:
 
     Leaving a component out subtracts: of its own pairs, and of pairs between it and the rest, which
     one join on scores of all rows gives. Work grows with rows, not with rows times components."""
-    counts = scored.groupBy("component", "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    by_score = counts.groupBy("p").agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    up = Window.orderBy("p")
-    by_score = by_score.withColumns({"neg_below": F.sum("all_neg").over(up) - F.col("all_neg") / 2, "pos_above": F.sum("all_pos").over(Window.partitionBy()) - F.sum("all_pos").over(up) + F.col("all_pos") / 2})
-    total = by_score.agg(F.sum("all_pos").alias("P"), F.sum("all_neg").alias("N"), F.sum(F.col("all_pos") * F.col("neg_below")).alias("U"))
-    own_up = Window.partitionBy("component").orderBy("p")
-    each = counts.withColumn("own_below", F.sum("neg").over(own_up) - F.col("neg") / 2).join(by_score, "p")
+    counts = checkpointed(scored.groupBy("component", "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")))
+    by_score = running(counts.groupBy("p").agg(F.sum("pos").alias("of_pos"), F.sum("neg").alias("of_neg")), [], "p", {"pos_up": F.col("of_pos"), "neg_up": F.col("of_neg")})
+    by_score = checkpointed(by_score.select("p", "of_pos", "of_neg", (F.col("neg_up") - F.col("of_neg") / 2).alias("neg_below"), (F.col("all_pos_up") - F.col("pos_up") + F.col("of_pos") / 2).alias("pos_above")))
+    total = by_score.agg(F.sum("of_pos").alias("P"), F.sum("of_neg").alias("N"), F.sum(F.col("of_pos") * F.col("neg_below")).alias("U"))
+    own = running(counts, ["component"], "p", {"own_up": F.col("neg")}).drop("all_own_up")
+    each = own.withColumn("own_below", F.col("own_up") - F.col("neg") / 2).join(by_score, "p")
     c = each.groupBy("component").agg(F.sum("pos").alias("cp"), F.sum("neg").alias("cn"), F.sum(F.col("pos") * F.col("neg_below")).alias("mine_over"), F.sum(F.col("neg") * F.col("pos_above")).alias("over_mine"), F.sum(F.col("pos") * F.col("own_below")).alias("inside"))
     left = c.join(F.broadcast(total))  # one row of totals
     u = F.col("U") - F.col("mine_over") - F.col("over_mine") + F.col("inside")
@@ -41,6 +41,7 @@ def without_each(scored: DataFrame) -> DataFrame:
 
 def jackknife(scored: DataFrame) -> DataFrame:
     """One row: usable components, the full score, and the delete-one variance of the area."""
+    scored = checkpointed(scored)
     left = without_each(scored).filter("roc_auc IS NOT NULL")
     v = left.agg(F.count("*").alias("g"), F.var_pop("roc_auc").alias("v"))
     full = roc_auc(scored.withColumn("grp", F.lit(0))).select(F.col("roc_auc").alias("full_auc"))
@@ -51,18 +52,19 @@ def multiplicities(components: DataFrame, replicates: int, seed: int = SEED) ->
     """(replicate, component, times): as many components as there are, drawn with replacement.
 
     Components are numbered; a draw is a number. Zero times give no row."""
-    distinct = components.select("component").distinct()
-    listed = distinct.withColumn("number", F.row_number().over(Window.orderBy("component")) - 1)
+    listed = checkpointed(running(components.select("component").distinct(), [], "component", {"number": F.lit(1)}).select("component", (F.col("number") - 1).alias("number")))
     n = listed.agg(F.count("*").alias("n"))
-    slots = listed.select(F.col("number").alias("slot")).join(F.broadcast(n)).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    slots = listed.select(F.col("number").alias("slot")).join(F.broadcast(n)).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))  # one row
     drawn = slots.select("replicate", below(F.col("n"), seed, "replicate", "slot").cast("int").alias("number"))
     return drawn.groupBy("replicate", "number").agg(F.count("*").alias("times")).join(listed, "number").select("replicate", "component", "times")
 
 
 def bootstrap(scored: DataFrame, replicates: int = 200, seed: int = SEED) -> DataFrame:
-    """(replicate, roc_auc) over components drawn with replacement, as weights."""
-    counts = scored.groupBy("component", "p", "y").agg(F.count("*").alias("n"))
-    drawn = counts.join(multiplicities(scored, replicates, seed), "component").withColumnRenamed("replicate", "grp")
+    """(replicate, roc_auc) over components drawn with replacement, as weights.
+
+    A component's counts of scores are made once, and weighed before anything is sorted."""
+    counts = checkpointed(scored.groupBy("component", "p", "y").agg(F.count("*").alias("n")))
+    drawn = counts.join(multiplicities(counts, replicates, seed), "component").withColumnRenamed("replicate", "grp")
     return roc_auc(drawn, F.col("times") * F.col("n")).select(F.col("grp").alias("replicate"), "roc_auc")
 
 
@@ -77,13 +79,14 @@ def interval(replicates: DataFrame, null: float = 0.5) -> DataFrame:
 def adjusted(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
     """(family, test, p) with ``p_adj`` and ``reject`` by Benjamini and Hochberg in each family.
 
-    Null p-values take no part and stay null."""
-    real = tests.filter("p IS NOT NULL")
-    w = Window.partitionBy("family")
-    ranked = real.withColumns({"rank": F.row_number().over(w.orderBy("p", "test")), "m": F.count("*").over(w)})
-    raw = ranked.withColumn("raw", F.col("p") * F.col("m") / F.col("rank"))
-    least = F.min("raw").over(w.orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0))
-    done = raw.select("family", "test", "p", F.round(F.least(F.lit(1.0), least), 9).alias("p_adj")).withColumn("reject", F.col("p_adj") <= alpha)
+    Null p-values take no part and stay null. Equal ones share the rank of the last, which the running
+    minimum gives them anyway; so different values are enough, and a family needn't meet in a task."""
+    real = checkpointed(tests.filter("p IS NOT NULL"))
+    counts = running(real.groupBy("family", "p").agg(F.count("*").alias("n")), ["family"], "p", {"rank": F.col("n")})
+    raw = counts.select("family", "p", (F.col("p") * F.col("all_rank") / F.col("rank")).alias("raw"))
+    least = running(raw, ["family"], "p", least={"above": F.col("raw")}, descending=True)
+    p_adj = least.select("family", "p", F.round(F.least(F.lit(1.0), "raw", "above"), 9).alias("p_adj"))
+    done = real.join(p_adj, ["family", "p"]).select("family", "test", "p", "p_adj").withColumn("reject", F.col("p_adj") <= alpha)
     return done.union(tests.filter("p IS NULL").select("family", "test", "p", F.lit(None).cast("double"), F.lit(False)))
 
 

@@ -1,14 +1,16 @@
 """Ranking, threshold and calibration metrics of scored outcomes (grp, y, p), by group.
 
 Rankings work on one row for each different score of a group (positives and negatives there), made
-by an aggregate with partial sums; windows then run over those rows alone.
+by an aggregate with partial sums; running sums over those rows are taken in slices of bounded size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from edgewright.operators.ranges import quantiles, running
+
 DIGITS = 6
 
 
@@ -24,17 +26,15 @@ def score_counts(scored: DataFrame, weight: Column | None = None) -> DataFrame:
 
 def roc_auc(scored: DataFrame, weight: Column | None = None) -> DataFrame:
     """(grp, roc_auc): the chance that a positive outscores a negative, ties half; null for one class."""
-    up = Window.partitionBy("grp").orderBy("p")
-    counts = score_counts(scored, weight).withColumn("below", F.sum("neg").over(up) - F.col("neg") / 2)
+    counts = running(score_counts(scored, weight), ["grp"], "p", {"up": F.col("neg")}).withColumn("below", F.col("up") - F.col("neg") / 2)
     total = F.sum("pos") * F.sum("neg")
     return counts.groupBy("grp").agg(_rounded(F.try_divide(F.sum(F.col("pos") * F.col("below")), total)).alias("roc_auc"))
 
 
 def pr_curve(scored: DataFrame) -> DataFrame:
     """(grp, p, pos, tp, fp, recall, precision) at each different score as the threshold."""
-    down = Window.partitionBy("grp").orderBy(F.desc("p"))
-    curve = score_counts(scored).withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "all_pos": F.sum("pos").over(Window.partitionBy("grp"))})
-    return curve.select("grp", "p", "pos", "tp", "fp", F.try_divide("tp", "all_pos").alias("recall"), F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"))
+    curve = running(score_counts(scored), ["grp"], "p", {"tp": F.col("pos"), "fp": F.col("neg")}, descending=True)
+    return curve.select("grp", "p", "pos", "tp", "fp", F.try_divide("tp", "all_tp").alias("recall"), F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"))
 
 
 def average_precision(scored: DataFrame) -> DataFrame:
@@ -90,18 +90,19 @@ def ece_width(scored: DataFrame, bins: tuple[int, ...] = (10,)) -> DataFrame:
 
 def ece_frequency(scored: DataFrame, bins: int = 10) -> DataFrame:
     """(grp, ece) with bins between distinct quantiles; 0 where all scores are equal."""
-    at = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    edges = scored.groupBy("grp").agg(F.array_distinct(F.percentile("p", at)).alias("edges"))
+    edges = quantiles(scored, ["grp"], "p", [i / bins for i in range(bins + 1)], "edges").withColumn("edges", F.array_distinct("edges"))
     inner = F.greatest(F.lit(0), F.size(F.filter("edges", lambda e: e < F.col("p"))) - 1)
-    binned = scored.join(F.broadcast(edges), "grp").select("grp", "y", "p", inner.alias("bin"), (F.size("edges") < 2).alias("constant"))
+    binned = scored.join(edges, "grp").select("grp", "y", "p", inner.alias("bin"), (F.size("edges") < 2).alias("constant"))
     return _ece(binned.withColumn("p", F.when(F.col("constant"), F.lit(0.0)).otherwise(F.col("p"))).withColumn("y", F.when(F.col("constant"), 0).otherwise(F.col("y"))))
 
 
 def separation(scored: DataFrame) -> DataFrame:
     """Per group: how classes' scores differ, and whether the ordering is reversed, chance or expected."""
     pos, neg = F.when(F.col("y") == 1, F.col("p")), F.when(F.col("y") == 0, F.col("p"))
-    quartiles = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    c = scored.groupBy("grp").agg(F.avg(pos).alias("mp"), F.avg(neg).alias("mn"), F.var_samp(pos).alias("vp"), F.var_samp(neg).alias("vn"), F.count(pos).alias("np"), F.count(neg).alias("nn"), F.percentile(pos, quartiles).alias("qp"), F.percentile(neg, quartiles).alias("qn"))
+    c = scored.groupBy("grp").agg(F.avg(pos).alias("mp"), F.avg(neg).alias("mn"), F.var_samp(pos).alias("vp"), F.var_samp(neg).alias("vn"), F.count(pos).alias("np"), F.count(neg).alias("nn"))
+    quartiles = quantiles(scored, ["grp", "y"], "p", [0.25, 0.5, 0.75], "q")
+    for name, y in (("qp", 1), ("qn", 0)):
+        c = c.join(quartiles.filter(F.col("y") == y).select("grp", F.col("q").alias(name)), "grp", "left")
     pooled = F.sqrt(F.try_divide((F.col("np") - 1) * F.col("vp") + (F.col("nn") - 1) * F.col("vn"), F.col("np") + F.col("nn") - 2))
     auc = F.col("roc_auc")
     order = F.when(auc <= 0.47, "reversed").when(F.abs(auc - 0.5) <= 0.03, "chance").otherwise("expected")

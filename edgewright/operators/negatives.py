@@ -1,85 +1,162 @@
 """Control negatives: pairs without a link, matched to the positives in some way.
 
 Every set follows one contract. For each positive one end is kept (by a fair draw) and the other
-replaced by a drawn entity of the same stratum; a draw is rejected if it is either end, if the pair
-is a known positive, or if the pair was already made. A positive whose draws all fail gives no row.
-
-Draws are not scans of a stratum: its entities are dealt into small buckets and numbered there, so a
-draw is a bucket and a number, found by an equi-join. A round makes ``draws`` draws for each positive
-without a negative and keeps its first good one; of equal pairs the least ticket wins, and the
-others go on to the next round.
+replaced by an entity of the wanted stratum; an entity is rejected if it is either end, if the pair is
+a known positive, or if the pair was already made. A positive gives no row only if no entity of its
+stratum is left for it.
+
+Draws are not scans of a stratum: its entities are numbered, so a draw is a number, found by an
+equi-join. A round makes ``draws`` draws for each positive without a negative and keeps its first good
+one; of equal pairs the least ticket wins, and the others go on to the next round. Those that all
+rounds leave (ends that are linked to most of their stratum) are served by going through the stratum
+in blocks of numbers, from a drawn one on.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgewright.functions.draws import below, ticket
-from edgewright.operators.graph import ensure_checkpoint_dir
+from edgewright.operators.ranges import checkpointed, quantiles, running
 
-SEED, DRAWS, ROUNDS, BUCKET = 42, 16, 8, 512
+SEED, DRAWS, ROUNDS, BLOCK = 42, 16, 4, 512
+#: Different degrees that a search for the nearest holds in one array, at most.
+MOST_DEGREES = 10_000
 
 
-def numbered(entities: DataFrame, buckets: int) -> DataFrame:
-    """(entity, stratum, ...) with its bucket, and its number in it."""
-    dealt = entities.withColumn("bucket", F.pmod(F.xxhash64("entity"), F.lit(buckets)))
-    return dealt.withColumn("number", F.row_number().over(Window.partitionBy("stratum", "bucket").orderBy("entity")) - 1)
+def numbered(entities: DataFrame) -> DataFrame:
+    """(entity, stratum, ...) with its number in the stratum, from 0 in the order of hashes, and ``size``."""
+    hashed = entities.withColumn("hash", F.xxhash64("entity"))
+    return running(hashed, ["stratum"], "hash", {"number": F.lit(1)}).withColumn("number", F.col("number") - 1).withColumnRenamed("all_number", "size").drop("hash")
 
 
-def matched(positives: DataFrame, entities: DataFrame, name: str, seed: int = SEED, both: bool = False, exclude_cluster: bool = False, draws: int = DRAWS, rounds: int = ROUNDS) -> DataFrame:
-    """(set_name, a, b, label, of_a, of_b): negatives for positives (a, b), with whom each is for.
+class _Sets:
+    """What the rounds of one set share: numbered entities, known pairs, and the pairs made so far."""
+
+    def __init__(self, positives: DataFrame, entities: DataFrame, seed: int, both: bool, exclude_cluster: bool, candidates: DataFrame | None) -> None:
+        self.seed, self.both, self.cluster = seed, both, exclude_cluster
+        self.pool = checkpointed(numbered(entities if candidates is None else entities.join(candidates.select("entity").distinct(), "entity", "left_semi")))
+        self.sizes = self.pool.select("stratum", "size").distinct()
+        self.known = checkpointed(positives.select("a", "b").distinct())
+        self.made: DataFrame | None = None
+        extra = ["cluster"] if exclude_cluster else []
+        side = lambda x: entities.select(F.col("entity").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("stratum", *extra)))
+        start = self.known.withColumn("keep_a", below(F.lit(2), seed, F.lit("side"), "a", "b") == 0)
+        self.open = checkpointed(start.join(side("a"), "a").join(side("b"), "b"))
+
+    def wanted(self) -> Column:
+        """The stratum of the end that is replaced."""
+        return F.when(F.col("keep_a"), F.col("stratum_b")).otherwise(F.col("stratum_a"))
+
+    def sized(self, rows: DataFrame, stratum: Column, out: str) -> DataFrame:
+        """With how many entities the wanted stratum has, once for each open positive."""
+        return rows.withColumn("stratum", stratum).join(self.sizes.withColumnRenamed("size", f"size_{out}"), "stratum").withColumnRenamed("stratum", f"in_{out}")
 
-    ``entities`` are (entity, stratum[, cluster]); ``both`` redraws both ends; ``exclude_cluster``
-    rejects an entity of the kept end's cluster, an unknown cluster being equal to another."""
-    ensure_checkpoint_dir(positives)
-    buckets = max(1, entities.count() // BUCKET)
-    pool = numbered(entities, buckets).checkpoint()
-    sizes = pool.groupBy("stratum", "bucket").agg(F.count("*").alias("size"))
-    full = sizes.groupBy("stratum").agg(F.sort_array(F.collect_list(F.struct("bucket", "size"))).alias("full"))
-    strata = pool.select("entity", "stratum", *(["cluster"] if exclude_cluster else []))
-    known = positives.select("a", "b").distinct().checkpoint()
-    start = known.withColumn("keep_a", below(F.lit(2), seed, F.lit("side"), "a", "b") == 0)
-    side = lambda x: strata.select(F.col("entity").alias(x), F.col("stratum").alias(f"stratum_{x}"), *([F.col("cluster").alias(f"cluster_{x}")] if exclude_cluster else []))
-    open_pairs = start.join(side("a"), "a").join(side("b"), "b").checkpoint()
-    made = None
-    for r in range(rounds):
-        tries = open_pairs.withColumn("try", F.explode(F.sequence(F.lit(r * draws), F.lit((r + 1) * draws - 1))))
+    def member(self, tries: DataFrame, number: Column, out: str) -> DataFrame:
+        extra = [F.col("cluster").alias(f"cluster_{out}")] if self.cluster else []
+        members = self.pool.select(F.col("stratum").alias(f"in_{out}"), F.col("number").alias("number"), F.col("entity").alias(out), *extra)
+        return tries.withColumn("number", number.cast("long")).join(members.withColumn("number", F.col("number").cast("long")), [f"in_{out}", "number"]).drop("number")
+
+    def keep(self, drawn: DataFrame) -> bool:
+        """Takes each positive's first good try; whether there was one."""
         kept = F.when(F.col("keep_a"), F.col("a")).otherwise(F.col("b"))
-        if both:
-            drawn = _draw(_draw(tries, F.col("stratum_a"), full, pool, seed, "u"), F.col("stratum_b"), full, pool, seed, "v")
-            x, y = F.col("u"), F.col("v")
-            fine = x != y
-        else:
-            stratum = F.when(F.col("keep_a"), F.col("stratum_b")).otherwise(F.col("stratum_a"))
-            drawn = _draw(tries, stratum, full, pool, seed, "u")
-            x, y = kept, F.col("u")
-            fine = (F.col("u") != F.col("a")) & (F.col("u") != F.col("b"))
-            if exclude_cluster:
-                mine = F.when(F.col("keep_a"), F.col("cluster_a")).otherwise(F.col("cluster_b"))
-                fine = fine & ~F.col("cluster_u").eqNullSafe(mine)
+        x, y = (F.col("u"), F.col("v")) if self.both else (kept, F.col("u"))
+        fine = x != y if self.both else (F.col("u") != F.col("a")) & (F.col("u") != F.col("b"))
+        if self.cluster:
+            fine = fine & ~F.col("cluster_u").eqNullSafe(F.when(F.col("keep_a"), F.col("cluster_a")).otherwise(F.col("cluster_b")))
         rows = drawn.filter(fine).select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"), F.col("a").alias("of_a"), F.col("b").alias("of_b"), "try")
-        rows = rows.join(known.toDF("x", "y"), ["x", "y"], "left_anti")
-        if made is not None:
-            rows = rows.join(made.select("x", "y"), ["x", "y"], "left_anti")
+        rows = rows.join(self.known.toDF("x", "y"), ["x", "y"], "left_anti")
+        if self.made is not None:
+            rows = rows.join(self.made.select("x", "y"), ["x", "y"], "left_anti")
         first = rows.groupBy("of_a", "of_b").agg(F.min_by(F.struct("x", "y"), "try").alias("p"))
-        won = first.groupBy("p").agg(F.min_by(F.struct("of_a", "of_b"), F.struct(ticket(seed, "of_a", "of_b"), "of_a", "of_b")).alias("o"))
-        new = won.select("p.x", "p.y", "o.of_a", "o.of_b").checkpoint()
-        made = new if made is None else made.union(new).checkpoint()
-        open_pairs = open_pairs.join(new.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")), ["a", "b"], "left_anti").checkpoint()
-        if open_pairs.isEmpty():
-            break
-    return made.select(F.lit(name).alias("set_name"), F.col("x").alias("a"), F.col("y").alias("b"), F.lit(0).alias("label"), "of_a", "of_b")
-
+        won = first.groupBy("p").agg(F.min_by(F.struct("of_a", "of_b"), F.struct(ticket(self.seed, "of_a", "of_b"), "of_a", "of_b")).alias("o"))
+        new = checkpointed(won.select("p.x", "p.y", "o.of_a", "o.of_b"))
+        if new.isEmpty():
+            return False
+        self.made = new if self.made is None else checkpointed(self.made.union(new))
+        self.open = checkpointed(self.open.join(new.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")), ["a", "b"], "left_anti"))
+        return True
+
+    def draw(self, rounds: int, draws: int, salt: str = "") -> None:
+        for r in range(rounds):
+            if self.open.isEmpty():
+                return
+            ready = self.sized(self.open, F.col("stratum_a") if self.both else self.wanted(), "u")
+            ready = self.sized(ready, F.col("stratum_b"), "v") if self.both else ready
+            tries = ready.withColumn("try", F.explode(F.sequence(F.lit(r * draws), F.lit((r + 1) * draws - 1))))
+            for out in ("u", "v") if self.both else ("u",):
+                tries = self.member(tries, below(F.col(f"size_{out}"), self.seed, F.lit(f"{salt}{out} number"), "a", "b", "try"), out)
+            self.keep(tries)
+
+    def sweep(self, salt: str = "") -> None:
+        """Goes through the strata of positives that are open, one block of numbers after another."""
+        ready = checkpointed(self.sized(self.open, self.wanted(), "u").select("a", "b", "in_u", "size_u", below(F.col("size_u"), self.seed, F.lit(f"{salt}start"), "a", "b").alias("start")))
+        largest = ready.agg(F.max("size_u")).first()[0] or 0
+        for at in range(0, largest, BLOCK):
+            while True:
+                left = self.open.join(ready.filter(F.col("size_u") > at), ["a", "b"])
+                tries = left.withColumn("try", F.explode(F.sequence(F.lit(at), F.least(F.lit(at + BLOCK), F.col("size_u")).cast("int") - 1)))
+                if not self.keep(self.member(tries, (F.col("start") + F.col("try")) % F.col("size_u"), "u")):
+                    break
+            if self.open.isEmpty():
+                return
+
+    def rows(self, name: str) -> DataFrame:
+        made = self.made if self.made is not None else self.known.limit(0).select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("a").alias("of_a"), F.col("b").alias("of_b"))
+        return made.select(F.lit(name).alias("set_name"), F.col("x").alias("a"), F.col("y").alias("b"), F.lit(0).alias("label"), "of_a", "of_b")
+
+
+def matched(positives: DataFrame, entities: DataFrame, name: str, seed: int = SEED, both: bool = False, exclude_cluster: bool = False, draws: int = DRAWS, rounds: int = ROUNDS, candidates: DataFrame | None = None) -> DataFrame:
+    """(set_name, a, b, label, of_a, of_b): negatives for positives (a, b), with whom each is for.
 
-def _draw(tries: DataFrame, stratum: Column, full: DataFrame, pool: DataFrame, seed: int, out: str) -> DataFrame:
-    """Draws an entity of a stratum for each try: one of its buckets, then a number below its size."""
-    rows = tries.withColumn("stratum", stratum).join(F.broadcast(full), "stratum")
-    pick = F.get("full", below(F.size("full"), seed, F.lit(f"{out} bucket"), "a", "b", "try").cast("int"))
-    rows = rows.withColumn("pick", pick).withColumn("number", below(F.col("pick.size"), seed, F.lit(f"{out} number"), "a", "b", "try").cast("int")).withColumn("bucket", F.col("pick.bucket")).drop("full", "pick")
-    extra = [F.col("cluster").alias(f"cluster_{out}")] if "cluster" in pool.columns else []
-    members = pool.select("stratum", "bucket", "number", F.col("entity").alias(out), *extra)
-    return rows.join(members, ["stratum", "bucket", "number"]).drop("stratum", "bucket", "number")
+    ``entities`` are (entity, stratum[, cluster]); only ``candidates`` (entity) stand in, if given;
+    ``both`` redraws both ends, ``2 * draws * rounds`` times at most; ``exclude_cluster`` rejects an
+    entity of the kept end's cluster, an unknown cluster being equal to another."""
+    sets = _Sets(positives, entities, seed, both, exclude_cluster, candidates)
+    sets.draw(2 * rounds if both else rounds, draws)
+    if not both and not sets.open.isEmpty():
+        sets.sweep()
+    return sets.rows(name)
+
+
+def _tiers(sets: _Sets, caliper: int | None) -> Iterator[DataFrame]:
+    """The open positives with their next nearest stratum as the wanted one, until none has any."""
+    held = sets.sizes.select("stratum").distinct().limit(MOST_DEGREES + 1).collect()
+    if len(held) > MOST_DEGREES:
+        raise ValueError(f"more than {MOST_DEGREES} different degrees")
+    degrees = F.array(*[F.lit(d) for d in sorted(r["stratum"] for r in held)])
+    near = F.transform(degrees, lambda d: F.struct(F.abs(d - sets.wanted()).alias("distance"), d.alias("degree")))
+    near = near if caliper is None else F.filter(near, lambda s: s["distance"] <= caliper)
+    order = checkpointed(sets.open.select("a", "b", F.array_sort(near).alias("order")))
+    for k in range(len(held)):
+        tier = order.filter(F.size("order") > k).select("a", "b", F.get("order", F.lit(k))["degree"].alias("tier"))
+        rows = sets.open.join(tier, ["a", "b"])
+        if rows.isEmpty():
+            return
+        yield rows
+
+
+def nearest(positives: DataFrame, entities: DataFrame, name: str, caliper: int | None = None, seed: int = SEED, candidates: DataFrame | None = None) -> DataFrame:
+    """Like ``matched``, with the entity of nearest degree that is left; ``stratum`` is the degree.
+
+    The degrees that entities have are tried from the nearest on, the lesser of two at one distance
+    first, none beyond ``caliper``; a degree is left only when no entity of it serves."""
+    sets = _Sets(positives, entities, seed, False, False, candidates)
+    waiting = None
+    for k, rows in enumerate(_tiers(sets, caliper)):
+        everyone = sets.open
+        sets.open = checkpointed(rows.withColumn("stratum_a", F.when(F.col("keep_a"), F.col("stratum_a")).otherwise(F.col("tier"))).withColumn("stratum_b", F.when(F.col("keep_a"), F.col("tier")).otherwise(F.col("stratum_b"))).drop("tier"))
+        sets.draw(1, DRAWS, f"{k} ")
+        if not sets.open.isEmpty():
+            sets.sweep(f"{k} ")
+        waiting = everyone if sets.made is None else everyone.join(sets.made.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")), ["a", "b"], "left_anti")
+        sets.open = checkpointed(waiting)
+        if sets.open.isEmpty():
+            break
+    return sets.rows(name)
 
 
 def nearest_degree(entities: DataFrame, degrees_wanted: DataFrame, caliper: int | None = None) -> DataFrame:
@@ -88,26 +165,36 @@ def nearest_degree(entities: DataFrame, degrees_wanted: DataFrame, caliper: int
     A search among different degrees alone, from either side: no entity is compared with another."""
     have = entities.select(F.col("degree").alias("d")).distinct().withColumn("kind", F.lit(0))
     want = degrees_wanted.select(F.col("wanted").alias("d")).distinct().withColumn("kind", F.lit(1))
-    both = have.union(want)
-    own = F.when(F.col("kind") == 0, F.col("d"))
-    low = F.last(own, True).over(Window.orderBy("d", "kind").rowsBetween(Window.unboundedPreceding, 0))
-    high = F.first(own, True).over(Window.orderBy("d", "kind").rowsBetween(0, Window.unboundedFollowing))
-    found = both.select(F.col("d").alias("wanted"), "kind", low.alias("low"), high.alias("high")).filter("kind = 1")
+    both = have.union(want).groupBy("d").agg(F.max(F.when(F.col("kind") == 0, F.col("d"))).alias("own"), F.max("kind").alias("asked"))
+    up = running(both, [], "d", least={"low": -F.col("own")}).withColumn("low", F.greatest(-F.col("low"), "own"))
+    found = running(up, [], "d", least={"high": F.col("own")}, descending=True).withColumn("high", F.least("high", "own")).filter("asked = 1").withColumnRenamed("d", "wanted")
     best = F.when(F.col("high").isNull() | (F.col("wanted") - F.col("low") <= F.col("high") - F.col("wanted")), F.col("low")).otherwise(F.col("high"))
     out = found.select("wanted", best.alias("degree")).withColumn("distance", F.abs(F.col("wanted") - F.col("degree")))
     return out if caliper is None else out.filter(F.col("distance") <= caliper)
 
 
-def violations(negatives: DataFrame, positives: DataFrame) -> DataFrame:
-    """Per set: rows, and how many break the contract (all 0)."""
+def checks(negatives: DataFrame, positives: DataFrame, entities: DataFrame, exclude_cluster: bool = False) -> DataFrame:
+    """(set_name, low, high, n, broken): negatives by the two strata of their ends, and how many break
+    the contract: a self-pair, a known positive, a repeat, ends out of order, other strata than those of
+    the positive, or the kept end's own cluster."""
     known = positives.select("a", "b").distinct().withColumn("known", F.lit(1))
-    repeats = negatives.groupBy("set_name", "a", "b").agg(F.count("*").alias("n"))
-    marked = repeats.join(known, ["a", "b"], "left")
-    return marked.groupBy("set_name").agg(F.count_if(F.col("a") == F.col("b")).alias("self_pairs"), F.count_if(F.col("known").isNotNull()).alias("known_positives"), F.count_if(F.col("n") > 1).alias("repeated"), F.count_if(F.col("a") > F.col("b")).alias("unordered"))
+    repeats = negatives.groupBy("set_name", "a", "b").agg(F.count("*").alias("times"))
+    rows = negatives.join(repeats, ["set_name", "a", "b"]).join(known, ["a", "b"], "left")
+    extra = ["cluster"] if exclude_cluster else []
+    for x in ("a", "b", "of_a", "of_b"):
+        rows = rows.join(entities.select(F.col("entity").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("stratum", *extra))), x, "left")
+    of = F.array_sort(F.array("stratum_of_a", "stratum_of_b"))
+    broken = (F.col("a") >= F.col("b")) | F.col("known").isNotNull() | (F.col("times") > 1) | (F.array_sort(F.array("stratum_a", "stratum_b")) != of)
+    if exclude_cluster:
+        broken = broken | F.col("cluster_a").eqNullSafe(F.col("cluster_b"))
+    return rows.groupBy("set_name", of[0].alias("low"), of[1].alias("high")).agg(F.count("*").alias("n"), F.count_if(broken).alias("broken"))
 
 
 def reuse(negatives: DataFrame, positives: DataFrame) -> DataFrame:
-    """Per set: how often one entity stands in for others."""
+    """Per set: how often one entity stands in for others: how many do, the most, median and 95 %
+    quantile of times, and the most as a share of the set."""
     ends = negatives.select("set_name", F.explode(F.array_except(F.array("a", "b"), F.array("of_a", "of_b"))).alias("decoy"))
-    n = ends.groupBy("set_name", "decoy").agg(F.count("*").alias("times"))
-    return n.groupBy("set_name").agg(F.count("*").alias("decoys"), F.max("times").alias("most"), F.round(F.percentile("times", 0.95), 6).alias("p95"))
+    n = checkpointed(ends.groupBy("set_name", "decoy").agg(F.count("*").alias("times")))
+    most = n.groupBy("set_name").agg(F.count("*").alias("decoys"), F.max("times").alias("most"), F.sum("times").alias("rows"))
+    q = quantiles(n, ["set_name"], "times", [0.5, 0.95], "q")
+    return most.join(q, "set_name").select("set_name", "decoys", "most", F.round(F.col("q")[0], 6).alias("median"), F.round(F.col("q")[1], 6).alias("p95"), F.round(F.col("most") / F.col("rows"), 6).alias("most_share"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgewright.functions.draws import ticket, uniform
-from edgewright.operators.graph import ensure_checkpoint_dir
+from edgewright.operators.ranges import checkpointed
 
 SEED, TEST_SHARE = 42, 0.2
 
@@ -64,10 +64,9 @@ def novelty(pairs: DataFrame, pooled: DataFrame, share: float = TEST_SHARE, seed
     """R1 both ends seen, R2 exactly one seen, R3 none seen; all train on the same pairs.
 
     R2 drops pairs whose train-pool end has no pair in training."""
-    ensure_checkpoint_dir(pairs)
-    placed = membership(pairs, pooled).checkpoint()  # read three times
+    placed = checkpointed(membership(pairs, pooled))  # read three times
     r1 = degree_safe_holdout(placed.filter("membership = 'both_train'").select(*pairs.columns), share, seed)
-    r1 = r1.checkpoint()
+    r1 = checkpointed(r1)
     train = r1.filter("side = 'train'")
     seen = train.select(F.col("a").alias("known")).union(train.select("b")).distinct()
     mixed = placed.filter("membership = 'mixed'").withColumn("known", F.when(F.col("pool_a") == "train", F.col("a")).otherwise(F.col("b")))
@@ -93,8 +92,7 @@ def leakage(splits: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """One row a regime: pairs and entities on both sides, and test pairs by how many ends are seen.
 
     Each count is one aggregate by regime and key, so all regimes share a plan."""
-    ensure_checkpoint_dir(splits)
-    splits = splits.checkpoint()  # read by every count
+    splits = checkpointed(splits)  # read by every count
     canonical = splits.select("regime", "side", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     both = lambda keyed, name: keyed.groupBy("regime", "key").agg(F.count_if(F.col("side") == "train").alias("x"), F.count_if(F.col("side") == "test").alias("y")).groupBy("regime").agg(F.count_if((F.col("x") > 0) & (F.col("y") > 0)).alias(name))
     ends = canonical.select("regime", "side", F.col("a").alias("key")).union(canonical.select("regime", "side", "b"))

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from edgewright.operators.ranges import quantiles, running
+
+#: Sets that are compared with one reference, at most.
+MOST_SETS = 1_000
 DIGITS = 6
 
 
 def quantile_edges(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     """One row: the distinct interpolated quantiles of a column, as an array."""
-    return df.agg(F.array_distinct(F.percentile(column, F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).alias("edges"))
+    return quantiles(df, [], column, [i / bins for i in range(bins + 1)], "edges").select(F.array_distinct("edges").alias("edges"))
 
 
 def edge_bin(x: str) -> Column:
@@ -25,11 +29,13 @@ def ranked(df: DataFrame, column: str, tie: str) -> DataFrame:
     window holds more than a slice of one value."""
     # ties are dealt to slices in the order of the tie column, by its own quantiles
     cuts = df.agg(F.percentile_approx(tie, [i / 32 for i in range(1, 32)], 1000).alias("cuts"))
-    sliced = df.join(F.broadcast(cuts)).withColumn("slice", F.size(F.filter("cuts", lambda e: e < F.col(tie)))).drop("cuts")
+    sliced = df.join(F.broadcast(cuts)).withColumn("slice", F.size(F.filter("cuts", lambda e: e < F.col(tie)))).drop("cuts")  # one row
     sizes = sliced.groupBy(column, "slice").agg(F.count("*").alias("size"))
-    ahead = sizes.withColumns({"ahead": F.coalesce(F.sum("size").over(Window.orderBy(column, "slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "n": F.sum("size").over(Window.partitionBy())})
+    values = running(sizes.groupBy(column).agg(F.sum("size").alias("of_value")), [], column, {"up": F.col("of_value")})
+    inner = F.coalesce(F.sum("size").over(Window.partitionBy(column).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # 32 slices of a value
+    ahead = sizes.withColumn("inner", inner).join(values, column).select(column, "slice", (F.col("up") - F.col("of_value") + F.col("inner")).alias("ahead"), F.col("all_up").alias("n"))
     within = F.row_number().over(Window.partitionBy(column, "slice").orderBy(tie))
-    return sliced.withColumn("within", within).join(ahead, [column, "slice"]).withColumn("rank", F.col("ahead") + F.col("within")).drop("ahead", "within", "size", "slice")
+    return sliced.withColumn("within", within).join(ahead, [column, "slice"]).withColumn("rank", F.col("ahead") + F.col("within")).drop("ahead", "within", "slice")
 
 
 def rank_decile(bins: int = 10) -> Column:
@@ -60,32 +66,36 @@ def occurrences(pairs: DataFrame, values: DataFrame) -> DataFrame:
 
 def describe(pooled: DataFrame) -> DataFrame:
     """Per set: count, mean, sample deviation, quartiles, least and greatest."""
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    d = pooled.groupBy("set_name").agg(F.count("*").alias("n"), F.round(F.avg("x"), DIGITS).alias("mean"), F.round(F.stddev_samp("x"), DIGITS).alias("sd"), q.alias("q"), F.min("x").alias("low"), F.max("x").alias("high"))
-    return d.select("set_name", "n", "mean", "sd", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "low", "high")
+    d = pooled.groupBy("set_name").agg(F.count("*").alias("n"), F.round(F.avg("x"), DIGITS).alias("mean"), F.round(F.stddev_samp("x"), DIGITS).alias("sd"), F.min("x").alias("low"), F.max("x").alias("high"))
+    return d.join(quantiles(pooled, ["set_name"], "x", [0.25, 0.5, 0.75], "q"), "set_name", "left").select("set_name", "n", "mean", "sd", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "low", "high")
 
 
 def ecdf(pooled: DataFrame) -> DataFrame:
     """(set_name, x, share) with the share of values up to x, from counts of each value."""
     counts = pooled.groupBy("set_name", "x").agg(F.count("*").alias("n"))
-    up = F.sum("n").over(Window.partitionBy("set_name").orderBy("x")) / F.sum("n").over(Window.partitionBy("set_name"))
-    return counts.select("set_name", "x", F.round(up, DIGITS).alias("share"))
+    up = running(counts, ["set_name"], "x", {"up": F.col("n")})
+    return up.select("set_name", "x", F.round(F.col("up") / F.col("all_up"), DIGITS).alias("share"))
 
 
 def compare(pooled: DataFrame, reference: str) -> DataFrame:
     """Every other set against one: standardized mean difference, KS and Wasserstein-1 distance.
 
-    Values are counted first; the running shares cover only different values."""
-    first = pooled.filter(F.col("set_name") == reference)
+    Values are counted first; the running shares cover only different values. At most ``MOST_SETS``
+    sets, whose names the plan holds."""
     moments = pooled.groupBy("set_name").agg(F.avg("x").alias("m"), F.coalesce(F.var_samp("x"), F.lit(0.0)).alias("v"))
     of_ref = moments.filter(F.col("set_name") == reference).select(F.col("m").alias("m0"), F.col("v").alias("v0"))
-    rest = pooled.filter(F.col("set_name") != reference).groupBy("set_name", "x").agg(F.count("*").alias("n1"))
-    spine = rest.select("set_name").distinct().join(F.broadcast(first.groupBy("x").agg(F.count("*").alias("n0"))))
-    both = rest.join(spine, ["set_name", "x"], "full").na.fill(0, ["n0", "n1"])
-    up, every = Window.partitionBy("set_name").orderBy("x"), Window.partitionBy("set_name")
-    gap = F.abs(F.sum("n1").over(up) / F.sum("n1").over(every) - F.sum("n0").over(up) / F.sum("n0").over(every))
-    steps = both.select("set_name", gap.alias("gap"), (F.lead("x").over(up) - F.col("x")).alias("step"))
-    distances = steps.groupBy("set_name").agg(F.max("gap").alias("ks"), F.sum(F.col("gap") * F.coalesce("step", F.lit(0))).alias("w1"))
+    counts = pooled.groupBy("set_name", "x").agg(F.count("*").alias("n"))
+    others = [r["set_name"] for r in moments.filter(F.col("set_name") != reference).select("set_name").limit(MOST_SETS + 1).collect()]
+    if len(others) > MOST_SETS:
+        raise ValueError(f"more than {MOST_SETS} sets to compare")
+    names = F.array(*map(F.lit, others)) if others else F.array().cast("array<string>")
+    mine = counts.filter(F.col("set_name") != reference).select("set_name", "x", F.col("n").alias("n1"), F.lit(0).cast("long").alias("n0"))
+    base = counts.filter(F.col("set_name") == reference).select(F.explode(names).alias("set_name"), "x", F.lit(0).cast("long").alias("n1"), F.col("n").alias("n0"))
+    both = mine.union(base).groupBy("set_name", "x").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    shares = running(both, ["set_name"], "x", {"up1": F.col("n1"), "up0": F.col("n0")})
+    at = shares.select("set_name", "x", F.abs(F.col("up1") / F.col("all_up1") - F.col("up0") / F.col("all_up0")).alias("gap"))
+    steps = running(at, ["set_name"], "x", least={"next": F.col("x")}, descending=True)
+    distances = steps.groupBy("set_name").agg(F.max("gap").alias("ks"), F.sum(F.col("gap") * F.coalesce(F.col("next") - F.col("x"), F.lit(0))).alias("w1"))
     pooled_sd = F.sqrt((F.col("v") + F.col("v0")) / 2)
     smd = F.coalesce(F.try_divide(F.col("m0") - F.col("m"), pooled_sd), F.lit(0.0))
     out = distances.join(moments, "set_name").join(F.broadcast(of_ref))  # one row of the reference

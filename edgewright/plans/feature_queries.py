@@ -35,7 +35,7 @@ def ctd_transition(spark, sf_dir):
 @query("ctd_distribution", f"""WITH {CODED}, d AS (SELECT unnest(['1', '2', '3']) AS digit), p AS (
   SELECT entity_id, n, attribute, digit, list_filter(range(1, n + 1), lambda i: substr(codes, i, 1) = digit) AS places FROM coded, d
 ), q AS (SELECT * FROM (VALUES ('000', 0.0), ('025', 0.25), ('050', 0.5), ('075', 0.75), ('100', 1.0)) v(q, share))
-SELECT entity_id, attribute || '_D' || digit || '_' || q AS feature, CASE WHEN len(places) = 0 THEN 0 ELSE round(places[greatest(floor(len(places) * share), 1)::INTEGER] / n, 6) END AS value FROM p, q""")
+SELECT entity_id, attribute || '_D' || digit || '_' || q AS feature, CASE WHEN len(places) = 0 THEN 0 ELSE places[greatest(floor(len(places) * share), 1)::INTEGER] / n END AS value FROM p, q""")
 def ctd_distribution(spark, sf_dir):
     return sequence.ctd_distribution(t.sequences(spark, sf_dir))
 
@@ -89,7 +89,7 @@ for _kind in vectors.FUSIONS:
     _fusion(_kind)
 
 
-@query("scalar_pair_features", f"""WITH {t.part_pairs_sql()} SELECT a, b, x.p_size + y.p_size AS total, abs(x.p_size - y.p_size) AS gap, least(x.p_size, y.p_size) AS low, greatest(x.p_size, y.p_size) AS high
+@query("scalar_pair_features", f"""WITH {t.PART_PAIRS_SQL} SELECT a, b, x.p_size + y.p_size AS total, abs(x.p_size - y.p_size) AS gap, least(x.p_size, y.p_size) AS low, greatest(x.p_size, y.p_size) AS high
 FROM edges JOIN part x ON x.p_partkey = a JOIN part y ON y.p_partkey = b""")
 def scalar_pair_features(spark, sf_dir):
     part = t.table(spark, sf_dir, "part")

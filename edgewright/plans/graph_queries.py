@@ -9,7 +9,7 @@ from edgewright.plans.audit_queries import CANONICAL_SQL
 from edgewright.plans.catalogue import query
 from edgewright.sources import tables as t
 
-EDGES = t.part_pairs_sql()
+EDGES = t.PART_PAIRS_SQL
 DEGREE = f"{EDGES}, ends AS (SELECT a AS node, b AS other FROM edges UNION ALL SELECT b, a FROM edges), degree AS (SELECT node, count(*) AS degree FROM ends GROUP BY node)"
 LABELS = f"""RECURSIVE {DEGREE}, reach AS (
   SELECT node, node AS other FROM degree UNION SELECT reach.node, ends.other FROM reach JOIN ends ON reach.other = ends.node

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from edgewright.functions.draws import ticket_sql
 from edgewright.operators import graph, inference, metrics
+from edgewright.operators.ranges import checkpointed
 from edgewright.plans.catalogue import query
 from edgewright.sources import tables as t
 
@@ -24,7 +25,7 @@ whole AS (SELECT {AUC} AS full_auc FROM (SELECT *, rank() OVER (ORDER BY p) + (c
 def scored(spark, sf_dir):
     pairs = t.scored_pairs(spark, sf_dir)
     labels = graph.components(pairs).withColumnRenamed("node", "a")
-    return pairs.join(labels, "a").select("component", "y", "p")
+    return checkpointed(pairs.join(labels, "a").select("component", "y", "p"))  # counted several times
 
 
 @query("leave_one_component_out", f"WITH {LOCO} SELECT component, n_left, round(roc_auc, 6) AS roc_auc FROM loco")
@@ -44,7 +45,7 @@ def jackknife_interval(spark, sf_dir):
     return j.withColumn("t", inference.t_interval("full_auc", "variance", "components")).select("components", "full_auc", "variance", "t.low", "t.high", "t.p_value")
 
 
-REPLICATES = 50
+REPLICATES = 2_000
 BOOT = f"""{COMPONENTS}, listed AS (SELECT component, row_number() OVER (ORDER BY component) - 1 AS number, count(*) OVER () AS n FROM comps),
 draws AS (SELECT g.replicate, ('0x' || substr({ticket_sql(42, 'g.replicate', 'l.number')}, 1, 12))::BIGINT % l.n AS number FROM listed l, range({REPLICATES}) g(replicate)),
 rows AS (SELECT d.replicate, s.y, s.p FROM draws d JOIN listed l USING (number) JOIN s USING (component)),
@@ -77,7 +78,7 @@ def adjusted_p_values(spark, sf_dir):
 @query("giant_excluded_auc", f"""WITH {COMPONENTS}, size AS (SELECT component, count(*) AS n FROM s GROUP BY component), kept AS (SELECT * FROM s WHERE component <> (SELECT component FROM size ORDER BY n DESC, component LIMIT 1))
 SELECT 'without giant' AS grp, round({AUC}, 6) AS roc_auc FROM (SELECT *, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2 AS r FROM kept)""")
 def giant_excluded_auc(spark, sf_dir):
-    pairs = t.scored_pairs(spark, sf_dir)
+    pairs = checkpointed(t.scored_pairs(spark, sf_dir))
     placed = graph.pair_components(pairs, graph.components(pairs)).filter("NOT is_giant")
     return metrics.roc_auc(placed.select(F.lit("without giant").alias("grp"), "y", "p"))
 
@@ -86,7 +87,7 @@ def giant_excluded_auc(spark, sf_dir):
 boot2 AS (SELECT replicate, {AUC} AS roc_auc FROM (SELECT *, rank() OVER (PARTITION BY replicate ORDER BY p) + (count(*) OVER (PARTITION BY replicate, p) - 1) / 2 AS r FROM rows2) GROUP BY replicate)
 SELECT x.replicate::INTEGER AS replicate, round(round(x.roc_auc, 6) - round(y.roc_auc, 6), 6) AS roc_auc FROM boot x JOIN boot2 y USING (replicate)""")
 def paired_bootstrap_difference(spark, sf_dir):
-    rows = scored(spark, sf_dir).checkpoint()
+    rows = scored(spark, sf_dir)
     other = rows.withColumn("p", 1 - F.col("p") * F.col("p"))
     return inference.paired_difference(inference.bootstrap(rows, REPLICATES), inference.bootstrap(other, REPLICATES))
 
@@ -99,7 +100,7 @@ f2 AS (SELECT round({AUC}, 6) AS e FROM (SELECT y, rank() OVER (ORDER BY 1 - p *
 j1 AS (SELECT count(*) AS g, round((count(*) - 1) * var_pop(v), 9) AS v FROM l1 WHERE v IS NOT NULL), j2 AS (SELECT count(*) AS g, round((count(*) - 1) * var_pop(v), 9) AS v FROM l2 WHERE v IS NOT NULL)
 SELECT round(f1.e - f2.e, 6) AS difference, round(sqrt(j1.v + j2.v), 6) AS se, round((j1.v + j2.v) ** 2 / (j1.v ** 2 / (j1.g - 1) + j2.v ** 2 / (j2.g - 1)), 4) AS df FROM f1, f2, j1, j2""")
 def welch_difference(spark, sf_dir):
-    rows = scored(spark, sf_dir).checkpoint()
+    rows = scored(spark, sf_dir)
     x = inference.jackknife(rows)
     y = inference.jackknife(rows.withColumn("p", 1 - F.col("p") * F.col("p"))).toDF("g2", "e2", "v2")
     d = inference.welch((F.col("full_auc"), F.col("variance"), F.col("components")), (F.col("e2"), F.col("v2"), F.col("g2")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from edgewright.functions.draws import ticket_sql, uniform_sql
+from edgewright.functions.draws import ticket_sql, uniform, uniform_sql
 from edgewright.operators import audit, graph, negatives, splits, stats
 from edgewright.plans.audit_queries import CANONICAL_SQL
 from edgewright.plans.catalogue import query
@@ -64,7 +64,7 @@ rate AS (SELECT 0.2::DOUBLE * count(*) / greatest(count(*) FILTER (NOT guarded),
 {name} AS (SELECT 'R1' AS regime, CASE WHEN NOT guarded AND {U(43, 'a', 'b')} < rate THEN 'test' ELSE 'train' END AS side, a, b, label FROM marked, rate)"""
 
 
-@query("split_degree_safe_holdout", f"WITH {t.part_pairs_sql()}, p AS (SELECT a, b, 1 AS label FROM edges), {_holdout('p', 'r1')} SELECT * FROM r1")
+@query("split_degree_safe_holdout", f"WITH {t.PART_PAIRS_SQL}, p AS (SELECT a, b, 1 AS label FROM edges), {_holdout('p', 'r1')} SELECT * FROM r1")
 def split_degree_safe_holdout(spark, sf_dir):
     return splits.degree_safe_holdout(t.part_pairs(spark, sf_dir).withColumn("label", F.lit(1)))
 
@@ -116,39 +116,90 @@ def leakage_gates(spark, sf_dir):
     return splits.gates(splits.leakage(novelty(spark, sf_dir), users(spark, sf_dir)))
 
 
+STRATUM = {"random": "0", "degree": "degree_decile", "length": "length_decile", "degree_length": "degree_decile * 10 + length_decile", "exact_degree": "degree"}
+
+
 def strata(spark, sf_dir, kind: str):
-    """(entity, stratum, cluster): parts by degree decile, length decile, both, or neither."""
+    """(entity, stratum, cluster): parts by degree decile, length decile, both, exact degree, or neither."""
     parts = t.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity_id"), F.length(F.concat("p_name", "p_type")).alias("length"), "p_brand")
     degree = graph.degrees(t.part_pairs(spark, sf_dir).withColumn("label", F.lit(1)))
     s = stats.entity_statistics(parts.drop("p_brand"), degree).join(parts.select("entity_id", "p_brand"), "entity_id")
-    stratum = {"random": F.lit(0), "degree": F.col("degree_decile"), "length": F.col("length_decile"), "degree_length": F.col("degree_decile") * 10 + F.col("length_decile"), "exact_degree": F.col("degree")}[kind]
-    return s.select(F.col("entity_id").alias("entity"), stratum.cast("long").alias("stratum"), F.col("p_brand").alias("cluster"))
+    return s.select(F.col("entity_id").alias("entity"), F.expr(STRATUM[kind]).cast("long").alias("stratum"), F.col("p_brand").alias("cluster"))
 
 
-#: Set name to how it is matched.
+STRATA = f"""{DEGREE}, e AS (
+  SELECT p_partkey AS entity, length(p_name || p_type) AS length, coalesce(degree, 0) AS degree, p_brand AS cluster FROM part LEFT JOIN degree ON node = p_partkey
+), cuts AS (SELECT list_sort(list_distinct(quantile_cont(length, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1]))) AS cut FROM e),
+r AS (SELECT *, row_number() OVER (ORDER BY degree, entity) AS rk, count(*) OVER () AS n FROM e),
+entities AS (SELECT entity, cluster, degree, greatest(0, len(list_filter(cut, lambda c: c < length)) - 1) AS length_decile, greatest(0, ((rk - 1) * 10 + n - 2) // (n - 1) - 1) AS degree_decile FROM r, cuts)"""
+
+#: Set name to how it is matched. The first four, and the last, serve every positive.
 CONTROL_SETS = {"N1_random": ("random", {}), "N2_degree": ("degree", {}), "N3_length": ("length", {}), "N5_degree_length": ("degree_length", {}), "N2_exact": ("exact_degree", {}), "N6_two_sided": ("degree", {"both": True}), "N7_other_cluster": ("degree_length", {"exclude_cluster": True})}
 
 
+def made(spark, sf_dir, name):
+    kind, how = CONTROL_SETS[name]
+    return negatives.matched(t.part_pairs(spark, sf_dir), strata(spark, sf_dir, kind), name, **how)
+
+
+def _wanted(name: str, kind: str) -> str:
+    """Negatives by strata of their ends: as many as positives have, and none that breaks the contract."""
+    return f"""WITH {STRATA}, s AS (SELECT entity, ({STRATUM[kind]})::BIGINT AS stratum FROM entities)
+SELECT '{name}' AS set_name, least(x.stratum, y.stratum) AS low, greatest(x.stratum, y.stratum) AS high, count(*) AS n, 0::BIGINT AS broken
+FROM edges JOIN s x ON x.entity = a JOIN s y ON y.entity = b GROUP BY ALL"""
+
+
 def _control(name: str) -> None:
     kind, how = CONTROL_SETS[name]
 
     @query(f"negatives_{name}", None)
     def run(spark, sf_dir):
-        return negatives.matched(t.part_pairs(spark, sf_dir), strata(spark, sf_dir, kind), name, **how)
+        return made(spark, sf_dir, name)
 
-    @query(f"negative_checks_{name}", f"SELECT '{name}' AS set_name, 0::BIGINT AS self_pairs, 0::BIGINT AS known_positives, 0::BIGINT AS repeated, 0::BIGINT AS unordered")
+    @query(f"negative_checks_{name}", _wanted(name, kind) if name != "N2_exact" else None)
     def check(spark, sf_dir):
-        return negatives.violations(run(spark, sf_dir), t.part_pairs(spark, sf_dir))
+        entities = strata(spark, sf_dir, kind)
+        return negatives.checks(made(spark, sf_dir, name), t.part_pairs(spark, sf_dir), entities, how.get("exclude_cluster", False))
 
 
 for _name in CONTROL_SETS:
     _control(_name)
 
 
+def nearest(spark, sf_dir):
+    return negatives.nearest(t.part_pairs(spark, sf_dir), strata(spark, sf_dir, "exact_degree"), "N2_nearest")
+
+
+@query("negatives_N2_nearest")
+def negatives_n2_nearest(spark, sf_dir):
+    return nearest(spark, sf_dir)
+
+
+@query("negative_checks_N2_nearest", f"WITH {t.PART_PAIRS_SQL} SELECT count(*) AS n, 0::BIGINT AS known_positives, 0::BIGINT AS kept_none, count(*) AS different FROM edges")
+def negative_checks_n2_nearest(spark, sf_dir):
+    """As many as positives, none known, one end kept, and no pair twice."""
+    pairs = t.part_pairs(spark, sf_dir)
+    rows = nearest(spark, sf_dir).join(pairs.withColumn("known", F.lit(1)), ["a", "b"], "left")
+    kept = F.size(F.array_intersect(F.array("a", "b"), F.array("of_a", "of_b"))) == 1
+    return rows.agg(F.count("*").alias("n"), F.count("known").alias("known_positives"), F.count_if(~kept).alias("kept_none"), F.count_distinct("a", "b").alias("different"))
+
+
+@query("negatives_in_pool", f"""WITH {STRATA}, s AS (SELECT entity, degree_decile AS stratum, {U(42, 'cluster')} < 0.5 AS held FROM entities),
+p AS (SELECT a, b, x.stratum AS sa, y.stratum AS sb, ('0x' || substr({ticket_sql(42, "'side'", 'a', 'b')}, 1, 12))::BIGINT % 2 = 0 AS keep_a FROM edges JOIN s x ON x.entity = a JOIN s y ON y.entity = b)
+SELECT 'N2_pool' AS set_name, CASE WHEN keep_a THEN sb ELSE sa END AS stratum, count(*) AS n, 0::BIGINT AS outside FROM p GROUP BY ALL""")
+def negatives_in_pool(spark, sf_dir):
+    """Decoys from one pool of entities alone, by the stratum of what they replace."""
+    entities = strata(spark, sf_dir, "degree")
+    held = entities.filter(uniform(42, "cluster") < 0.5)
+    rows = negatives.matched(t.part_pairs(spark, sf_dir), entities, "N2_pool", candidates=held)
+    decoys = rows.select("set_name", F.explode(F.array_except(F.array("a", "b"), F.array("of_a", "of_b"))).alias("entity"))
+    marked = decoys.join(entities.select("entity", "stratum"), "entity").join(held.select("entity", F.lit(1).alias("held")), "entity", "left")
+    return marked.groupBy("set_name", "stratum").agg(F.count("*").alias("n"), F.count_if(F.col("held").isNull()).alias("outside"))
+
+
 @query("decoy_reuse")
 def decoy_reuse(spark, sf_dir):
-    positives = t.part_pairs(spark, sf_dir)
-    return negatives.reuse(negatives.matched(positives, strata(spark, sf_dir, "degree"), "N2_degree"), positives)
+    return negatives.reuse(made(spark, sf_dir, "N2_degree"), t.part_pairs(spark, sf_dir))
 
 
 @query("nearest_degree", f"""WITH {DEGREE}, have AS (SELECT DISTINCT coalesce(degree, 0) AS d FROM part LEFT JOIN degree ON node = p_partkey), want AS (SELECT DISTINCT p_size::BIGINT AS wanted FROM part)

@@ -20,11 +20,15 @@ def event_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return before.join(e, "event_id").select("a", F.col("user").alias("b"), (F.col("event_type") == F.col("type_before")).cast("int").alias("label"), F.col("event_id").alias("ord"))
 
 
-def part_pairs(spark: SparkSession, sf_dir: str, modulus: int = 97) -> DataFrame:
-    """Distinct part pairs (a, b), a < b, of orders whose key is a multiple of ``modulus``."""
-    items = table(spark, sf_dir, "lineitem").filter(F.col("l_orderkey") % modulus == 0).select("l_orderkey", "l_partkey").distinct()
-    other = items.select("l_orderkey", F.col("l_partkey").alias("b"))
-    return items.join(other, "l_orderkey").filter(F.col("l_partkey") < F.col("b")).select(F.col("l_partkey").alias("a"), "b").distinct()
+#: What two line items share if their parts are a pair: all items take part, and components are many.
+_SHARED = ["l_suppkey", "l_shipdate", "l_linenumber"]
+
+
+def part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct part pairs (a, b), a < b, that one supplier shipped on one day as line of one number."""
+    items = table(spark, sf_dir, "lineitem").select(*_SHARED, "l_partkey").distinct()
+    other = items.withColumnRenamed("l_partkey", "b")
+    return items.join(other, _SHARED).filter(F.col("l_partkey") < F.col("b")).select(F.col("l_partkey").alias("a"), "b").distinct()
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,10 +42,10 @@ def scored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("grp"), (F.col("l_returnflag") == "R").cast("int").alias("y"), (F.col("l_discount") * 8 + F.col("l_tax")).alias("p"))
 
 
-def scored_pairs(spark: SparkSession, sf_dir: str, modulus: int = 97) -> DataFrame:
+def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored part pairs (a, b, y, p): whether both parts share a manufacturer digit, by size difference."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.substring("p_brand", 1, 7).alias("maker"))
-    pairs = part_pairs(spark, sf_dir, modulus)
+    pairs = part_pairs(spark, sf_dir)
     left, right = (part.toDF(k, f"size_{k}", f"maker_{k}") for k in ("a", "b"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("maker_a") == F.col("maker_b")).cast("int").alias("y"), (1 / (1 + F.abs(F.col("size_a") - F.col("size_b")))).alias("p"))
 
@@ -56,15 +60,12 @@ SCORED_ITEMS_SQL = """scored AS (
 )"""
 
 
-def part_pairs_sql(modulus: int = 97) -> str:
-    return f"""items AS (
-  SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey % {modulus} = 0
+PART_PAIRS_SQL = f"""items AS (
+  SELECT DISTINCT {', '.join(_SHARED)}, l_partkey FROM lineitem
 ), edges AS (
-  SELECT DISTINCT x.l_partkey AS a, y.l_partkey AS b FROM items x JOIN items y USING (l_orderkey) WHERE x.l_partkey < y.l_partkey
+  SELECT DISTINCT x.l_partkey AS a, y.l_partkey AS b FROM items x JOIN items y USING ({', '.join(_SHARED)}) WHERE x.l_partkey < y.l_partkey
 )"""
-
-
-SCORED_PAIRS_SQL = part_pairs_sql() + """, scored AS (
+SCORED_PAIRS_SQL = PART_PAIRS_SQL + """, scored AS (
   SELECT a, b, (substr(x.p_brand, 1, 7) = substr(y.p_brand, 1, 7))::INTEGER AS y, 1 / (1 + abs(x.p_size - y.p_size)) AS p
   FROM edges JOIN part x ON x.p_partkey = a JOIN part y ON y.p_partkey = b
 )"""

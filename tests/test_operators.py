@@ -123,14 +123,61 @@ def test_negatives_keep_the_contract(spark, both):
     positives = spark.createDataFrame([(i, i + 20) for i in range(20)] + [(i, 39 - i) for i in range(19)], "a long, b long").distinct()
     entities = spark.createDataFrame([(i, i % 3, "x") for i in range(40)], "entity long, stratum long, cluster string")
     made = negatives.matched(positives, entities, "set", both=both)
-    bad = negatives.violations(made, positives).first()
-    assert sum(bad[c] for c in ("self_pairs", "known_positives", "repeated", "unordered")) == 0
+    found = negatives.checks(made, positives, entities).agg(F.sum("n").alias("n"), F.sum("broken").alias("broken")).first()
+    assert tuple(found) == (positives.count(), 0)
     for r in made.collect():
         strata = lambda *x: sorted(i % 3 for i in x)
         assert strata(r["a"], r["b"]) == strata(r["of_a"], r["of_b"])
         assert both or {r["a"], r["b"]} & {r["of_a"], r["of_b"]}
 
 
+def test_a_hub_finds_the_one_entity_left(spark):
+    """Linked to all of its stratum but one: draws miss it, going through the stratum doesn't."""
+    positives = spark.createDataFrame([(0, i) for i in range(2, 600)], "a long, b long")
+    entities = spark.createDataFrame([(i, 0) for i in range(600)], "entity long, stratum long")
+    made = {(r["a"], r["b"]) for r in negatives.matched(positives, entities, "set", draws=1, rounds=1).collect()}
+    assert (0, 1) in made and not made & {(0, i) for i in range(2, 600)}
+    kept_a = positives.filter(negatives.below(F.lit(2), negatives.SEED, F.lit("side"), "a", "b") == 0).count()
+    assert len(made) == positives.count() - kept_a + 1
+
+
+def test_nearest_degree_is_taken_first(spark):
+    positives = spark.createDataFrame([(0, 1), (2, 3), (4, 5)], "a long, b long")
+    entities = spark.createDataFrame([(i, 10 * (i % 6)) for i in range(36)], "entity long, stratum long")
+    of = {r["entity"]: r["stratum"] for r in entities.collect()}
+    for r in negatives.nearest(positives, entities, "set").collect():
+        assert sorted(of[x] for x in (r["a"], r["b"])) == sorted(of[x] for x in (r["of_a"], r["of_b"]))
+    lonely = spark.createDataFrame([(i, d) for i, d in enumerate((0, 5, 7, 50, 51))], "entity long, stratum long")
+    one = spark.createDataFrame([(0, 1)], "a long, b long")
+    row = negatives.nearest(one, lonely, "set").first()
+    assert {row["a"], row["b"]} in ({0, 2}, {1, 2}) and negatives.nearest(one, lonely, "set", caliper=1).count() == 0
+    assert negatives.nearest(one, lonely, "set", candidates=lonely.filter("entity > 2")).select("a", "b").first()[1] == 3
+
+
+def test_running_values_in_slices(spark, monkeypatch):
+    from edgewright.operators import ranges
+
+    rng = random.Random(8)
+    rows = [(g, x, rng.randrange(9)) for g in ("p", "q") for x in rng.sample(range(1000), 150)]
+    df = spark.createDataFrame(rows, "g string, x long, v long")
+    for descending in (False, True):
+        ask = lambda: sorted(map(tuple, ranges.running(df, ["g"], "x", {"up": F.col("v")}, {"low": F.col("v")}, descending).select("g", "x", "up", "low", "all_up").collect()))  # noqa: B023, E731
+        monkeypatch.setattr(ranges, "SLICE", 1 << 20)
+        whole = ask()
+        monkeypatch.setattr(ranges, "SLICE", 20)
+        assert ask() == whole and len(whole) == 300
+    quantile = {r["g"]: r["q"] for r in ranges.quantiles(df, ["g"], "x", [0.0, 0.3, 1.0], "q").collect()}
+    want = {r["g"]: r["q"] for r in df.groupBy("g").agg(F.percentile("x", F.array(F.lit(0.0), F.lit(0.3), F.lit(1.0))).alias("q")).collect()}
+    assert all(quantile[g] == pytest.approx(want[g]) for g in want)
+
+
+def test_components_by_rounds(spark, monkeypatch):
+    monkeypatch.setattr(graph, "IN_ONE_TASK", 0)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100), (200, 250), (250, 220)]
+    found = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == dict.fromkeys(range(41), 0) | {100: 100} | dict.fromkeys((200, 220, 250), 200)
+
+
 def test_equal_clusters_exclude_all(spark):
     positives = spark.createDataFrame([(0, 1), (2, 3)], "a long, b long")
     entities = spark.createDataFrame([(i, 0, None) for i in range(8)], "entity long, stratum long, cluster string")
@@ -190,6 +237,17 @@ def test_readers(spark, tmp_path):
     assert {tuple(r) for r in files.read_pairs(spark, str(tmp_path / "q.csv")).collect()} == {("u", "v", 1), ("w", "x", 1)}
     (tmp_path / "c.tsv").write_text("rep\tmember\n")
     assert [tuple(r) for r in files.read_clusters(spark, str(tmp_path / "c.tsv")).collect()] == [("member", "rep")]
+    (tmp_path / "d.tsv").write_text("cluster_id\tprotein_id\nrep\tmember\nrep\trep\n")
+    assert {tuple(r) for r in files.read_clusters(spark, str(tmp_path / "d.tsv")).collect()} == {("member", "rep"), ("rep", "rep")}
+    (tmp_path / "e.tsv").write_text("a\tb\t1\nc\td\t0\n")
+    assert {tuple(r) for r in files.read_pairs(spark, str(tmp_path / "e.tsv")).collect()} == {("a", "b", 1), ("c", "d", 0)}
+    (tmp_path / "f.txt").write_text("id=7 x\nnone\n")
+    assert [r["n"] for r in files.read_matches(spark, str(tmp_path / "f.txt"), {"n": r"id=(\d+)"}).collect()] == ["7", None]
+    (tmp_path / "g.json").write_text('{"auc": 0.5, "other": {"x": 1}}')
+    assert [tuple(r) for r in files.read_results(spark, str(tmp_path / "g.json"), "auc double, other struct<x: int>").selectExpr("auc", "other.x").collect()] == [(0.5, 1)]
+    assert [tuple(r) for r in files.read_named(spark, str(tmp_path / "e.tsv"), ["x", "y"]).collect()] == [("a", "b"), ("c", "d")]
+    pieces = sequence.chunks(spark.createDataFrame([("p", "ABCDEFG"), ("q", "")], "entity_id string, seq string"), 4, 1).collect()
+    assert sorted((r["entity_id"], r["chunk"], r["weight"], r["seq"]) for r in pieces) == [("p", 0, 4, "ABCD"), ("p", 1, 4, "DEFG"), ("q", 0, 0, "")]
     import numpy as np
 
     np.savez(tmp_path / "v.npz", ids=np.array(["a", "b"]), X=np.arange(4.0).reshape(2, 2))
