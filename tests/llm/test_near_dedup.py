@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
+import numpy as np
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from edgewright.llm import near_dedup
 
@@ -70,9 +74,14 @@ def test_one_of_near_copies_stays(spark):
         w = t.split()
         w[60] = "changed"
         rows += [(100 + i, " ".join(w)), (200 + i, t.upper())]
-    rows += [(300, None), (301, ""), (None, originals[0]), (None, None), (3, originals[3])]
-    kept = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert ordered(r[0:1] for r in kept.collect()) == ordered([(i,) for i in range(12)] + [(300,), (None,), (None,)])
+    other = words(rng, 120, "qrstuvwxyz")
+    rows += [(300, None), (301, ""), (None, originals[0]), (None, None), (3, originals[3]), (4, other), (None, "by itself"), (None, "by itself")]
+    clash = {c: F.lit("own") for c in ("kept_id", "own_0", "own_2", "key", "id", "n", "bucket", "cell")}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns(clash)
+    for exact in (False, True):
+        kept = near_dedup.keep_one(docs, exact)
+        assert kept.columns == docs.columns
+        assert ordered((r["doc_id"], r["text"]) for r in kept.collect()) == ordered([*enumerate(originals), (300, None), (4, other), (None, "by itself")])
 
 
 def jaccard(s, t):
@@ -99,7 +108,8 @@ def kept_by_brute_force(rows, similarity=0.8):
     return sorted(rows[i][0] for i in range(len(rows)) if label[i] == i)
 
 
-def test_all_pairs_of_the_rule_are_linked(spark):
+@pytest.mark.parametrize("exact", [False, True])
+def test_all_pairs_of_the_rule_are_linked(spark, exact):
     """The copies of 0.8 or more of each original go, however they came about."""
     rng = random.Random(11)
     rows = []
@@ -107,7 +117,7 @@ def test_all_pairs_of_the_rule_are_linked(spark):
         for _ in range(4):
             text = words(rng, n, "abcdefghijklmnop")
             rows += [(len(rows) + i, t) for i, t in enumerate([text, *(t for t in changed_copies(rng, text) if jaccard(text, t) >= 0.8)])]
-    kept = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    kept = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), exact)
     assert sorted(r["doc_id"] for r in kept.collect()) == kept_by_brute_force(rows) and len(kept_by_brute_force(rows)) == 12
 
 
@@ -125,6 +135,63 @@ def test_nothing_below_the_rule_is_dropped(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
 
 
+def test_recall_on_the_given_documents(spark):
+    """Of pairs of 0.8 or more whose shingles aren't all equal, nine in ten at least end together."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    reps, links = near_dedup.similar(docs)
+    component = {r["node"]: r["component"] for r in near_dedup.components(links).collect()}
+    by_key, shared = {}, {}
+    for r in docs.collect():
+        tokens = near_dedup.tokens_of(r["text"])
+        by_key[near_dedup.key_of(tokens)] = set(near_dedup.shingles(tokens).tolist())
+    for key, held in by_key.items():
+        for h in held:
+            shared.setdefault(h, []).append(key)
+    meet = Counter((a, b) for keys in shared.values() if len(keys) < 400 for i, a in enumerate(keys) for b in keys[:i])
+    near = [(a, b) for (a, b), n in meet.items() if 9 * n >= 4 * (len(by_key[a]) + len(by_key[b])) and by_key[a] != by_key[b]]
+    found = sum(component.get(a, a) == component.get(b, b) for a, b in near)
+    assert len(near) >= 5 and found >= 0.9 * len(near)
+    assert {r["key"] for r in reps.collect()} == set(by_key)
+
+
+@pytest.mark.parametrize("cell", [2048, 8])
+def test_a_large_group_around_one_text(spark, monkeypatch, cell):
+    """Copies that are near one text, and not each other, all go; so they do where buckets are dealt out."""
+    monkeypatch.setattr(near_dedup, "CELL", cell)
+    rng = random.Random(21)
+    base = words(rng, 200, "abcdefghijklmnop").split()
+    rows = [(0, " ".join(base))]
+    for i in range(60):
+        w = list(base)
+        for at in rng.sample(range(200), 4):
+            w[at] = "".join(rng.choice("qrstuvwxyz") for _ in range(6))
+        rows.append((i + 1, " ".join(w)))
+    assert kept_by_brute_force(rows) == [0]
+    kept = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(kept.collect()) <= 4
+
+
+def test_pivots_discard_pairs_before_they_are_formed():
+    rng = np.random.default_rng(5)
+    fps = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+    near = fps[:200] ^ np.uint64(5)
+    every = np.concatenate([fps, near])
+    tally = [0, 0]
+    i, j = near_dedup.linked(every, np.zeros((len(every), 2), np.int64), 2, tally)
+    assert {tuple(sorted(x)) for x in zip(i.tolist(), j.tolist(), strict=True)} >= {(k, 3000 + k) for k in range(200)}
+    pairs = len(every) * (len(every) - 1) // 2
+    assert tally[0] < 0.45 * pairs and tally[1] < 1e-3 * pairs
+
+
+def test_texts_over_a_chunk(spark, monkeypatch):
+    """Fingerprints don't depend on where chunks end."""
+    text = words(random.Random(6), 900)
+    whole = near_dedup.fingerprint(text)
+    for chunk in (1, 7, 128, 897, 898, 899):
+        monkeypatch.setattr(near_dedup, "CHUNK", chunk)
+        assert near_dedup.fingerprint(text) == whole == plain_fingerprint(text)
+
+
 def test_empty(no_docs):
     assert near_dedup.near_dedup(no_docs).count() == 0
     assert near_dedup.keep_one(no_docs).count() == 0
