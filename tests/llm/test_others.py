@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from edgewright.llm import decontamination, language_id, lm_scoring, packing, queries, secrets, sharding, top_k
+from edgewright.llm import decontamination, language_id, packing, queries, secrets, sharding, top_k
 from tests.oracle import assert_equal
 
 from .conftest import SCHEMA, ordered, words
@@ -231,29 +231,6 @@ def test_encoder_equals_tokenizer(monkeypatch):
     assert list(packing.Encoder(path)(pa.array([], pa.string()))) == []
 
 
-def test_base_scores_equal_definition(docs, rows, no_docs):
-    train = docs.filter(~lm_scoring.common.held_out(10, 0)).select("text")
-    found = lm_scoring.score(docs, lm_scoring.train(train)).collect()
-    tokens = [[*(r[1] or "").encode().lower().split(), None] for r in rows]
-    held = [zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 10 == 0 for r in rows]
-    c = Counter(w for t, h in zip(tokens, held, strict=True) if not h for w in t)
-    n, v = sum(c.values()), len(c)
-    want = [(r[0], h, len(t), sum(c[w] > 0 for w in t), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), 6)) for r, h, t in zip(rows, held, tokens, strict=True)]
-    assert ordered((*tuple(r)[:5], round(r["base_score"], 6)) for r in found) == ordered(want)
-    assert all(r["score"] < 0 for r in found)
-    empty = lm_scoring.train(no_docs.select("text"))
-    assert lm_scoring.score(no_docs, empty).count() == 0
-    assert {r["train_tokens"] for r in lm_scoring.score(docs.filter("doc_id = 1"), empty).collect()} <= {0, 61}
-
-
-def test_model_is_a_distribution():
-    rng = np.random.default_rng(9)
-    grams = rng.integers(0, 64**4, 400)
-    grams, n = np.unique(grams, return_counts=True)
-    for _, p in lm_scoring.sample(grams, n * 3, 1).values():
-        assert np.allclose(p.sum(axis=1), 1) and (p > 0).all()
-
-
 def test_pipeline_stages_take_odd_rows(spark, data, docs, no_docs):
     for start in (docs.drop("start"), no_docs):
         kept = start
