@@ -37,7 +37,7 @@ from . import common
 TOKENIZER, END = "word_bpe_49k.json", 1
 LENGTH, WIDTH = 2048, 16
 #: Pieces of a rank bucket, on average; words that a worker remembers; bytes of text split at a time.
-BUCKET, REMEMBERED, GROUP = 4096, 1_200_000, 8 << 20
+BUCKET, REMEMBERED, GROUP = 4096, 500_000, 4 << 20
 #: The program stops within a sequence, or this share, of a lower bound, or after so many steps;
 #: its patterns cover the histogram after any number of them.
 GAP, STEPS = 5e-4, 2_000
