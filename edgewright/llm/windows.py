@@ -6,9 +6,10 @@ with one minimiser travel together, as one string (a super-k-mer), to the minimi
 
 Only minimisers that occur at least twice can belong to repeated windows; ``find`` sends the strings
 of those alone. In a bucket, windows are sorted by a hash of their content and equal neighbours are
-compared unit by unit, so hashes decide nothing. A minimiser of more than ``hot`` strings would make
-a large bucket; its windows are dealt out one by one by a 128-bit digest instead, and counted with
-partial sums before the shuffle. Texts meet what was found about them by a join on their id and hash.
+compared unit by unit. A minimiser of more than ``hot`` strings would make a large bucket; its windows
+are dealt out one by one by a 128-bit digest instead, and counted with partial sums before the
+shuffle: there the digest alone tells windows apart, so two different ones would have to share 128
+bits to be taken for equal. Texts meet what was found about them by a join on their id and hash.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ CHUNK, CUT = 1 << 17, 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POSITION = np.uint64(0xFFFF)
-_WHO = ["id", "text_hash"]
+WHO = ["id", "text_hash"]
 
 
 @dataclass(frozen=True)
@@ -42,8 +43,6 @@ class Units:
     hashes: Callable[[list[bytes] | bytes], np.ndarray]
     join: bytes
     hot: int = 10_000
-    #: Of units and places among them: what a suffix that starts there is ordered by.
-    lead: Callable[[list[bytes] | bytes, np.ndarray], np.ndarray] | None = None
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:
@@ -88,10 +87,9 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return values
 
 
-def runs(units: np.ndarray, ends: np.ndarray, u: Units) -> tuple[np.ndarray, ...]:
-    """Runs of windows that share a minimiser: first window, how many, minimiser, whether it occurs
-    twice in the run, and where it first does. ``ends`` are where texts end among the units."""
-    out: list[tuple[np.ndarray, ...]] = []
+def _least(units: np.ndarray, ends: np.ndarray, u: Units) -> Iterator[tuple[np.ndarray, ...]]:
+    """Chunks of windows that lie in one text: where each starts, the hash and place of its least gram
+    (the first of equal ones), and whether it has that gram twice. ``ends`` are where texts end."""
     for a in range(0, len(units) - u.size + 1, CHUNK):
         part = units[a : a + CHUNK + u.size - 1]
         h = gram_hashes(part, u.gram)
@@ -103,23 +101,43 @@ def runs(units: np.ndarray, ends: np.ndarray, u: Units) -> tuple[np.ndarray, ...
         inside = np.flatnonzero(start + u.size <= ends[np.searchsorted(ends, start, "right")])
         if not len(inside):
             continue
-        key = first[inside] >> np.uint64(16)
         twice = (first[inside] & _POSITION) != (_POSITION - (last[inside] & _POSITION))
         place = inside + (((first[inside] & _POSITION).astype(np.int64) - inside) & 0xFFFF)
-        new = np.ones(len(inside), bool)
-        new[1:] = (key[1:] != key[:-1]) | (inside[1:] != inside[:-1] + 1)
+        yield inside + a, first[inside] >> np.uint64(16), place + a, twice
+
+
+def runs(units: np.ndarray, ends: np.ndarray, u: Units) -> tuple[np.ndarray, ...]:
+    """Runs of windows that share a minimiser: first window, how many, minimiser, whether it occurs
+    twice in the run."""
+    out: list[tuple[np.ndarray, ...]] = []
+    for start, key, place, twice in _least(units, ends, u):
+        new = np.ones(len(start), bool)
+        new[1:] = (key[1:] != key[:-1]) | (start[1:] != start[:-1] + 1)
         begin = np.flatnonzero(new)
-        within = np.arange(len(inside)) - np.repeat(begin, np.diff([*begin, len(inside)]))
+        within = np.arange(len(start)) - np.repeat(begin, np.diff([*begin, len(start)]))
         begin = np.flatnonzero(within % (CUT * u.size) == 0)
-        n = np.diff([*begin, len(inside)])
+        n = np.diff([*begin, len(start)])
         twice |= place != np.repeat(place[begin], n)  # in two windows of the run, though in none twice
-        out.append((inside[begin] + a, n, key[begin].astype(np.int64), np.logical_or.reduceat(twice, begin), place[begin] + a))
+        out.append((start[begin], n, key[begin].astype(np.int64), np.logical_or.reduceat(twice, begin)))
     if not out:
         none = np.zeros(0, np.int64)
-        return none, none, none, none.astype(bool), none
+        return none, none, none, none.astype(bool)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def anchors(units: np.ndarray, ends: np.ndarray, u: Units) -> tuple[np.ndarray, np.ndarray]:
+    """The different places of windows' minimisers, in order, and their hashes."""
+    found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for _, key, place, _ in _least(units, ends, u):
+        new = np.ones(len(place), bool)
+        new[1:] = place[1:] != place[:-1]
+        found[0].append(place[new])
+        found[1].append(key[new].astype(np.int64))
+    place, key = (np.concatenate(x) for x in found)
+    place, first = np.unique(place, return_index=True)
+    return place, key[first]
+
+
 #: Stands for a null ``doc_id``.
 _NO_ID = -(1 << 63)
 
@@ -135,10 +153,10 @@ def identified(docs: DataFrame) -> DataFrame:
 def with_spans(base: DataFrame, found: DataFrame) -> DataFrame:
     """doc_id, text and spans of every row of ``base``."""
     doc_id = F.when(F.col("id") != _NO_ID, F.col("id")).alias("doc_id")
-    return base.join(found, _WHO, "left").select(doc_id, "text", "spans")
+    return base.join(found, WHO, "left").select(doc_id, "text", "spans")
 
 
-def _chunks(texts: list[bytes], u: Units) -> Iterator[tuple[int, list, list | bytes, np.ndarray, np.ndarray]]:
+def chunks(texts: list[bytes], u: Units) -> Iterator[tuple[int, list, list | bytes, np.ndarray, np.ndarray]]:
     """Texts in groups of about CHUNK units: the first one's place, each one's units, then all units,
     their hashes and where texts end among them."""
     held, size, first = [], 0, 0
@@ -153,21 +171,18 @@ def _chunks(texts: list[bytes], u: Units) -> Iterator[tuple[int, list, list | by
 
 
 def minimisers(base: DataFrame, u: Units) -> DataFrame:
-    """(key, id, text_hash) for every run of windows, twice where its minimiser is in it twice; also
-    the lead of the suffix that starts at the minimiser, if units have leads."""
-    leads = ["lead"] if u.lead else []
+    """(key, id, text_hash) for every run of windows, twice where its minimiser is in it twice."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hashes = (np.asarray(batch.column(c)) for c in (1, 2))
-            for first, _, flat, units, ends in _chunks(batch.column(0).to_pylist(), u):
-                start, _, key, twice, place = runs(units, ends, u)
+            for first, _, _, units, ends in chunks(batch.column(0).to_pylist(), u):
+                start, _, key, twice = runs(units, ends, u)
                 row = first + np.searchsorted(ends, start, "right")
                 again = np.repeat(np.arange(len(key)), 1 + twice)
-                more = [pa.array(u.lead(flat, place)[again])] if u.lead else []
-                yield pa.RecordBatch.from_arrays([pa.array(key[again]), pa.array(ids[row[again]]), pa.array(hashes[row[again]]), *more], ["key", *_WHO, *leads])
+                yield pa.RecordBatch.from_arrays([pa.array(key[again]), pa.array(ids[row[again]]), pa.array(hashes[row[again]])], ["key", *WHO])
 
-    return base.select("text", *_WHO).mapInArrow(run, ", ".join(f"{c} long" for c in ("key", *_WHO, *leads)))
+    return base.select("text", *WHO).mapInArrow(run, ", ".join(f"{c} long" for c in ("key", *WHO)))
 
 
 def repeated_keys(keys: DataFrame) -> DataFrame:
@@ -227,8 +242,8 @@ def _strings(found: DataFrame, u: Units, hot: bool) -> DataFrame:
         for batch in batches:
             wanted = batch.column(3)
             ids, hashes = (np.asarray(batch.column(c)) for c in (1, 2))
-            for first, held, _, units, ends in _chunks(batch.column(0).to_pylist(), u):
-                start, n, key, _, _ = runs(units, ends, u)
+            for first, held, _, units, ends in chunks(batch.column(0).to_pylist(), u):
+                start, n, key, _ = runs(units, ends, u)
                 row = np.searchsorted(ends, start, "right")
                 begin = start - (ends[row] - np.array([len(x) for x in held])[row])
                 keep = np.zeros(len(key), bool)
@@ -248,7 +263,7 @@ def _strings(found: DataFrame, u: Units, hot: bool) -> DataFrame:
                     more = [pa.array(begin.astype(np.int64)), pa.array([u.join.join(x) if u.join else x for x in text], pa.binary())]
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[first + row]), pa.array(hashes[first + row]), *more], [f.split()[0] for f in fields.split(", ")])
 
-    return found.select("text", *_WHO, "keys").mapInArrow(run, fields)
+    return found.select("text", *WHO, "keys").mapInArrow(run, fields)
 
 
 def _count_strings(strings: DataFrame, u: Units) -> DataFrame:
@@ -267,7 +282,7 @@ def _count_strings(strings: DataFrame, u: Units) -> DataFrame:
                     n += np.diff(np.concatenate([[0], cut, [len(offsets)]])).tolist()
             row = np.array(row, np.int64)
             ids, hashes, starts = (np.asarray(rows.column(c))[row] for c in (1, 2, 3))
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hashes), pa.array(starts + np.array(at, np.int64)), pa.array(np.array(n, np.int64))], [*_WHO, "start", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hashes), pa.array(starts + np.array(at, np.int64)), pa.array(np.array(n, np.int64))], [*WHO, "start", "n"])
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -286,21 +301,21 @@ def _count_strings(strings: DataFrame, u: Units) -> DataFrame:
     return strings.repartition("key").sortWithinPartitions("key").mapInArrow(run, "id long, text_hash long, start long, n long")
 
 
-def _keys_of_texts(keys: DataFrame, repeated: DataFrame) -> DataFrame:
-    return keys.join(repeated.select("key"), "key").groupBy(*_WHO).agg(F.collect_set("key").alias("keys"))
+def keys_of_texts(keys: DataFrame, repeated: DataFrame) -> DataFrame:
+    return keys.join(repeated.select("key"), "key").groupBy(*WHO).agg(F.collect_set("key").alias("keys"))
 
 
 def find(base: DataFrame, keys: DataFrame, repeated: DataFrame, u: Units) -> DataFrame:
     """(id, text_hash, spans) with spans the (start, n) of runs of repeated windows, for the texts
     that have some. ``keys`` are the minimisers of texts, ``repeated`` those that occur twice."""
-    wanted = common.written(_keys_of_texts(keys, repeated.filter(F.col("n") <= u.hot)), "wanted")
-    spans = _count_strings(_strings(base.join(wanted, _WHO), u, False), u)
+    wanted = common.written(keys_of_texts(keys, repeated.filter(F.col("n") <= u.hot)), "wanted")
+    spans = _count_strings(_strings(base.join(wanted, WHO), u, False), u)
     hot = repeated.filter(F.col("n") > u.hot)
     if hot.limit(1).count():
-        single = common.written(_strings(base.join(_keys_of_texts(keys, hot), _WHO), u, True).drop("key"), "windows")
+        single = common.written(_strings(base.join(keys_of_texts(keys, hot), WHO), u, True).drop("key"), "windows")
         many = common.written(single.groupBy("low", "high").agg(F.count("*").alias("times")).filter("times > 1").drop("times"), "counted")
-        spans = spans.union(single.join(many, ["low", "high"]).select(*_WHO, "start", F.lit(1).cast("long").alias("n")))
-    return spans.groupBy(*_WHO).agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+        spans = spans.union(single.join(many, ["low", "high"]).select(*WHO, "start", F.lit(1).cast("long").alias("n")))
+    return spans.groupBy(*WHO).agg(F.collect_set(F.struct("start", "n")).alias("spans"))
 
 
 def covered(spans: list[dict] | None, size: int) -> list[tuple[int, int]]:
