@@ -136,10 +136,30 @@ def test_top_k_of_odd_vectors(spark):
     assert top_k.top_k(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_top_k_of_large_components(spark, monkeypatch, small):
+    """Products beyond 2 ** 53 are exact; blocks and groups change nothing; scores beyond a long are clipped."""
+    if small:
+        monkeypatch.setattr(top_k, "QUERY_BLOCK", 3)
+        monkeypatch.setattr(top_k, "GROUP", 7)
+    rng = random.Random(19)
+    rows = [(i, [rng.uniform(-1, 1) * 10.0 ** rng.randrange(9) for _ in range(5)]) for i in range(60)] + [(60, [2e6, 1.0]), (61, [3e38, 1.0]), (62, [-3e38])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [(i, [math.floor(256.0 * x) for x in v]) for i, v in rows]
+    found = {}
+    for r in top_k.top_k(df, F.col("vec_id") % 6 == 0).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["score"], r["vec_id"]))
+    for i, v in whole[::6]:
+        every = [(-sum(x * y for x, y in zip(v, w, strict=False)), j) for j, w in whole if j != i]
+        want = [(max(-(1 << 63), min((1 << 63) - 1, -s)), j) for s, j in sorted(every)[:5]]
+        assert [s for _, s, _ in sorted(found[i])] == [s for s, _ in want]
+        assert {j for s, j in want if abs(s) < 1 << 62} <= {j for _, _, j in found[i]}
+
+
 def test_pruning_drops_nothing():
     rng = np.random.default_rng(6)
-    v = rng.integers(-300, 300, (3000, 16)) * rng.integers(1, 9, (3000, 1))
-    rotation = np.linalg.eigh((v.T @ v).astype(float))[1][:, ::-1]
+    v = (rng.integers(-300, 300, (3000, 16)) * rng.integers(1, 9, (3000, 1))).astype(float)
+    rotation = top_k._rotation(v.T @ v)
     found = top_k.best(np.arange(3000), v, np.arange(20), v[:20], np.full(20, -np.inf), rotation, 5)
     for q, (ids, scores) in enumerate(found):
         every = sorted((-int(s), i) for i, s in enumerate(v @ v[q]) if i != q)[:5]
