@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The alphabet, and for seven attributes the letters of their three groups.
 ALPHABET = "ACDEFGHIKLMNPQRSTVWY"
@@ -128,6 +131,31 @@ def properties(df: DataFrame) -> DataFrame:
     return counted.select("entity_id", mass.alias("mass"), share(AROMATIC).alias("aromaticity"), F.round(weighted(HYDROPATHY, 10) / (F.col("n") * 10), DIGITS).alias("hydropathy"), share(HELIX).alias("helix"), share(TURN).alias("turn"), share(SHEET).alias("sheet"))
 
 
+# pK of the charged groups of a chain, positive and negative.
+PK_POSITIVE = {"N_end": 7.5, "K": 10.0, "R": 12.0, "H": 5.98}
+PK_NEGATIVE = {"C_end": 3.55, "D": 4.05, "E": 4.45, "C": 9.0, "Y": 10.0}
+
+
+@F.pandas_udf(T.DoubleType())
+def isoelectric_point(k: pd.Series, r: pd.Series, h: pd.Series, d: pd.Series, e: pd.Series, c: pd.Series, y: pd.Series) -> pd.Series:
+    """Where a chain with these counts of letters carries no net charge, by bisection of all rows at once."""
+    positive = [(np.ones(len(k)), PK_POSITIVE["N_end"]), (k, PK_POSITIVE["K"]), (r, PK_POSITIVE["R"]), (h, PK_POSITIVE["H"])]
+    negative = [(np.ones(len(k)), PK_NEGATIVE["C_end"]), (d, PK_NEGATIVE["D"]), (e, PK_NEGATIVE["E"]), (c, PK_NEGATIVE["C"]), (y, PK_NEGATIVE["Y"])]
+    low, high = np.zeros(len(k)), np.full(len(k), 14.0)
+    for _ in range(50):
+        ph = (low + high) / 2
+        charge = sum(np.asarray(n) / (1 + 10 ** (ph - pk)) for n, pk in positive) - sum(np.asarray(n) / (1 + 10 ** (pk - ph)) for n, pk in negative)
+        low, high = np.where(charge > 0, ph, low), np.where(charge > 0, high, ph)
+    return pd.Series(np.round((low + high) / 2, DIGITS))
+
+
+def isoelectric_points(df: DataFrame) -> DataFrame:
+    """(entity_id, isoelectric_point) from the counts of the letters that can be charged."""
+    clean = df.select("entity_id", cleaned(F.col("seq")).alias("s"))
+    n = [(F.length("s") - F.length(F.replace("s", F.lit(x), F.lit("")))).cast("long") for x in "KRHDECY"]
+    return clean.select("entity_id", isoelectric_point(*n).alias("isoelectric_point"))
+
+
 def feature_names() -> list[str]:
     """All features in order: letters, then each attribute's composition, transition and distribution."""
     names = list(ALPHABET)

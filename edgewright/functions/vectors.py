@@ -47,3 +47,16 @@ def scalar_features(x: Column, y: Column) -> list[Column]:
 def logit(p: Column, clip: float = 1e-6) -> Column:
     q = F.least(F.greatest(p, F.lit(clip)), F.lit(1 - clip))
     return F.ln(q / (1 - q))
+
+
+def weighted_means(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, place, x): each component's mean over rows (*keys, weight, v), such as the chunks of one
+    sequence by their lengths; sums are partial before the shuffle."""
+    each = rows.select(*keys, "weight", F.posexplode("v").alias("place", "x"))
+    return each.groupBy(*keys, "place").agg((F.sum(F.col("weight") * F.col("x")) / F.sum("weight")).alias("x"))
+
+
+def overlaid(vectors: DataFrame, other: DataFrame) -> DataFrame:
+    """``vectors`` (entity, v) with those of ``other`` in place of theirs where it has one."""
+    joined = vectors.join(other.select("entity", F.col("v").alias("over")), "entity", "left")
+    return joined.select("entity", F.coalesce("over", "v").alias("v"), F.col("over").isNotNull().alias("replaced"))

@@ -174,3 +174,46 @@ def mean_differences(values: DataFrame, replicates: int, seed: int = SEED) -> Da
     drawn = values.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("times", times)
     mean = lambda side: F.try_divide(F.sum(F.when(F.col("side") == side, F.col("times") * F.col("x"))), F.sum(F.when(F.col("side") == side, F.col("times"))))
     return drawn.groupBy("replicate").agg(F.round(mean(1) - mean(0), DIGITS).alias("difference"))
+
+
+def unpaired_difference(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(place, difference) of two scores' areas in replicates of their own: the valid ones of either are
+    numbered, and paired by number as far as both go."""
+    listed = lambda df, name: running(df.filter("roc_auc IS NOT NULL").select("replicate", F.col("roc_auc").alias(name)), [], "replicate", {"place": F.lit(1)}).select("place", name)
+    return listed(first, "x").join(listed(second, "y"), "place").select("place", F.round(F.col("x") - F.col("y"), DIGITS).alias("difference"))
+
+
+def paired_jackknife(first: DataFrame, second: DataFrame) -> DataFrame:
+    """One row: the difference of two scores' areas over the same components, and its delete-one variance.
+
+    Components that leave one class with either score don't count."""
+    first, second = checkpointed(first), checkpointed(second)
+    x, y = (without_each(df).filter("roc_auc IS NOT NULL").select("component", F.col("roc_auc").alias(n)) for df, n in ((first, "x"), (second, "y")))
+    v = x.join(y, "component").agg(F.count("*").alias("components"), F.var_pop(F.col("x") - F.col("y")).alias("v"))
+    full = [roc_auc(df.withColumn("grp", F.lit(0))).select(F.col("roc_auc").alias(n)) for df, n in ((first, "full_x"), (second, "full_y"))]
+    one = v.join(full[0]).join(full[1])  # one row each
+    return one.select("components", F.round(F.col("full_x") - F.col("full_y"), DIGITS).alias("difference"), F.round(F.when(F.col("components") >= 2, (F.col("components") - 1) * F.col("v")), 12).alias("variance"))
+
+
+@F.pandas_udf(T.DoubleType())
+def t_p_value(estimate: pd.Series, se: pd.Series, df: pd.Series) -> pd.Series:
+    """The two-sided p-value of an estimate against 0 by Student's t; 1 or 0 without a standard error."""
+    rows = [None if pd.isna(e) or pd.isna(s) or pd.isna(d) or d <= 0 else (1.0 if e == 0 else 0.0) if s == 0 else t_two_sided(e / s, d) for e, s, d in zip(estimate, se, df, strict=True)]
+    return pd.Series(rows, dtype="float64")
+
+
+def kolmogorov_p(ks: Column, n: Column, m: Column) -> Column:
+    """The asymptotic two-sample p-value of a Kolmogorov-Smirnov distance."""
+    root = F.sqrt(n * m / (n + m))
+    x = (root + 0.12 + 0.11 / root) * ks
+    series = sum((F.lit(2.0 * (-1) ** (k - 1)) * F.exp(F.lit(-2.0 * k * k) * x * x) for k in range(1, 101)), F.lit(0.0))
+    return F.when(x < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series)))
+
+
+def weighted_mean_bootstrap(rows: DataFrame, replicates: int, seed: int = SEED) -> DataFrame:
+    """(replicate, difference) of the means of x on side 1 and side 0 of rows (component, side, x), over
+    components drawn with replacement: a component's sums are made once."""
+    sums = checkpointed(rows.groupBy("component", "side").agg(F.sum("x").alias("s"), F.count("*").alias("n")))
+    drawn = sums.join(multiplicities(sums, replicates, seed), "component")
+    mean = lambda side: F.try_divide(F.sum(F.when(F.col("side") == side, F.col("times") * F.col("s"))), F.sum(F.when(F.col("side") == side, F.col("times") * F.col("n"))))
+    return drawn.groupBy("replicate").agg(F.round(mean(1) - mean(0), DIGITS).alias("difference"))

@@ -96,6 +96,15 @@ def ece_frequency(scored: DataFrame, bins: int = 10) -> DataFrame:
     return _ece(binned.withColumn("p", F.when(F.col("constant"), F.lit(0.0)).otherwise(F.col("p"))).withColumn("y", F.when(F.col("constant"), 0).otherwise(F.col("y"))))
 
 
+def ece_frequencies(scored: DataFrame, bins: tuple[int, ...]) -> DataFrame:
+    """(grp, bins, ece) with bins of equal frequency, for several numbers of bins."""
+    parts = [ece_frequency(scored, n).withColumn("bins", F.lit(n)) for n in bins]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out.select("grp", "bins", "ece")
+
+
 def separation(scored: DataFrame) -> DataFrame:
     """Per group: how classes' scores differ, and whether the ordering is reversed, chance or expected."""
     pos, neg = F.when(F.col("y") == 1, F.col("p")), F.when(F.col("y") == 0, F.col("p"))

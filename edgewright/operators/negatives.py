@@ -198,3 +198,18 @@ def reuse(negatives: DataFrame, positives: DataFrame) -> DataFrame:
     most = n.groupBy("set_name").agg(F.count("*").alias("decoys"), F.max("times").alias("most"), F.sum("times").alias("rows"))
     q = quantiles(n, ["set_name"], "times", [0.5, 0.95], "q")
     return most.join(q, "set_name").select("set_name", "decoys", "most", F.round(F.col("q")[0], 6).alias("median"), F.round(F.col("q")[1], 6).alias("p95"), F.round(F.col("most") / F.col("rows"), 6).alias("most_share"))
+
+
+def swept(positives: DataFrame, entities: DataFrame, name: str, seeds: list[int]) -> DataFrame:
+    """(seed, set_name, a, b, label, of_a, of_b): one set for each seed, all made at once.
+
+    A seed is a part of every id and stratum, so the sets share rounds but no draw and no pair."""
+    own = lambda c: F.concat(F.col("seed"), F.lit("|"), F.lpad(F.col(c).cast("string"), 20, "0"))
+    many = F.explode(F.array(*[F.lit(str(s)) for s in seeds])).alias("seed")
+    of_seed = F.element_at(F.create_map(*[x for i, s in enumerate(seeds) for x in (F.lit(str(s)), F.lit(i))]), F.col("seed"))
+    pairs = positives.select("*", many).select(own("a").alias("a"), own("b").alias("b"))
+    pool = entities.select("*", many).select(own("entity").alias("entity"), (F.col("stratum") * len(seeds) + of_seed).alias("stratum"))
+    made = matched(pairs, pool, name)
+    kind = positives.schema["a"].dataType.simpleString()
+    plain = lambda c: F.regexp_replace(F.substring_index(c, "|", -1), "^0+(?=.)", "").cast(kind).alias(c)
+    return made.select(F.substring_index("a", "|", 1).cast("int").alias("seed"), "set_name", plain("a"), plain("b"), "label", plain("of_a"), plain("of_b"))

@@ -113,3 +113,68 @@ def gates(report: DataFrame) -> DataFrame:
     r = F.col("regime")
     fine = (F.col("shared_pairs") == 0) & F.when(r == "R1", F.col("tests_0_seen") + F.col("tests_1_seen") == 0).when(r == "R2", F.col("tests_0_seen") + F.col("tests_2_seen") == 0).when(r.startswith("R3"), F.col("shared_entities") == 0).otherwise(True)
     return report.withColumn("passed", fine)
+
+
+def holdout(rows: DataFrame, keys: list[str], share: float = 0.15, seed: int = SEED) -> DataFrame:
+    """``rows`` with ``held``: a share of each label kept back, for early stopping."""
+    return rows.withColumn("held", uniform(seed, "label", *keys) < share)
+
+
+def overlap(split: DataFrame) -> DataFrame:
+    """One row about a supplied split (side, a, b, ...): test pairs that training has as they are, turned
+    round, or either way, and entities of test pairs that training names."""
+    pairs = checkpointed(split.groupBy("a", "b").agg(F.count_if(F.col("side") == "train").alias("x"), F.count_if(F.col("side") == "test").alias("y")))
+    turned = pairs.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("x").alias("turned"))
+    test = pairs.filter("y > 0").join(turned, ["a", "b"], "left").na.fill(0, ["turned"])
+    found = test.agg(F.count("*").alias("test_pairs"), F.count_if(F.col("x") > 0).alias("same"), F.count_if((F.col("turned") > 0) & (F.col("a") != F.col("b"))).alias("reversed"), F.count_if((F.col("x") > 0) | (F.col("turned") > 0)).alias("either"))
+    ends = split.select("side", F.explode(F.array("a", "b")).alias("entity")).groupBy("entity").agg(F.count_if(F.col("side") == "train").alias("x"), F.count_if(F.col("side") == "test").alias("y"))
+    return found.join(ends.agg(F.count_if(F.col("y") > 0).alias("test_entities"), F.count_if((F.col("x") > 0) & (F.col("y") > 0)).alias("shared_entities")))  # one row each
+
+
+def integrity(split: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Per threshold of ``clusters`` (threshold, entity, grp): clusters on both sides of a split, and the
+    share of test entities in them."""
+    ends = split.select("side", F.explode(F.array("a", "b")).alias("entity")).distinct().join(clusters, "entity")
+    groups = ends.groupBy("threshold", "grp").agg(F.count_if(F.col("side") == "train").alias("x"), F.count_if(F.col("side") == "test").alias("y"))
+    both = (F.col("x") > 0) & (F.col("y") > 0)
+    return groups.groupBy("threshold").agg(F.count("*").alias("groups"), F.count_if(both).alias("shared_groups"), F.sum("y").alias("test_entities"), F.round(F.try_divide(F.sum(F.when(both, F.col("y"))), F.sum("y")), 6).alias("leaking_share"))
+
+
+def grouped_share(groups: DataFrame) -> DataFrame:
+    """One row: members of groups (entity, grp), and the share of them that aren't alone in theirs."""
+    size = groups.groupBy("grp").agg(F.count("*").alias("size"))
+    return size.agg(F.sum("size").alias("members"), F.count("*").alias("groups"), F.round(F.sum(F.when(F.col("size") > 1, F.col("size")).otherwise(0)) / F.sum("size"), 6).alias("share_not_alone"))
+
+
+def train_degrees(split: DataFrame) -> DataFrame:
+    """(entity, degree, train_degree): positive pairs of each entity in all and in training alone."""
+    ends = split.filter("label = 1").select("side", F.explode(F.array("a", "b")).alias("entity"))
+    return ends.groupBy("entity").agg(F.count("*").alias("degree"), F.count_if(F.col("side") == "train").alias("train_degree"))
+
+
+def weighted_choice(rows: DataFrame, key: str, weight: str, k: int, seed: int = SEED) -> DataFrame:
+    """``k`` rows without replacement, each time with a chance in proportion to what is left: those of
+    the least -ln(draw) / weight. A row of no weight is never taken."""
+    keyed = rows.filter(F.col(weight) > 0).withColumn("_wait", -F.ln(F.greatest(uniform(seed, key), F.lit(2.0**-49))) / F.col(weight))
+    return keyed.orderBy("_wait", key).limit(k).drop("_wait")
+
+
+def datasets(pairs: DataFrame, pooled: DataFrame, negatives_of, share: float = TEST_SHARE, seed: int = SEED) -> DataFrame:
+    """(regime, set_name, side, a, b, label): R0 and R3 with positives and each set of negatives.
+
+    Positives are split once. ``negatives_of(positives, candidates)`` gives sets (set_name, a, b): for
+    R0 from all entities, and each set is drawn to sides for itself; for R3 from the pool of a side."""
+    positives = checkpointed(pairs.filter("label = 1").select("a", "b"))
+    columns = ["regime", "set_name", "side", "a", "b", "label"]
+    sided = lambda rows, label: rows.withColumn("label", F.lit(label)).withColumn("regime", F.lit("R0")).withColumn("side", F.when(uniform(seed, "label", "a", "b") < share, "test").otherwise("train"))
+    made = checkpointed(negatives_of(positives, None).select("set_name", "a", "b"))
+    names = made.select("set_name").distinct()
+    r0 = sided(positives, 1).withColumn("set_name", F.lit("positives")).select(columns).union(sided(made, 0).select(columns))
+    placed = checkpointed(membership(positives, pooled))
+    out = r0
+    for side in ("train", "test"):
+        mine = placed.filter(F.col("membership") == f"both_{side}").select("a", "b")
+        pool = pooled.filter(F.col("pool") == side).select("entity")
+        both = mine.withColumn("set_name", F.lit("positives")).withColumn("label", F.lit(1)).select("set_name", "a", "b", "label").union(negatives_of(mine, pool).withColumn("label", F.lit(0)).select("set_name", "a", "b", "label"))
+        out = out.union(both.withColumn("regime", F.lit("R3")).withColumn("side", F.lit(side)).select(columns))
+    return out

@@ -24,7 +24,7 @@ def _model(kind: str) -> None:
     @query(f"model_{kind}")
     def run(spark, sf_dir):
         train, test = _sides(spark, sf_dir)
-        scored = models.fit_predict(train, test, kind, quick=True).select(F.lit(kind).alias("grp"), F.col("label").alias("y"), "p")
+        scored = models.fit_predict(train, test, kind).select(F.lit(kind).alias("grp"), F.col("label").alias("y"), "p")
         return metrics.confusion(scored).join(metrics.roc_auc(scored), "grp").join(metrics.average_precision(scored), "grp")
 
 
