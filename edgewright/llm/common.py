@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -17,9 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own where that is unset."""
+    """The folder in ``spark.checkpoint.dir``; one of our own where that is unset in a local session,
+    whose driver and executors are one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -43,7 +47,8 @@ def held_out(modulus: int, remainder: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
-def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, ...]]:
-    """Each Arrow batch as a tuple of Python lists, one per column."""
+def rows_of(batches: Iterable[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[list, ...]]:
+    """Each Arrow batch, or each ``most`` rows of it, as a tuple of Python lists, one per column."""
     for batch in batches:
-        yield tuple(column.to_pylist() for column in batch.columns)
+        for a in range(0, len(batch) or 1, most or max(1, len(batch))):
+            yield tuple(column.to_pylist() for column in batch.slice(a, most).columns)

@@ -51,8 +51,8 @@ WORDS, MOST_BITS, BLOCKS, REFERENCES = 3, 2, 6, 24
 SEED = 42
 #: Width of a cell of a pivot coordinate, and how many coordinates split buckets.
 WIDTH, SPLIT = 8, 2
-#: Shingles whose bits are unpacked at once.
-CHUNK = 1 << 16
+#: Shingles whose bits are unpacked at once, and rows whose texts or sets a task holds.
+CHUNK, HELD = 1 << 16, 512
 #: What the pipeline asks for: words of a shingle, and the similarity of linked texts as a fraction.
 SHINGLE, SIMILAR = 5, (4, 5)
 #: Bands of least hashes and hashes of a band; the estimate from which a pair is verified; texts of a cell.
@@ -333,7 +333,7 @@ def _mapped(docs: DataFrame, frequent=None) -> DataFrame:
     lists = pa.list_(pa.int64())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in common.rows_of(batches):
+        for ids, texts in common.rows_of(batches, HELD):
             out: list[list] = [[], [], [], [], []]
             for text in texts:  # one text's words at a time
                 tokens = tokens_of(text)
@@ -444,14 +444,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = np.asarray(batch.column(2))
-            rows = np.flatnonzero(sent.value[p >> 6] >> (p & 63) & 1)
-            ids, texts = (batch.column(c).take(pa.array(rows)).to_pylist() for c in (0, 1))
-            keys, sets = [], []
-            for text in texts:
-                tokens = tokens_of(text)
-                keys.append(key_of(tokens))
-                sets.append(shingles(tokens).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "key", "held"])
+            asked = batch.take(pa.array(np.flatnonzero(sent.value[p >> 6] >> (p & 63) & 1)))
+            for ids, texts, _ in common.rows_of([asked], HELD):
+                keys, sets = [], []
+                for text in texts:
+                    tokens = tokens_of(text)
+                    keys.append(key_of(tokens))
+                    sets.append(shingles(tokens).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "key", "held"])
 
     sets = docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(_BITS)).alias("p")).mapInArrow(run, "id long, key long, held array<long>")
     sets = common.written(sets.join(wanted, ["id", "key"], "left_semi").dropDuplicates(["key"]).select("key", "held"), "sets")
