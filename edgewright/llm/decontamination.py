@@ -12,7 +12,7 @@ punctuation and white space as one space. Items are a query set against all rows
 broadcast in blocks of bounded size, each block against all documents, without a shuffle of texts.
 
 Defined results: a null or empty document matches nothing, nor does an item that is null or has no
-letter or digit; items shorter than ``1 / rate`` bytes match without edits, and as whole words;
+letter or digit; an item without an id keeps its null; items shorter than ``1 / rate`` bytes match without edits, and as whole words;
 repeated items and repeated documents each give their pairs; very long texts are read whole; empty
 tables give an empty result; ``keep_clean`` keeps all columns.
 """
@@ -128,7 +128,7 @@ def item_blocks(items: DataFrame, block: int = BLOCK) -> Iterator[list[tuple[int
     n = -(-size // block)
     for k in range(n):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-        yield sorted((r["item_id"] if r["item_id"] is not None else -1, plain(r["text"])) for r in rows)
+        yield sorted(((r["item_id"], plain(r["text"])) for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
 
 
 def matches(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:

@@ -2,8 +2,8 @@
 
 The kernel of two texts is the number of different character n-grams, of 1 to 3 symbols, that both
 hold (a blended-spectrum presence kernel), over the root of the product of either's own number. A
-text's symbols are its lower-cased characters; the most frequent ones of the training sample are
-told apart, white space counts as one, all others as another.
+text's symbols are its lower-cased characters, of any script; white space counts as one. N-grams are
+numbered by a hash of ``BITS`` bits, so that no alphabet is listed: few share a number.
 
 A bounded sample of labelled texts gives the landmarks W and the ridge regression over their
 Nystroem features; folded together these are one coefficient for each landmark and language. Whole
@@ -13,12 +13,12 @@ is bounded by the parameters, not by the data.
 
 Scores of all languages sum to one, so the best can't tell that a text is in none of them. What can
 is the share of a text's n-grams that some landmark holds: ``keep_confident`` asks for most of what
-labelled texts reach. An n-gram with a character that isn't told apart counts as unknown.
+labelled texts reach.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; equal scores go to
 the first language in code-point order; without labelled texts everything is ``und``; repeated rows
 get equal results; very long texts are scored whole, though the training sample takes none over
-``LONGEST`` characters; other columns are kept by ``keep_confident`` and ignored otherwise.
+``LONGEST`` characters, and ``SAMPLE_BYTES`` in all at most; other columns are kept by ``keep_confident`` and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -36,43 +36,39 @@ from pyspark.sql import functions as F
 from . import common
 
 #: The bound on the training sample: texts in all and for each language, and characters of each.
-SAMPLE, SAMPLE_EACH, LONGEST = 12_000, 600, 20_000
-LANDMARKS, RIDGE, SYMBOLS, BATCH = 160, 1e-3, 120, 64
+SAMPLE, SAMPLE_EACH, LONGEST, SAMPLE_BYTES = 12_000, 600, 20_000, 64 << 20
+LANDMARKS, RIDGE, BITS, BATCH = 160, 1e-3, 21, 64
 #: A document stays in the pipeline if the share of its n-grams that landmarks know reaches SLACK times
 #: what all labelled texts but this share of them reach, each landmark without itself.
 SLACK, STRANGE = 0.7, 0.01
-_B = 128  # symbols are below this
+_SPACE = np.array([chr(c).isspace() for c in range(0x3101)])
 
 
 @dataclass(frozen=True)
 class Model:
     languages: list[str]
-    alphabet: str
     grams: np.ndarray
     landmarks: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
-    told: np.ndarray
     least_known: float
 
 
 class Kernel:
-    """Maps texts to symbols and to their different n-grams; holds what a task reuses."""
+    """Maps texts to their different n-grams, each by its number; holds what a task reuses."""
 
-    def __init__(self, alphabet: str) -> None:
-        self.symbol = np.zeros(0x110000, np.uint8)
-        for i, c in enumerate(alphabet):
-            self.symbol[ord(c)] = i + 2
-        for c in range(0x3100):
-            if chr(c).isspace():
-                self.symbol[c] = 1
-        self.last = np.zeros(_B + _B**2 + _B**3, np.int32)
+    def __init__(self) -> None:
+        self.last = np.zeros(1 << BITS, np.int32)
 
     def grams(self, text: str) -> np.ndarray:
         """The different n-grams of a text, each by its number."""
-        s = self.symbol[np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")].astype(np.int32)
-        pairs = s[:-1] * _B + s[1:]
-        ids = np.concatenate([s, pairs + _B, pairs[:-1] * _B + s[2:] + (_B + _B**2)])
+        s = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")
+        s = np.where(_SPACE[np.minimum(s, 0x3100)], np.uint32(32), s) * np.uint32(0x9E3779B1)
+        pairs = (s[:-1] ^ s[:-1] >> np.uint32(15)) * np.uint32(0x85EBCA77) + s[1:]
+        triples = (pairs[:-1] ^ pairs[:-1] >> np.uint32(13)) * np.uint32(0xC2B2AE3D) + s[2:]
+        ids = np.concatenate([s ^ np.uint32(0x27D4EB2F), pairs ^ np.uint32(0x165667B1), triples])
+        ids = (ids ^ ids >> np.uint32(16)) * np.uint32(0x7FEB352D)
+        ids = ((ids ^ ids >> np.uint32(15)) * np.uint32(0x846CA68B) >> np.uint32(32 - BITS)).astype(np.int32)
         order = np.arange(len(ids), dtype=np.int32)
         self.last[ids] = order
         return ids[self.last[ids] == order]
@@ -84,15 +80,6 @@ class Kernel:
         return at
 
 
-def told_apart(grams: np.ndarray) -> np.ndarray:
-    """Whether each n-gram holds no symbol that stands for several characters."""
-    pairs, triples = grams - _B, grams - (_B + _B**2)
-    one, two = grams < _B, (grams >= _B) & (triples < 0)
-    of_two = (pairs // _B > 0) & (pairs % _B > 0)
-    of_three = (triples // _B**2 > 0) & (triples // _B % _B > 0) & (triples % _B > 0)
-    return np.where(one, grams > 0, np.where(two, of_two, of_three))
-
-
 def presence(texts: list[str], kernel: Kernel, column: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The texts' presence rows over the landmarks' n-grams, and how many different ones each has."""
     rows, own = np.zeros((len(texts), width + 1), np.float32), np.ones(len(texts), np.float32)
@@ -106,9 +93,7 @@ def presence(texts: list[str], kernel: Kernel, column: np.ndarray, width: int) -
 def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """The model from labelled texts; as many landmarks from each language as its turn gives."""
     names = sorted(set(languages))
-    counts = Counter(c for t in texts for c in t.lower() if not c.isspace())
-    alphabet = "".join(c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:SYMBOLS])
-    kernel = Kernel(alphabet)
+    kernel = Kernel()
     each = {n: [i for i, x in enumerate(languages) if x == n] for n in names}
     turns = sorted((rank, names.index(n), i) for n in names for rank, i in enumerate(each[n]))
     chosen = [i for _, _, i in turns[:landmarks]]
@@ -118,13 +103,12 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridg
     marks = np.zeros((len(grams), len(chosen)), np.float32)
     for j, g in enumerate(held):
         marks[column[g], j] = 1 / np.sqrt(len(g) or 1)
-    told, landmark = told_apart(grams).astype(np.float32), np.isin(np.arange(len(texts)), chosen)
-    told_by_others = told * ((marks > 0).sum(axis=1) > 1)
+    landmark, by_others = np.isin(np.arange(len(texts)), chosen), ((marks > 0).sum(axis=1) > 1).astype(np.float32)
     k, known = np.zeros((len(texts), len(chosen))), np.zeros(len(texts))
     for a in range(0, len(texts), BATCH):
         rows, own = presence(texts[a : a + BATCH], kernel, column, len(grams))
         k[a : a + BATCH] = rows @ marks / np.sqrt(own)[:, None]
-        known[a : a + BATCH] = np.where(landmark[a : a + BATCH], rows @ told_by_others, rows @ told) / own
+        known[a : a + BATCH] = np.where(landmark[a : a + BATCH], rows @ by_others, rows.sum(axis=1)) / own
     value, vector = np.linalg.eigh(k[chosen])
     good = value > 1e-8 * value.max(initial=1e-12)
     half = vector[:, good] / np.sqrt(value[good])
@@ -132,12 +116,12 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridg
     mean, y_mean = features.mean(axis=0), y.mean(axis=0)
     f = features - mean
     beta = np.linalg.solve(f.T @ f + ridge * len(texts) * np.eye(f.shape[1]), f.T @ (y - y_mean))
-    return Model(names, alphabet, grams, marks, (half @ beta).astype(np.float32), (y_mean - mean @ beta).astype(np.float32), told, SLACK * float(np.quantile(known, STRANGE)))
+    return Model(names, grams, marks, (half @ beta).astype(np.float32), (y_mean - mean @ beta).astype(np.float32), SLACK * float(np.quantile(known, STRANGE)))
 
 
 class Scorer:
     def __init__(self, model: Model) -> None:
-        self.model, self.kernel = model, Kernel(model.alphabet)
+        self.model, self.kernel = model, Kernel()
         self.column = self.kernel.place(model.grams)
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
@@ -149,7 +133,7 @@ class Scorer:
             some = real[a : a + BATCH]
             rows, own = presence([texts[i] for i in some], self.kernel, self.column, len(m.grams))
             got = (rows @ m.landmarks / np.sqrt(own)[:, None]) @ m.weights + m.bias
-            for i, top, score, share in zip(some, got.argmax(axis=1).tolist(), got.max(axis=1).tolist(), (rows @ m.told / own).tolist(), strict=True):
+            for i, top, score, share in zip(some, got.argmax(axis=1).tolist(), got.max(axis=1).tolist(), (rows.sum(axis=1) / own).tolist(), strict=True):
                 names[i], scores[i], known[i] = m.languages[top], min(1.0, max(0.0, score)), share
         return names, scores, known
 
@@ -162,20 +146,23 @@ def train(docs: DataFrame) -> Model:
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & short & ~common.held_out(3, 1)).select("lang", "text")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE // 20).collect()}
     if not counts:
-        return Model([], "", np.zeros(0, np.int32), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32), np.zeros(0, np.float32), 0.0)
+        return Model([], np.zeros(0, np.int32), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32), 0.0)
     each = min(SAMPLE_EACH, SAMPLE // len(counts))
     share = F.create_map(*[F.lit(x) for n, c in counts.items() for x in (n, min(1.0, 1.5 * each / c))])
     h = F.xxhash64("text")
     near = rows.withColumn("h", h).filter(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-    near = near.groupBy("lang", "h").agg(F.min("text").alias("text"))
-    sample = near.orderBy(F.pmod("h", F.lit(1 << 20)), "h", "lang").limit(2 * SAMPLE).collect()
-    texts, languages, taken = [], [], Counter()
-    for row in sample:
-        if taken[row["lang"]] < each:
+    order = [F.pmod("h", F.lit(1 << 20)), "h", "lang"]
+    sizes = near.groupBy("lang", "h").agg(F.min(F.octet_length("text")).alias("size"))
+    wanted, taken, room = [], Counter(), SAMPLE_BYTES
+    for row in sizes.orderBy(*order).limit(2 * SAMPLE).collect():
+        if taken[row["lang"]] < each and row["size"] <= room:
             taken[row["lang"]] += 1
-            texts.append(row["text"])
-            languages.append(row["lang"])
-    return fit(texts, languages)
+            room -= row["size"]
+            wanted.append((row["lang"], row["h"]))
+    chosen = docs.sparkSession.createDataFrame(wanted, "lang string, h long")
+    sample = near.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))  # SAMPLE rows at most
+    rows = sample.orderBy(*order).collect()
+    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

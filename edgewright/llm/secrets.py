@@ -196,7 +196,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with each span, or run of touching spans, replaced by ``[SECRET]``."""
+    """``docs`` with each span, or run of overlapping spans, replaced by ``[SECRET]``; spans that only
+    touch are replaced one by one."""
     where = docs.columns.index("text")
 
     def masked(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:

@@ -10,8 +10,8 @@ The table has ``size`` rows whatever the data's size, so it is broadcast; a row
 hash and one lookup, without a shuffle. Placement is DataFrame code only.
 
 Defined results: a null key counts as a key of its own (all null keys share a shard); repeated
-rows and equal keys land together; an empty table gives an empty result; other columns are kept,
-and one named like an added column makes ``place`` raise, as it would be overwritten.
+rows and equal keys land together; an empty table gives an empty result; other columns are kept, but
+for ones named ``slot`` or ``shard``, which the added columns replace; the key may be one of them.
 """
 
 from __future__ import annotations
@@ -62,11 +62,10 @@ def slot_of(key: Column, size: int = SIZE) -> Column:
 
 def place(df: DataFrame, key: Column, names: list[str], size: int = SIZE) -> DataFrame:
     """``df`` with its ``slot`` and ``shard``."""
-    if taken := {"slot", "shard"} & set(df.columns):
-        raise ValueError(f"df already has {sorted(taken)}")
     listed = F.split(F.lit(",".join(map(str, lookup_table(names, size)))), ",")
     owners = df.sparkSession.range(1).select(F.posexplode(listed).alias("slot", "owner")).select("slot", F.col("owner").cast("int").alias("shard"))
-    return df.withColumn("slot", slot_of(key, size)).join(F.broadcast(owners), "slot")
+    placed = df.withColumn("slot", slot_of(key, size)).drop("shard")
+    return placed.join(F.broadcast(owners), "slot")  # size rows
 
 
 def shard_names(n: int = SHARDS) -> list[str]:

@@ -60,13 +60,42 @@ def test_language_of_odd_rows(docs, rows, no_docs):
 
 
 def test_kernel_counts_shared_grams():
-    texts, kernel = ["abcab", "bcd x", "abc"], language_id.Kernel("abcdx")
+    texts, kernel = ["abcab", "bcd x", "abc"], language_id.Kernel()
     grams = lambda t: {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
     for s in texts:
         for t in texts:
             assert len(set(kernel.grams(s).tolist()) & set(kernel.grams(t).tolist())) == len(grams(s) & grams(t))
 
 
+def test_scores_equal_plain_kernel_ridge():
+    """Kernels as sets of n-grams, Nystroem features, and the ridge regression, written out."""
+    rng = random.Random(20)
+    texts = [words(rng, 12, letters) for letters in ("abcde", "cdefg", "efghij") for _ in range(9)]
+    languages = [f"l{i // 9}" for i in range(27)]
+    model = language_id.fit(texts, languages, 7, 1e-2)
+    grams = lambda t: {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    kernel = lambda s, t: len(grams(s) & grams(t)) / math.sqrt(len(grams(s)) * len(grams(t)))
+    marks = [texts[i] for _, _, i in sorted((i % 9, i // 9, i) for i in range(27))[:7]]
+    w = np.array([[kernel(s, t) for t in marks] for s in marks])
+    value, vector = np.linalg.eigh(w)
+    half = vector @ np.diag(value**-0.5)
+    f, y = np.array([[kernel(s, t) for t in marks] for s in texts]) @ half, np.eye(3)[[i // 9 for i in range(27)]]
+    beta = np.linalg.solve((f - f.mean(0)).T @ (f - f.mean(0)) + 1e-2 * 27 * np.eye(7), (f - f.mean(0)).T @ (y - y.mean(0)))
+    asked = [words(rng, 9, "abcdefghij") for _ in range(5)]
+    want = (np.array([[kernel(s, t) for t in marks] for s in asked]) @ half - f.mean(0)) @ beta + y.mean(0)
+    names, scores, _ = language_id.Scorer(model)(asked)
+    assert names == [f"l{k}" for k in want.argmax(axis=1)] and scores == pytest.approx(np.clip(want.max(axis=1), 0, 1), abs=1e-3)
+
+
+def test_scripts_of_many_characters_are_told_apart():
+    rng = random.Random(22)
+    some = lambda low, n: "".join(chr(low + rng.randrange(1500)) for _ in range(n))
+    one, two = [some(0x4E00, 60) for _ in range(40)], [some(0x6000, 60) for _ in range(40)]
+    model = language_id.fit(one[:30] + two[:30], ["x"] * 30 + ["y"] * 30)
+    names, _, _ = language_id.Scorer(model)(one[30:] + two[30:])
+    assert names == ["x"] * 10 + ["y"] * 10
+
+
 def least_by_table(item, text):
     before = [0] * (len(text) + 1)
     for i, c in enumerate(item, 1):
@@ -82,6 +111,7 @@ def test_decontamination_equals_edit_distance(spark):
     items = [(i, words(rng, 12)) for i in range(6)] + [(6, "ab"), (7, None), (8, "..."), (0, words(rng, 12))]
     edit = lambda t, n: "".join(rng.choice("xyz") if rng.random() < n / len(t) else c for c in t)
     rows = [(i, words(rng, 30) + " " + edit(items[i % 6][1], i % 5) + ", " + words(rng, 5)) for i in range(30)] + [(40, None), (41, ""), (42, "q ab q"), (43, "abab"), (None, items[0][1].upper())]
+    items += [(None, items[1][1]), (-1, items[1][1])]  # no id is no other id
     found = decontamination.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), 0.07)
     expected = []
     for i, text in rows:
@@ -112,8 +142,8 @@ def test_sharding_of_odd_rows(spark, docs, no_docs):
     assert max(n.values()) - min(n.values()) <= 1
     fewer = sharding.lookup_table(sharding.shard_names()[:-1], sharding.SIZE)
     assert sum(a != b for a, b in zip(owner, fewer, strict=True)) < 0.15 * sharding.SIZE
-    with pytest.raises(ValueError, match="already has"):
-        sharding.place(placed, F.col("doc_id"), ["a"], 7)
+    again = sharding.place(placed, F.col("shard"), ["a", "b"], 7)
+    assert again.columns.count("shard") == 1 and again.count() == docs.count() and again.filter("shard NOT IN (0, 1)").isEmpty()
 
 
 def test_top_k_of_odd_vectors(spark):
@@ -202,6 +232,20 @@ def test_digest_of_base_spans(spark, data):
     assert row["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
 
 
+def test_base_kinds_by_the_contract(spark, data):
+    """The three patterns written out, over the given documents."""
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    for row in secrets.op7_secrets(spark, data).collect():
+        t = texts[row["doc_id"]]
+        spans = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 6]
+        spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        base = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(spans))
+        assert row["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+        assert [row[f"n_{x}"] for x in ("assign", "access", "hex")] == [sum(k == i for _, k, _ in spans) for i in range(3)]
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("ab(c|de?)f") == sorted([frozenset({b"abc", b"bcf"}), frozenset({b"abd", b"bde", b"def"}), frozenset({b"abd", b"bdf"})], key=sorted)
     assert secrets.trigram_query("[0-9a-f]+") is None and secrets.trigram_query("abc|x") is None
