@@ -43,9 +43,9 @@ from . import common, windows
 
 WINDOW, GRAM = 400, 128
 #: Batches that the query's documents arrive in, and suffixes whose arrays are made at once.
-BATCHES, GROUPED = 4, 1 << 14
+BATCHES, GROUPED = 2, 1 << 14
 _ORDER = ["lead", "more", "key"]
-UNITS = windows.Units(WINDOW, GRAM, bytes, windows.hash_bytes, b"")
+UNITS = windows.Units(WINDOW, GRAM, bytes, windows.hash_bytes, b"", hot=40_000)
 
 
 def leads(text: bytes, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
