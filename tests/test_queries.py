@@ -8,7 +8,7 @@ import __spark_entry__
 from edgewright.plans import catalogue
 from tests.oracle import assert_equal
 
-SLOW = ("negatives_", "negative_checks_N1", "negative_checks_N3", "negative_checks_N5", "negative_checks_N6", "model_rf", "model_gbt", "model_mlp", "component_bootstrap", "seed_sweep", "dataset_builders", "negative_designs", "nested_features", "cross_validation", "ctd_transition", "ctd_distribution")
+SLOW = ("negatives_", "negative_checks_N1", "negative_checks_N3", "negative_checks_N5", "negative_checks_N6", "negative_checks_N7", "negative_checks_N2_exact", "model_rf", "model_gbt", "model_mlp", "component_bootstrap", "seed_sweep", "dataset_builders", "negative_designs", "nested_features", "cross_validation", "ctd_transition", "ctd_distribution")
 
 
 @pytest.mark.parametrize("name", [n for n in catalogue.QUERIES if not n.startswith(SLOW)])
