@@ -159,7 +159,7 @@ def weighted_choice(rows: DataFrame, key: str, weight: str, k: int, seed: int =
     return keyed.orderBy("_wait", key).limit(k).drop("_wait")
 
 
-def datasets(pairs: DataFrame, pooled: DataFrame, negatives_of, share: float = TEST_SHARE, seed: int = SEED) -> DataFrame:
+def datasets(pairs: DataFrame, pooled: DataFrame, negatives_of, share: float = TEST_SHARE, seed: int = SEED, regimes: tuple[str, ...] = ("R0", "R3")) -> DataFrame:
     """(regime, set_name, side, a, b, label): R0 and R3 with positives and each set of negatives.
 
     Positives are split once. ``negatives_of(positives, candidates)`` gives sets (set_name, a, b): for
@@ -167,12 +167,14 @@ def datasets(pairs: DataFrame, pooled: DataFrame, negatives_of, share: float = T
     positives = checkpointed(pairs.filter("label = 1").select("a", "b"))
     columns = ["regime", "set_name", "side", "a", "b", "label"]
     sided = lambda rows, label: rows.withColumn("label", F.lit(label)).withColumn("regime", F.lit("R0")).withColumn("side", F.when(uniform(seed, "label", "a", "b") < share, "test").otherwise("train"))
-    made = checkpointed(negatives_of(positives, None).select("set_name", "a", "b"))
-    names = made.select("set_name").distinct()
-    r0 = sided(positives, 1).withColumn("set_name", F.lit("positives")).select(columns).union(sided(made, 0).select(columns))
+    out = sided(positives, 1).withColumn("set_name", F.lit("positives")).select(columns)
+    if "R0" in regimes:
+        made = checkpointed(negatives_of(positives, None).select("set_name", "a", "b"))
+        out = out.union(sided(made, 0).select(columns))
+    else:
+        out = out.limit(0)
     placed = checkpointed(membership(positives, pooled))
-    out = r0
-    for side in ("train", "test"):
+    for side in ("train", "test") if "R3" in regimes else ():
         mine = placed.filter(F.col("membership") == f"both_{side}").select("a", "b")
         pool = pooled.filter(F.col("pool") == side).select("entity")
         both = mine.withColumn("set_name", F.lit("positives")).withColumn("label", F.lit(1)).select("set_name", "a", "b", "label").union(negatives_of(mine, pool).withColumn("label", F.lit(0)).select("set_name", "a", "b", "label"))

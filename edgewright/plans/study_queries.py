@@ -101,10 +101,10 @@ def seed_sweep_summary(spark, sf_dir):
 SELECT 'R0' AS regime, 'positives' AS set_name, 1 AS label, n FROM n UNION ALL SELECT 'R0', set_name, 0, n FROM s, n""")
 def dataset_builders(spark, sf_dir):
     """R0 with each set: as many negatives as positives."""
-    return _built(spark, sf_dir).filter("regime = 'R0'").groupBy("regime", "set_name", "label").agg(F.count("*").alias("n"))
+    return _built(spark, sf_dir, "R0").groupBy("regime", "set_name", "label").agg(F.count("*").alias("n"))
 
 
-def _built(spark, sf_dir):
+def _built(spark, sf_dir, regime):
     pairs = t.part_pairs(spark, sf_dir).withColumn("label", F.lit(1))
     pooled = splits.pools(t.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity"), F.col("p_brand").alias("grp")))
 
@@ -112,14 +112,14 @@ def _built(spark, sf_dir):
         n2, n5 = (negatives.matched(positives, split_queries.strata(spark, sf_dir, kind), name, candidates=candidates) for name, kind in (("N2", "degree"), ("N5", "degree_length")))
         return n2.union(n5)
 
-    return splits.datasets(pairs, pooled, sets)
+    return splits.datasets(pairs, pooled, sets, regimes=(regime,))
 
 
 @query("dataset_builders_by_pool")
 def dataset_builders_by_pool(spark, sf_dir):
     """R3 by side and set, and how many ends of a set's negatives lie outside the pool of its side (0)."""
     pooled = splits.pools(t.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity"), F.col("p_brand").alias("grp")))
-    rows = _built(spark, sf_dir).filter("regime = 'R3'")
+    rows = _built(spark, sf_dir, "R3")
     ends = rows.select("set_name", "side", "label", F.explode(F.array("a", "b")).alias("entity")).join(pooled, "entity")
     return ends.groupBy("set_name", "side", "label").agg(F.count("*").alias("ends"), F.count_if(F.col("pool") != F.col("side")).alias("outside"))
 
