@@ -6,8 +6,8 @@ sparse: they hold the suffixes that start at minimisers, the least hash among a
 128-byte grams. Equal windows hold an equal minimiser at an equal place, so two of them always have
 two such suffixes that agree on 128 bytes.
 
-A new batch of documents gets a suffix array: its suffixes in the order of their first sixteen bytes,
-then of a hash of the first 128, range-partitioned, with how many agree on all that as one row. It is
+A new batch of documents gets a suffix array: its suffixes, dealt to parts, in the order of their
+first sixteen bytes and then of a hash of the first 128; those that agree on all that are one row. It is
 merge-scanned against the arrays of the levels that exist; suffixes that agree with another's are
 matches. Then it becomes a level itself, and while the last two levels are of equal rank they merge
 into one of the next: a suffix is rewritten only as often as the logarithm of the number of batches,
@@ -56,16 +56,23 @@ def leads(text: bytes, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def suffixes(base: DataFrame, u: windows.Units) -> DataFrame:
-    """(lead, more, key, id, text_hash) of every suffix that starts at a minimiser."""
-    names = [*_ORDER, *windows.WHO]
+    """(lead, more, key, id, text_hash, n) of the suffixes that start at minimisers; n is 2 where a text
+    has a minimiser more than once."""
+    names = [*_ORDER, *windows.WHO, "n"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hashes = (np.asarray(batch.column(c)) for c in (1, 2))
             for first, _, flat, units, ends in windows.chunks(batch.column(0).to_pylist(), u):
                 place, key = windows.anchors(units, ends, u)
-                row = first + np.searchsorted(ends, place, "right")
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*leads(flat, place), key, ids[row], hashes[row])], names)
+                row = np.searchsorted(ends, place, "right")
+                order = np.lexsort((key, row))
+                new = np.ones(len(order), bool)
+                new[1:] = (row[order][1:] != row[order][:-1]) | (key[order][1:] != key[order][:-1])
+                n = np.minimum(np.diff([*np.flatnonzero(new), len(order)]), 2)
+                one = order[new]
+                row = first + row[one]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*leads(flat, place[one]), key[one], ids[row], hashes[row], n.astype(np.int64))], names)
 
     return base.select("text", *windows.WHO).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
@@ -79,12 +86,11 @@ class Family:
 
     @staticmethod
     def _sorted(rows: DataFrame, name: str) -> DataFrame:
-        ranged = rows.repartitionByRange(*_ORDER).groupBy(*_ORDER).agg(F.sum("n").alias("n"))
-        return common.written(ranged.sortWithinPartitions(*_ORDER), name)
+        return common.written(rows.groupBy(*_ORDER).agg(F.sum("n").alias("n")).sortWithinPartitions(*_ORDER), name)
 
     def add(self, suffixes: DataFrame) -> None:
-        """Takes in a batch's suffixes (lead, more, key, ...), and notes which match any others."""
-        new = self._sorted(suffixes.select(*_ORDER, F.lit(1).cast("long").alias("n")), "suffixes")
+        """Takes in a batch's suffixes (lead, more, key, n, ...), and notes which match any others."""
+        new = self._sorted(suffixes.select(*_ORDER, "n"), "suffixes")
         self.matches.append(new.filter("n > 1").select(*_ORDER))
         for rank, level in self.levels:
             self.matches.append(common.written(new.select(*_ORDER).hint("merge").join(level.select(*_ORDER), _ORDER), f"matches-{rank}"))
@@ -150,8 +156,9 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _around(found: DataFrame, u: windows.Units) -> DataFrame:
-    """The suffixes whose minimiser is in ``keys``: (key, id, text_hash, place, left, context)."""
-    fields = "key long, id long, text_hash long, place long, left int, context binary"
+    """The suffixes whose minimiser is in ``keys``: (key, id, text_hash, left, context, places); those of
+    a text that agree on all bytes around, as in a text that goes on repeating itself, are one row."""
+    names = ["key", *windows.WHO, "left", "context", "places"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,16 +175,20 @@ def _around(found: DataFrame, u: windows.Units) -> DataFrame:
                 row, key, place = row[keep], key[keep], place[keep]
                 place = place - (ends[row] - np.array([len(x) for x in held], np.int64)[row])
                 left = np.minimum(place, u.size - u.gram)
-                context = [held[r][p - k : p + u.size] for r, p, k in zip(row.tolist(), place.tolist(), left.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[first + row]), pa.array(hashes[first + row]), pa.array(place), pa.array(left.astype(np.int32)), pa.array(context, pa.binary())], [f.split()[0] for f in fields.split(", ")])
+                places: dict[tuple, list[int]] = {}
+                for r, k, p, before in zip(row.tolist(), key.tolist(), place.tolist(), left.tolist(), strict=True):
+                    places.setdefault((r, k, before, held[r][p - before : p + u.size]), []).append(p)
+                r, k, before, context = zip(*places, strict=True) if places else ([], [], [], [])
+                r = first + np.array(r, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(ids[r]), pa.array(hashes[r]), pa.array(before, pa.int32()), pa.array(context, pa.binary()), pa.array(places.values(), pa.list_(pa.int64()))], names)
 
-    return found.select("text", *windows.WHO, "keys").mapInArrow(run, fields)
+    return found.select("text", *windows.WHO, "keys").mapInArrow(run, "key long, id long, text_hash long, left int, context binary, places array<long>")
 
 
 def _extended(rows: DataFrame, u: windows.Units, by: list[str], keep: list[str]) -> DataFrame:
     """(*keep, back, n) of runs of repeated windows: n of them, the last one ``back`` bytes before the
-    suffix. Rows are (*by, *keep, left, context, times, low, high), and longs but for the context; a
-    task takes whole groups of equal ``by`` together."""
+    suffix. Rows are (*by, *keep, left, context, times,
+    low, high); a task takes whole groups of equal ``by`` together."""
     names = [*keep, "back", "n"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +197,8 @@ def _extended(rows: DataFrame, u: windows.Units, by: list[str], keep: list[str])
             group = np.concatenate([[0], np.cumsum((keys[1:] != keys[:-1]).any(axis=1))])
             left, times, low, high = (np.asarray(rows.column(c)).astype(np.int64) for c in ("left", "times", "low", "high"))
             row, first, past = _runs(repeated_windows(rows.column("context").to_pylist(), left, group, times, u, low, high))
-            return pa.RecordBatch.from_arrays([*(pa.array(np.asarray(rows.column(c))[row]) for c in keep), pa.array(first.astype(np.int64)), pa.array((past - first).astype(np.int64))], names)
+            kept = rows.select(keep).take(pa.array(row))
+            return pa.RecordBatch.from_arrays([*kept.columns, pa.array(first.astype(np.int64)), pa.array((past - first).astype(np.int64))], names)
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -203,15 +215,15 @@ def _extended(rows: DataFrame, u: windows.Units, by: list[str], keep: list[str])
         if held and sum(map(len, held)):
             yield found(pa.concat_batches(held))
 
-    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, ", ".join(f"{c} {'array<long>' if c == 'places' else 'long'}" for c in names))
 
 
 def find(base: DataFrame, keys: DataFrame, repeated: DataFrame, u: windows.Units) -> DataFrame:
     """(id, text_hash, spans) with spans the (start, n) of runs of repeated windows, for the texts
     that have some. ``keys`` are the minimisers of texts, ``repeated`` (key, n) those that match."""
-    whole = [F.lit(1).cast("long").alias("times"), F.lit(0).cast("long").alias("low"), F.lit(u.size - u.gram).cast("long").alias("high")]
-    who = [*windows.WHO, "place"]
-    spans = lambda of: of.select(*windows.WHO, (F.col("place") - F.col("back") - F.col("n") + 1).alias("start"), "n")
+    whole = [F.size("places").cast("long").alias("times"), F.lit(0).cast("long").alias("low"), F.lit(u.size - u.gram).cast("long").alias("high")]
+    who = [*windows.WHO, "places"]
+    spans = lambda of: of.withColumn("place", F.explode("places")).select(*windows.WHO, (F.col("place") - F.col("back") - F.col("n") + 1).alias("start"), "n")
     wanted = common.written(windows.keys_of_texts(keys, repeated.filter(F.col("n") <= u.hot)), "wanted")
     rows = _around(base.join(wanted, windows.WHO), u).select("key", *who, "left", "context", *whole)
     out = spans(_extended(rows, u, ["key"], who))
@@ -220,7 +232,7 @@ def find(base: DataFrame, keys: DataFrame, repeated: DataFrame, u: windows.Units
         half = (u.size - u.gram) // 2
         digest = F.unhex(F.substring(F.sha2(F.concat(F.col("left").cast("string").cast("binary"), F.lit(":").cast("binary"), "context"), 256), 1, 32))
         many = common.written(_around(base.join(windows.keys_of_texts(keys, hot), windows.WHO), u).withColumn("digest", digest), "around")
-        each = many.groupBy("key", "digest").agg(F.first("left").alias("left"), F.first("context").alias("context"), F.count("*").alias("times"))
+        each = many.groupBy("key", "digest").agg(F.first("left").alias("left"), F.first("context").alias("context"), F.sum(F.size("places")).alias("times"))
         each = common.written(each.withColumn("own", F.xxhash64("key", "digest")), "contexts")
         right = F.xxhash64(F.substring(F.col("context"), F.col("left") + 1, F.lit(u.size - half)))
         far = F.xxhash64(F.substring(F.col("context"), F.col("left") - half, F.lit(half + 1)))

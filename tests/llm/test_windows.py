@@ -78,7 +78,7 @@ def test_empty(no_docs):
 def test_levels_grow_geometrically(spark):
     family = suffix_dedup.Family()
     for i in range(6):
-        family.add(spark.createDataFrame([(0, 1, 5), (i, 1, 100 + i)], "lead long, more long, key long"))
+        family.add(spark.createDataFrame([(0, 1, 5, 1), (i, 1, 100 + i, 1)], "lead long, more long, key long, n long"))
     assert [rank for rank, _ in family.levels] == [2, 1]
     assert [tuple(r) for r in family.matching().collect()] == [(0, 1, 5, 6)]
 
