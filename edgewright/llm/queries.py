@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, lm_scoring, near_dedup, packing, secrets, sharding, substring_dedup, suffix_dedup, top_k
+from . import alignment, decontamination, language_id, lm_scoring, near_dedup, packing, secrets, sharding, substring_dedup, suffix_dedup, top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": packing.op8_packing,
     "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_alignment": alignment.op11_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
