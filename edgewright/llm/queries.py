@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, decontamination, language_id, lm_scoring, near_dedup, packing, secrets, sharding, substring_dedup, suffix_dedup, top_k
+from . import alignment, decontamination, language_id, lm_scoring, near_dedup, packing, ranking, secrets, sharding, substring_dedup, suffix_dedup, top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
@@ -20,10 +20,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op11_alignment": alignment.op11_alignment,
+    "op12_ranking": ranking.op12_ranking,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_sharding": sharding.ORACLE,
     "op5_top_k": top_k.ORACLE,
     "op10_substring_dedup": substring_dedup.ORACLE,
+    "op12_ranking": ranking.ORACLE,
 }
