@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, decontamination, language_id, lm_scoring, near_dedup, packing, ranking, secrets, sharding, substring_dedup, suffix_dedup, top_k
+from . import alignment, decontamination, language_id, lm_scoring, near_dedup, packing, ranking, secrets, sharding, substring_dedup, suffix_dedup, top_k, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op11_alignment": alignment.op11_alignment,
     "op12_ranking": ranking.op12_ranking,
+    "op13_toxicity": toxicity.op13_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
