@@ -108,8 +108,8 @@ def test_odd_rows(spark, docs, rows, no_docs):
     found = toxicity.score(docs, labels).collect()
     assert len(found) == len(rows) and all(0 <= r["score"] <= 1 for r in found)
     assert len({r["score"] for r in found if r["doc_id"] in (9, 10, 11)}) == 1  # null, empty and blank
-    assert {r["score"] for r in toxicity.score(docs, labels.limit(0)).collect()} == {pytest.approx(0, abs=1e-9)}
-    assert {r["score"] for r in toxicity.score(docs, labels.filter("toxic = 1")).collect()} == {pytest.approx(1)}
+    assert all(r["score"] < 1e-9 for r in toxicity.score(docs, labels.limit(0)).collect())
+    assert all(r["score"] > 1 - 1e-9 for r in toxicity.score(docs, labels.filter("toxic = 1")).collect())
     assert toxicity.score(no_docs, labels).count() == 0
     table = toxicity.character_model(docs)
     kept = toxicity.restored(docs, table)
