@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgewright.functions.draws import ticket, uniform
+from edgewright.operators import selection
 from edgewright.operators.ranges import checkpointed
 
 SEED, TEST_SHARE = 42, 0.2
@@ -25,6 +26,19 @@ def random_split(pairs: DataFrame, share: float = TEST_SHARE, seed: int = SEED)
     return pairs.select(F.lit("R0").alias("regime"), _side(uniform(seed, "label", "a", "b") < share), "a", "b", "label")
 
 
+def stratified_split(pairs: DataFrame, share: float = TEST_SHARE, seed: int = SEED, ends: tuple[str, ...] = ("a", "b")) -> DataFrame:
+    """R0 with exact counts: of each label, the share, rounded, of least tickets is tested."""
+    chosen = selection.first(pairs.withColumn("ticket", ticket(seed, "label", *ends)), ["label"], "ticket", [*ends], share)
+    return chosen.select(F.lit("R0").alias("regime"), _side(F.col("chosen")), "a", "b", "label")
+
+
+def counted_pools(groups: DataFrame, share: float = TEST_SHARE, seed: int = SEED) -> DataFrame:
+    """Like ``pools``, with exactly the share, rounded, of the groups in the test pool."""
+    drawn = groups.select("grp").distinct().withColumn("ticket", ticket(seed, "grp"))
+    chosen = selection.first(drawn, [], "ticket", ["grp"], share)
+    return groups.join(chosen.select("grp", F.when(F.col("chosen"), "test").otherwise("train").alias("pool")), "grp").select(*groups.columns, "pool")
+
+
 def folds(pairs: DataFrame, k: int = 5, seed: int = SEED) -> DataFrame:
     """Stratified folds: dealt in turn by ticket within (label, first digit of the ticket)."""
     drawn = pairs.withColumn("ticket", ticket(seed, "a", "b")).withColumn("range", F.substring("ticket", 1, 2))
@@ -60,12 +74,50 @@ def degree_safe_holdout(pairs: DataFrame, share: float = TEST_SHARE, seed: int =
     return marked.join(F.broadcast(rate)).select(F.lit("R1").alias("regime"), _side(drawn_out), "a", "b", "label")  # one row of rate
 
 
-def novelty(pairs: DataFrame, pooled: DataFrame, share: float = TEST_SHARE, seed: int = SEED) -> DataFrame:
+def greedy_holdout(pairs: DataFrame, share: float = TEST_SHARE, seed: int = SEED) -> DataFrame:
+    """Pairs with a side: by ticket, a pair is tested if both its ends keep another pair in training,
+    until the share, rounded, of all is reached; the same pairs as a walk in the order of tickets takes.
+
+    A walk can only refuse a pair at an end of which it is the last one, and does if all others of that
+    end were taken. So only last pairs, one an entity at most, are in doubt, and each waits for the
+    last pairs of other entities among those of its end: it is taken once one of them at each end was
+    refused, and refused once all of them at one end were taken. Rounds settle all that can be."""
+    drawn = checkpointed(pairs.withColumn("ticket", ticket(seed, "a", "b")))
+    key = F.struct("ticket", "a", "b")
+    ends = drawn.select(F.col("a").alias("node"), "a", "b", "ticket").union(drawn.select(F.col("b").alias("node"), "a", "b", "ticket"))
+    last = checkpointed(ends.groupBy("node").agg(F.max(key).alias("last")))
+    doubtful = last.select("last").distinct()
+    #: (last, node, other): the doubtful pair ``other`` is one of the node's, whose last is ``last``.
+    waits = ends.select("node", key.alias("other")).join(doubtful.withColumnRenamed("last", "other"), "other").join(last, "node").filter("other <> last").select("node", "last", "other")
+    waits, open_, refused = checkpointed(waits), checkpointed(last), None
+    while not open_.isEmpty():  # (node, last) that neither took nor refused its last pair
+        held = waits.groupBy("node").agg(F.count("*").alias("n"))
+        state = open_.join(held, "node", "left")
+        bad = state.filter("n IS NULL").select("last").distinct()  # all others of the node were taken
+        settled = bad.withColumn("refused", F.lit(True))
+        freed = waits.join(bad.withColumnRenamed("last", "other"), "other").select("node", "last").distinct()  # one other stays in training
+        clear = open_.join(freed, ["node", "last"], "left_anti")
+        taken = open_.select("last").distinct().join(clear.select("last").distinct(), "last", "left_anti").join(bad, "last", "left_anti")
+        settled = checkpointed(settled.union(taken.withColumn("refused", F.lit(False))))
+        refused = bad if refused is None else refused.union(bad)
+        refused = checkpointed(refused.distinct())
+        open_ = checkpointed(clear.join(settled, "last", "left_anti"))
+        waits = checkpointed(waits.join(freed, ["node", "last"], "left_anti").join(settled.withColumnRenamed("last", "other"), "other", "left_anti").select("node", "last", "other"))
+    marked = drawn.withColumn("at", key)
+    marked = marked.join(refused.select(F.col("last").alias("at"), F.lit(True).alias("refused")), "at", "left") if refused is not None else marked.withColumn("refused", F.lit(None).cast("boolean"))
+    marked = checkpointed(marked.select("a", "b", "label", "ticket", F.coalesce("refused", F.lit(False)).alias("refused")))
+    target = marked.agg(selection.rounded(F.count("*"), share)).first()[0]
+    chosen = selection.first(marked.filter("NOT refused"), [], "ticket", ["a", "b"], count=target)
+    both = chosen.select("a", "b", "label", "chosen").union(marked.filter("refused").select("a", "b", "label", F.lit(False)))
+    return both.select(F.lit("R1").alias("regime"), _side(F.col("chosen")), "a", "b", "label")
+
+
+def novelty(pairs: DataFrame, pooled: DataFrame, share: float = TEST_SHARE, seed: int = SEED, holdout_by=degree_safe_holdout) -> DataFrame:
     """R1 both ends seen, R2 exactly one seen, R3 none seen; all train on the same pairs.
 
     R2 drops pairs whose train-pool end has no pair in training."""
     placed = checkpointed(membership(pairs, pooled))  # read three times
-    r1 = degree_safe_holdout(placed.filter("membership = 'both_train'").select(*pairs.columns), share, seed)
+    r1 = holdout_by(placed.filter("membership = 'both_train'").select(*pairs.columns), share, seed)
     r1 = checkpointed(r1)
     train = r1.filter("side = 'train'")
     seen = train.select(F.col("a").alias("known")).union(train.select("b")).distinct()
