@@ -134,26 +134,46 @@ def properties(df: DataFrame) -> DataFrame:
 # pK of the charged groups of a chain, positive and negative.
 PK_POSITIVE = {"N_end": 7.5, "K": 10.0, "R": 12.0, "H": 5.98}
 PK_NEGATIVE = {"C_end": 3.55, "D": 4.05, "E": 4.45, "C": 9.0, "Y": 10.0}
+# pK of the ends of chains whose first, or last, letter has one of its own.
+PK_FIRST = {"A": 7.59, "E": 7.7, "M": 7.0, "P": 8.36, "S": 6.93, "T": 6.82, "V": 7.44}
+PK_LAST = {"D": 4.55, "E": 4.75}
 
 
 @F.pandas_udf(T.DoubleType())
-def isoelectric_point(k: pd.Series, r: pd.Series, h: pd.Series, d: pd.Series, e: pd.Series, c: pd.Series, y: pd.Series) -> pd.Series:
-    """Where a chain with these counts of letters carries no net charge, by bisection of all rows at once."""
-    positive = [(np.ones(len(k)), PK_POSITIVE["N_end"]), (k, PK_POSITIVE["K"]), (r, PK_POSITIVE["R"]), (h, PK_POSITIVE["H"])]
-    negative = [(np.ones(len(k)), PK_NEGATIVE["C_end"]), (d, PK_NEGATIVE["D"]), (e, PK_NEGATIVE["E"]), (c, PK_NEGATIVE["C"]), (y, PK_NEGATIVE["Y"])]
-    low, high = np.zeros(len(k)), np.full(len(k), 14.0)
+def isoelectric_point(k: pd.Series, r: pd.Series, h: pd.Series, d: pd.Series, e: pd.Series, c: pd.Series, y: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series:
+    """Where a chain with these counts of letters and pK of its ends carries no net charge, by bisection of all rows at once."""
+    one = np.ones(len(k))
+    positive = [(one, np.asarray(first)), (k, PK_POSITIVE["K"]), (r, PK_POSITIVE["R"]), (h, PK_POSITIVE["H"])]
+    negative = [(one, np.asarray(last)), (d, PK_NEGATIVE["D"]), (e, PK_NEGATIVE["E"]), (c, PK_NEGATIVE["C"]), (y, PK_NEGATIVE["Y"])]
+    low, step = np.zeros(len(k)), 7.0
     for _ in range(50):
-        ph = (low + high) / 2
+        ph = low + step
         charge = sum(np.asarray(n) / (1 + 10 ** (ph - pk)) for n, pk in positive) - sum(np.asarray(n) / (1 + 10 ** (pk - ph)) for n, pk in negative)
-        low, high = np.where(charge > 0, ph, low), np.where(charge > 0, high, ph)
-    return pd.Series(np.round((low + high) / 2, DIGITS))
+        low, step = np.where(charge > 0, ph, low), step / 2
+    return pd.Series(np.round(low + step, DIGITS))
 
 
 def isoelectric_points(df: DataFrame) -> DataFrame:
-    """(entity_id, isoelectric_point) from the counts of the letters that can be charged."""
+    """(entity_id, isoelectric_point) from the counts of the letters that can be charged, and the end letters."""
     clean = df.select("entity_id", cleaned(F.col("seq")).alias("s"))
     n = [(F.length("s") - F.length(F.replace("s", F.lit(x), F.lit("")))).cast("long") for x in "KRHDECY"]
-    return clean.select("entity_id", isoelectric_point(*n).alias("isoelectric_point"))
+    end = lambda letter, own, other: F.coalesce(F.create_map(*[F.lit(v) for x in own.items() for v in x])[letter], F.lit(other))
+    ends = end(F.left("s", F.lit(1)), PK_FIRST, PK_POSITIVE["N_end"]), end(F.right("s", F.lit(1)), PK_LAST, PK_NEGATIVE["C_end"])
+    return clean.select("entity_id", isoelectric_point(*n, *ends).alias("isoelectric_point"))
+
+
+def pair_index(df: DataFrame, weights: DataFrame, other: float = 0.0) -> DataFrame:
+    """(entity_id, pair_index): ten times the weight of all letters that follow each other, over the length.
+
+    ``weights`` (pair, weight) is a parameter, a row for each of the alphabet's pairs at most; pairs without a
+    row weigh ``other``. With the published weights of letter pairs this is the instability index."""
+    split = df.select("entity_id", F.split(cleaned(F.col("seq")), "").alias("l"))
+    following = F.zip_with(F.slice("l", 1, F.size("l") - 1), F.slice("l", 2, F.size("l")), lambda x, y: F.concat(x, y))
+    pairs = split.select("entity_id", F.size("l").alias("n"), following.alias("p")).select("entity_id", "n", F.explode_outer("p").alias("pair"))
+    counts = pairs.groupBy("entity_id", "n", "pair").agg(F.count("pair").alias("times"))
+    few = weights.groupBy("pair").agg(F.max("weight").cast("double").alias("weight")).filter(F.col("pair").rlike(f"^[{ALPHABET}]{{2}}$"))  # the alphabet's pairs alone
+    each = counts.join(F.broadcast(few), "pair", "left").withColumn("weight", F.coalesce("weight", F.lit(float(other))))
+    return each.groupBy("entity_id").agg(F.round(10 * F.sum(F.col("weight") * F.col("times")) / F.max("n"), DIGITS).alias("pair_index"))
 
 
 def feature_names() -> list[str]:

@@ -107,6 +107,12 @@ def welch_difference(spark, sf_dir):
     return x.join(y).select(F.round(d["difference"], 6).alias("difference"), F.round(d["se"], 6).alias("se"), F.round(d["df"], 4).alias("df"))  # one row each
 
 
+@query("welch_p_value")
+def welch_p_value(spark, sf_dir):
+    """The same difference with its p-value by Student's t."""
+    return welch_difference(spark, sf_dir).withColumn("p_value", F.round(inference.t_p_value("difference", "se", "df"), 6))
+
+
 def _poisson_sql() -> str:
     total, term, parts = 0.0, math.exp(-1), []
     for k in range(12):

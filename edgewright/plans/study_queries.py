@@ -253,11 +253,33 @@ def sequence_chunks(spark, sf_dir):
     return sequence.chunks(rows, 1000, 100).select("entity_id", "chunk", "weight", F.md5("seq").alias("digest"))
 
 
-@query("isoelectric_points")
+_PK = {"first": "CASE left(s, 1) " + " ".join(f"WHEN '{c}' THEN {v}" for c, v in sequence.PK_FIRST.items()) + f" ELSE {sequence.PK_POSITIVE['N_end']} END", "last": "CASE right(s, 1) " + " ".join(f"WHEN '{c}' THEN {v}" for c, v in sequence.PK_LAST.items()) + f" ELSE {sequence.PK_NEGATIVE['C_end']} END"}
+_TIMES = lambda c: f"(length(s) - length(replace(s, '{c}', '')))"
+_CHARGE = " + ".join(["1 / (1 + pow(10::DOUBLE, low + w - pk_first))", *(f"of_{c} / (1 + pow(10::DOUBLE, low + w - {sequence.PK_POSITIVE[c]}))" for c in "KRH")]) + "".join([" - 1 / (1 + pow(10::DOUBLE, pk_last - low - w))", *(f" - of_{c} / (1 + pow(10::DOUBLE, {sequence.PK_NEGATIVE[c]} - low - w))" for c in "DECY")])
+
+
+@query("isoelectric_points", f"""WITH {t.SEQUENCES_SQL}, kept AS (SELECT entity_id, CASE WHEN x = '' THEN 'A' ELSE x END AS s FROM (SELECT entity_id, regexp_replace(coalesce(seq, ''), '[^{sequence.ALPHABET}]', '', 'g') AS x FROM seqs)),
+counted AS (SELECT entity_id, ({_PK['first']})::DOUBLE AS pk_first, ({_PK['last']})::DOUBLE AS pk_last, {', '.join(f'{_TIMES(c)} AS of_{c}' for c in 'KRHDECY')} FROM kept)
+SELECT entity_id, round(list_reduce(list_transform(range(50), lambda i: 7 / pow(2::DOUBLE, i)), lambda low, w: CASE WHEN {_CHARGE} > 0 THEN low + w ELSE low END, 0::DOUBLE) + 7 / pow(2::DOUBLE, 50), 6) AS isoelectric_point FROM counted""")
 def isoelectric_points(spark, sf_dir):
     return sequence.isoelectric_points(t.sequences(spark, sf_dir))
 
 
+_HYDROPATHY_SQL = ", ".join(f"('{c}', {v})" for c, v in sequence.HYDROPATHY.items())
+
+
+@query("hydropathy_pair_index", f"""WITH {t.SEQUENCES_SQL}, w(letter, v) AS (VALUES {_HYDROPATHY_SQL}),
+kept AS (SELECT entity_id, CASE WHEN x = '' THEN 'A' ELSE x END AS s FROM (SELECT entity_id, regexp_replace(coalesce(seq, ''), '[^{sequence.ALPHABET}]', '', 'g') AS x FROM seqs)),
+letters AS (SELECT entity_id, string_split(s, '') AS l FROM kept),
+pairs AS (SELECT entity_id, len(l) AS n, unnest(CASE WHEN len(l) > 1 THEN list_zip(l[:-2], l[2:]) ELSE [NULL] END) AS p FROM letters)
+SELECT entity_id, round(10 * coalesce(sum((round(x.v * 10) + round(y.v * 10))::BIGINT / 10::DOUBLE), 0) / max(n), 6) AS pair_index
+FROM pairs LEFT JOIN w x ON x.letter = p[1] LEFT JOIN w y ON y.letter = p[2] GROUP BY entity_id""")
+def hydropathy_pair_index(spark, sf_dir):
+    """The index of letter pairs, each weighing the hydropathy of both its letters."""
+    rows = [(x + y, round(v + w, 1)) for x, v in sequence.HYDROPATHY.items() for y, w in sequence.HYDROPATHY.items()]
+    return sequence.pair_index(t.sequences(spark, sf_dir), spark.createDataFrame(rows, "pair string, weight double"))
+
+
 ORDER = ["purchase", "view", "click"]
 
 

@@ -287,3 +287,29 @@ def test_stream_equals_batch(spark, data, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.table("live_counts").collect()} == {tuple(r) for r in stream.windowed_counts(events).collect()}
+
+
+def test_isoelectric_points_of_known_chains(spark):
+    """The first and last letters have pK of their own; a chain without charged letters lies between its ends."""
+    chains = {"INGAR": 9.75, "ACKFV": None, "GGGGG": (7.5 + 3.55) / 2, "MGGGG": (7.0 + 3.55) / 2, "VAAAA": (7.44 + 3.55) / 2}
+    rows = spark.createDataFrame(list(chains.items()), "seq string, want double").select(F.col("seq").alias("entity_id"), "seq")
+    found = {r["entity_id"]: r["isoelectric_point"] for r in sequence.isoelectric_points(rows).collect()}
+    assert all(found[s] == pytest.approx(want, abs=0.01) for s, want in chains.items() if want)
+
+
+def test_pair_index(spark):
+    rows = spark.createDataFrame([(1, "ACAC"), (2, "A"), (3, None), (4, "xACx")], "entity_id int, seq string")
+    weights = spark.createDataFrame([("AC", 2.0), ("CA", -1.0), ("A?", 9.0)], "pair string, weight double")
+    found = {r["entity_id"]: r["pair_index"] for r in sequence.pair_index(rows, weights).collect()}
+    assert found == {1: 7.5, 2: 0.0, 3: 0.0, 4: 10.0}
+    assert {r["pair_index"] for r in sequence.pair_index(rows.filter("entity_id = 4"), weights.limit(0), 1.0).collect()} == {5.0}
+
+
+def test_welch_p_value(spark):
+    """Against the area of Student's density beyond the ratio, by a fine sum."""
+    rows = spark.createDataFrame([(0.1, 0.05, 7.5), (-0.3, 0.1, 3.0), (0.0, 0.2, 9.0)], "difference double, se double, df double")
+    for r in rows.withColumn("p", inference.t_p_value("difference", "se", "df")).collect():
+        t, df = abs(r["difference"] / r["se"]), r["df"]
+        density = lambda x: math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi) * (1 + x * x / df) ** (-(df + 1) / 2)  # noqa: B023, E731
+        inner = sum(density((i + 0.5) * t / 4000) for i in range(4000)) * t / 4000
+        assert r["p"] == pytest.approx(1 - 2 * inner, abs=1e-6)
