@@ -52,8 +52,11 @@ def issue_counts(pairs: DataFrame) -> DataFrame:
 
 
 def copies(df: DataFrame, keys: list[str | Column]) -> DataFrame:
-    """Every row whose keys another row shares."""
-    return df.withColumn("copies", F.count("*").over(Window.partitionBy(*keys))).filter("copies > 1")
+    """Every row whose keys another row shares, with how many do; keys are counted before rows are joined."""
+    named = {f"_k{i}": F.struct(k) for i, k in enumerate(keys)}  # a null is a key too
+    keyed = df.withColumns(named)
+    counts = keyed.groupBy(*named).agg(F.count("*").alias("copies")).filter("copies > 1")
+    return keyed.join(counts, [*named]).select(*df.columns, "copies")
 
 
 def reverse_or_exact_duplicates(pairs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from edgewright.operators.ranges import checkpointed, running
 
 
 #: Edges that one task unites, at most.
-IN_ONE_TASK = 1 << 20
+IN_ONE_TASK = 1 << 14
 
 
 def endpoints(pairs: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def counted_pools(groups: DataFrame, share: float = TEST_SHARE, seed: int = SEED
 
 
 def folds(pairs: DataFrame, k: int = 5, seed: int = SEED) -> DataFrame:
-    """Stratified folds: dealt in turn by ticket within (label, first digit of the ticket)."""
+    """Stratified folds: dealt in turn by ticket within (label, first two digits of the ticket)."""
     drawn = pairs.withColumn("ticket", ticket(seed, "a", "b")).withColumn("range", F.substring("ticket", 1, 2))
     turn = F.row_number().over(Window.partitionBy("label", "range").orderBy("ticket", "a", "b"))
     return drawn.select("a", "b", "label", (turn % k).alias("fold"))
@@ -192,6 +192,26 @@ def integrity(split: DataFrame, clusters: DataFrame) -> DataFrame:
     return groups.groupBy("threshold").agg(F.count("*").alias("groups"), F.count_if(both).alias("shared_groups"), F.sum("y").alias("test_entities"), F.round(F.try_divide(F.sum(F.when(both, F.col("y"))), F.sum("y")), 6).alias("leaking_share"))
 
 
+def integrity_audit(split: DataFrame, clusters: DataFrame, entities: DataFrame) -> DataFrame:
+    """One row a ``name`` of ``split`` (name, side, a, b): pairs and entities of both sides, how many entities,
+    sequences, clusters (name, entity, grp) and pairs, either way round, both sides have, and whether none is.
+
+    ``entities`` has (entity, seq); each count is one aggregate by name and key."""
+    split = checkpointed(split.select("name", "side", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    ends = checkpointed(split.select("name", "side", F.explode(F.array("a", "b")).alias("entity")).distinct())
+    train, test = F.count_if(F.col("side") == "train"), F.count_if(F.col("side") == "test")
+    out = split.groupBy("name").agg(train.alias("train_pairs"), test.alias("test_pairs")).join(ends.groupBy("name").agg(train.alias("train_entities"), test.alias("test_entities")), "name", "left")
+    digests = entities.filter("seq IS NOT NULL").select("entity", F.sha2("seq", 256).alias("key"))
+    shared = {
+        "shared_entities": ends.withColumnRenamed("entity", "key"), "shared_sequences": ends.join(digests, "entity"),
+        "shared_clusters": ends.join(clusters.withColumnRenamed("grp", "key"), ["name", "entity"]), "shared_pairs": split.select("name", "side", F.struct("a", "b").alias("key")),
+    }
+    for column, keyed in shared.items():
+        sides = keyed.groupBy("name", "key").agg(train.alias("x"), test.alias("y"))
+        out = out.join(sides.groupBy("name").agg(F.count_if((F.col("x") > 0) & (F.col("y") > 0)).alias(column)), "name", "left")
+    return out.na.fill(0).withColumn("passed", sum((F.col(c) for c in shared), F.lit(0)) == 0)
+
+
 def grouped_share(groups: DataFrame) -> DataFrame:
     """One row: members of groups (entity, grp), and the share of them that aren't alone in theirs."""
     size = groups.groupBy("grp").agg(F.count("*").alias("size"))

@@ -48,6 +48,32 @@ def split_integrity(spark, sf_dir):
     return splits.integrity(split, entities.withColumn("threshold", F.explode(F.array(*map(F.lit, (1, 2, 3))))).select("threshold", "entity", grp))
 
 
+def _shared(column: str, keyed: str) -> str:
+    return f"{column} AS (SELECT name, count(*) AS n FROM (SELECT name, key FROM ({keyed}) GROUP BY name, key HAVING count(DISTINCT side) = 2) GROUP BY name)"
+
+
+_AUDITED = {
+    "shared_entities": "SELECT name, side, entity AS key FROM e", "shared_sequences": "SELECT name, side, text AS key FROM e JOIN documents ON doc_id::VARCHAR = entity WHERE text IS NOT NULL",
+    "shared_clusters": "SELECT e.name, side, grp AS key FROM e JOIN c ON c.threshold = e.name AND c.entity = e.entity", "shared_pairs": "SELECT name, side, least(a, b) || '|' || greatest(a, b) AS key FROM named",
+}
+
+
+@query("split_integrity_audit", f"""WITH {SUPPLIED}, {CLUSTERS}, named AS (SELECT t.name, split.* FROM split, (VALUES (1), (2), (3)) t(name)),
+e AS (SELECT DISTINCT name, side, unnest([a, b]) AS entity FROM named), {', '.join(_shared(k, v) for k, v in _AUDITED.items())},
+p AS (SELECT name, count(*) FILTER (side = 'train') AS train_pairs, count(*) FILTER (side = 'test') AS test_pairs FROM named GROUP BY name),
+n AS (SELECT name, count(*) FILTER (side = 'train') AS train_entities, count(*) FILTER (side = 'test') AS test_entities FROM e GROUP BY name)
+SELECT p.name, train_pairs, test_pairs, train_entities, test_entities, {', '.join(f'coalesce({k}.n, 0) AS {k}' for k in _AUDITED)}, {' + '.join(f'coalesce({k}.n, 0)' for k in _AUDITED)} = 0 AS passed
+FROM p JOIN n USING (name) {' '.join(f'LEFT JOIN {k} ON {k}.name = p.name' for k in _AUDITED)}""")
+def split_integrity_audit(spark, sf_dir):
+    """What both sides of the supplied split have, with users in clusters of equal last digits, and documents as their sequences."""
+    split = supplied(spark, sf_dir).select("side", "a", "b")
+    name = F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("name")
+    ends = split.select(F.explode(F.array("a", "b")).alias("entity")).distinct()
+    clusters = ends.select("entity", name).select("name", "entity", F.expr("right(entity, name)").alias("grp"))
+    texts = t.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("entity"), F.col("text").alias("seq"))
+    return splits.integrity_audit(split.select("*", name), clusters, texts)
+
+
 @query("grouped_share", f"""WITH {t.SEQUENCES_SQL}, g AS (SELECT seq, count(*) AS n FROM seqs WHERE seq IS NOT NULL GROUP BY seq)
 SELECT sum(n)::BIGINT AS members, count(*) AS groups, round(coalesce(sum(n) FILTER (n > 1), 0) / sum(n), 6) AS share_not_alone FROM g""")
 def grouped_share(spark, sf_dir):

@@ -35,9 +35,9 @@ def read_named(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     return df.select(*(F.trim(c).alias(n) for c, n in zip(df.columns, names, strict=False)))
 
 
-def read_matches(spark: SparkSession, path: str, patterns: dict[str, str]) -> DataFrame:
-    """One row a line of a text file: for each name the first group of its pattern, null if there is none."""
-    found = {n: F.regexp_extract("value", p, 1) for n, p in patterns.items()}
+def read_matches(spark: SparkSession, path: str, patterns: dict[str, str], joined: str = " ") -> DataFrame:
+    """One row a line of a text file: for each name the first groups of all matches of its pattern, joined; null if there is none."""
+    found = {n: F.array_join(F.regexp_extract_all("value", F.lit(p), F.lit(1)), joined) for n, p in patterns.items()}
     return spark.read.text(path).select(*(F.when(F.col("value").rlike(p), found[n]).alias(n) for n, p in patterns.items()))
 
 

@@ -241,8 +241,8 @@ def test_readers(spark, tmp_path):
     assert {tuple(r) for r in files.read_clusters(spark, str(tmp_path / "d.tsv")).collect()} == {("member", "rep"), ("rep", "rep")}
     (tmp_path / "e.tsv").write_text("a\tb\t1\nc\td\t0\n")
     assert {tuple(r) for r in files.read_pairs(spark, str(tmp_path / "e.tsv")).collect()} == {("a", "b", 1), ("c", "d", 0)}
-    (tmp_path / "f.txt").write_text("id=7 x\nnone\n")
-    assert [r["n"] for r in files.read_matches(spark, str(tmp_path / "f.txt"), {"n": r"id=(\d+)"}).collect()] == ["7", None]
+    (tmp_path / "f.txt").write_text("id=7 x id=9\nnone\n")
+    assert [r["n"] for r in files.read_matches(spark, str(tmp_path / "f.txt"), {"n": r"id=(\d+)"}).collect()] == ["7 9", None]
     (tmp_path / "g.json").write_text('{"auc": 0.5, "other": {"x": 1}}')
     assert [tuple(r) for r in files.read_results(spark, str(tmp_path / "g.json"), "auc double, other struct<x: int>").selectExpr("auc", "other.x").collect()] == [(0.5, 1)]
     assert [tuple(r) for r in files.read_named(spark, str(tmp_path / "e.tsv"), ["x", "y"]).collect()] == [("a", "b"), ("c", "d")]
