@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-from edgewright.plans import audit_queries, calibration_queries, counted_queries, feature_queries, graph_queries, inference_queries, metric_queries, model_queries, similarity_queries, split_queries, study_queries  # noqa: E402, F401
+from edgewright.plans import audit_queries, calibration_queries, counted_queries, feature_queries, graph_queries, grid_queries, inference_queries, metric_queries, model_queries, similarity_queries, split_queries, study_queries  # noqa: E402, F401
