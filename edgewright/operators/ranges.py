@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a slice, about, and the most slices.
@@ -34,9 +34,8 @@ def running(df: DataFrame, group: list[str], by: str, sums: dict[str, Column] |
 
     ``by`` is a column of numbers or dates that differs between the rows of a group."""
     sums, least = sums or {}, least or {}
-    seen = Observation()
-    rows = checkpointed(df.observe(seen, F.count(F.lit(1)).alias("n")))  # counted as it is written
-    n = seen.get["n"]
+    rows = checkpointed(df)
+    n = rows.count()
     step = F.desc(by) if descending else F.asc(by)
     if n <= SLICE:
         up, every = Window.partitionBy(*group).orderBy(step), Window.partitionBy(*group)
