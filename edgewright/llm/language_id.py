@@ -18,7 +18,7 @@ labelled texts reach.
 Defined results: a null text, or one without a letter, is ``und`` with score 0; equal scores go to
 the first language in code-point order; without labelled texts everything is ``und``; repeated rows
 get equal results; very long texts are scored whole, though the training sample takes none over
-``LONGEST`` characters, and ``SAMPLE_BYTES`` in all at most; other columns are kept by ``keep_confident`` and ignored otherwise.
+``LONGEST`` characters, ``SAMPLE_BYTES`` in all at most, and the ``SAMPLE // 20`` most frequent languages; other columns are kept by ``keep_confident`` and ignored otherwise.
 """
 
 from __future__ import annotations
