@@ -3,27 +3,29 @@
 A text is A-Z lower-cased and split into words, with one end after them; to the baseline, words that
 training lacks are one type.
 
-The model: what follows a word in a document is one Chinese restaurant; its parent is the document's
-restaurant, whose customers are the tables of its words' restaurants; all documents share one parent,
-the restaurant of the corpus, over a base that spells words byte by byte. So a word is likely if it
-followed the word before it in this text, or else if the text has it, or else if many documents have
-it; a word that training lacks costs its spelling, and each such word is one of its own.
+The model: what follows a word, anywhere in the corpus, is one Chinese restaurant, and so is what texts
+begin with; the customers of all of them are the tokens of the training texts. Their common parent, the
+restaurant of the corpus, has their tables as customers, over a base that spells words byte by byte. So
+a word is likely if it often followed the word before it, or else if it follows many different words;
+a word that training lacks costs its spelling, and each such word is one of its own.
 
-Training seats the customers by Gibbs sampling. A restaurant's tables for a word, of c customers, have
+Training seats all customers by Gibbs sampling. A restaurant's tables for a word, of c customers, have
 the conditional law S_d(c, t) x ** t, with generalized Stirling numbers S_d and x = d g p: p is the
 parent's predictive probability and g, drawn from a Gamma(strength / d + tables), makes the words of a
 restaurant independent given it. So all tables are drawn at once, exactly for up to ``EXACT`` customers and
 by the law's Gaussian limit above. Discounts and strengths are drawn from their posterior on a grid
-after every sweep. During a sweep of the documents the parent stands still. The restaurants of words
-in documents, nearly all of which see a pair of words once, have one table for each pair; their
-discount and strength are the best of the grid. The parent's predictive probabilities are averaged
-over the sweeps kept and over chains; a text's score takes its words one by one, with one table for
-each word of a restaurant.
-
-Texts are read once, into blocks that hold numbers of words. A block sends counts and tables of its
-different words, as arrays, to the parts of the vocabulary that hold these words, and gets their
-counts and probabilities back: no row is sent for each token, a frequent word is one number a
-block, and what is gathered grows with the corpus. Words are told apart by their characters.
+after every sweep; while the words' restaurants are seated, the parent stands still. What the seatings
+kept, of all chains, give a token after the word before it is averaged; it is what a text's own
+restaurants have as their parent. There are one for the text and one for each of its words: they
+start empty, take the text's words one by one, with one table for each word of a restaurant, and
+have the discounts and strengths of the grid that suit the training texts best.
+
+Texts are read once, into blocks that hold numbers of words. A block sends digests of its different
+pairs of words and gets the corpus's counts back; one block that has a pair of two customers or
+more in training seats it. Draws are made from a digest of the pair, so that a block that scores the
+pair finds the same tables again, and no sweep sends pairs. What sweeps send are numbers of tables, as
+arrays, to the parts of the vocabulary: a frequent word is one number a block, however many follow it.
+Words are told apart by their characters, pairs by 64 bits.
 
 Defined results: a null or empty text is the end alone; without training texts every count is zero and
 all bytes of a spelling are as likely; repeated rows count each time; very long texts are scored whole;
@@ -48,8 +50,8 @@ from .common import packed, unpacked
 
 CHAINS, BURN_IN, KEPT, SEED = 2, 1, 2, 42
 ADDED = 0.1
-#: Bytes of text in a block, and for each part of the vocabulary.
-BLOCK, PART = 8 << 20, 64 << 20
+#: Bytes of text in a block, for each part of the vocabulary, and for each part of the pairs of words.
+BLOCK, PART, PAIRS = 8 << 20, 64 << 20, 16 << 20
 #: Contexts of a spelling, and what a context's uniform law counts for.
 SPELLED, EVEN = 4096, 4.0
 #: Customers up to which tables are drawn from their exact law.
@@ -80,8 +82,9 @@ def stirling(d: float, most: int = EXACT) -> np.ndarray:
     return out
 
 
-def draw_tables(c: np.ndarray, x: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
-    """For each cell of c customers, tables from the law S_d(c, t) x ** t."""
+def draw_tables(c: np.ndarray, x: np.ndarray, d: float, rng: np.random.Generator | None, keys: np.ndarray | None = None) -> np.ndarray:
+    """For each cell of c customers, tables from the law S_d(c, t) x ** t, by ``rng`` or by what each
+    cell's key says, which gives the same draw wherever it is made."""
     t = np.ones(len(c), np.int64)
     if not len(c):
         return t
@@ -94,7 +97,8 @@ def draw_tables(c: np.ndarray, x: np.ndarray, d: float, rng: np.random.Generator
         for at in np.split(order[a:b], range(1 << 14, b - a, 1 << 14)):
             w = log_s[n, 1 : n + 1] + np.arange(1, n + 1) * log_x[at, None]
             w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
-            t[at] = 1 + (w < rng.random(len(at))[:, None] * w[:, -1:]).sum(axis=1)
+            drawn = rng.random(len(at)) if keys is None else uniform(keys[at], 0)
+            t[at] = 1 + (w < drawn[:, None] * w[:, -1:]).sum(axis=1)
     many = np.flatnonzero(c > EXACT)
     if len(many):  # tables are a compound Poisson law's, given that their customers sum to c
         n, x = c[many].astype(float), x[many]
@@ -107,11 +111,66 @@ def draw_tables(c: np.ndarray, x: np.ndarray, d: float, rng: np.random.Generator
         mean = x / d * (1 - u**d)
         spread = np.maximum(mean - n / (1 + (1 - u) * (1 - d) / u), 1e-9)
         one_large = spread > 0.9 * mean  # one table holds nearly all, and the others come by chance
-        drawn = np.where(one_large, 1 + rng.poisson(np.minimum(mean, 1e9)), np.rint(rng.normal(mean, np.sqrt(spread))))
+        if keys is None:
+            chance, noise = rng.poisson(np.minimum(mean, 1e9)), rng.normal(size=len(mean))
+        else:
+            chance, noise = keyed_poisson(np.minimum(mean, 1e9), keys[many]), normal(keys[many], 0)
+        drawn = np.where(one_large, 1 + chance, np.rint(mean + noise * np.sqrt(spread)))
         t[many] = np.clip(drawn, 1, n).astype(np.int64)
     return t
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64 bits that look random for each different 64 bits."""
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def keyed(hashes: np.ndarray, draw: int, chain: int) -> np.ndarray:
+    """The keys of a draw's random numbers."""
+    return mixed(hashes + np.uint64(xxhash.xxh64_intdigest(b"%d %d" % (draw, chain), SEED)))
+
+
+def uniform(keys: np.ndarray, nth: int) -> np.ndarray:
+    """The ``nth`` number of each key, over 0 and under 1."""
+    return ((mixed(keys + np.uint64((nth + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
+
+
+def normal(keys: np.ndarray, nth: int) -> np.ndarray:
+    return np.sqrt(-2 * np.log(uniform(keys, nth + 1))) * np.cos(2 * np.pi * uniform(keys, nth + 2))
+
+
+def keyed_poisson(mean: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Poisson numbers by inversion; from a mean of 64 on, by the normal limit."""
+    out = np.maximum(np.rint(mean + np.sqrt(mean) * normal(keys, 2)), 0)
+    few = np.flatnonzero(mean < 64)
+    u, term = uniform(keys[few], 5), np.exp(-mean[few])
+    total, n = term.copy(), np.zeros(len(few))
+    for k in range(1, 160):
+        n += u > total
+        term = term * mean[few] / k
+        total += term
+    out[few] = n
+    return out
+
+
+def keyed_gamma(shape: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Gamma numbers of shapes of one and more, by Marsaglia and Tsang's rejection."""
+    d = shape - 1 / 3
+    c = 1 / np.sqrt(9 * d)
+    out, left = d.copy(), np.arange(len(shape))
+    for k in range(12):  # each round leaves five in a hundred at most
+        x = normal(keys[left], 4 * k)
+        v = np.maximum(1 + c[left] * x, 1e-30) ** 3
+        good = np.log(uniform(keys[left], 4 * k + 3)) < 0.5 * x * x + d[left] * (1 - v + np.log(v))
+        out[left[good]] = (d[left] * v)[good]
+        left = left[~good]
+        if not len(left):
+            break
+    return out
+
+
 def log_rising(start: np.ndarray, step: float, n: np.ndarray) -> np.ndarray:
     """The logarithm of start (start + step) ... of n factors."""
     return n * np.log(step) + lgamma(start / step + n) - lgamma(start / step)
@@ -193,6 +252,23 @@ def pairs_of(n: np.ndarray, codes: np.ndarray, width: int) -> tuple[np.ndarray,
     return np.unique((doc * (width + 1) + before + 1) * width + codes, return_counts=True)
 
 
+def chained(n: np.ndarray, codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token of texts of n words, the end among them: its text, the word before it and itself;
+    ``width`` stands for the end and, as a word before, for the start."""
+    after = np.insert(codes, np.cumsum(n), width)
+    return np.repeat(np.arange(len(n)), n + 1), np.roll(after, 1), after
+
+
+def digests(words: list[bytes]) -> np.ndarray:
+    """A digest of each word, and one for the end, or the start, after them."""
+    return np.array([*map(xxhash.xxh3_64_intdigest, words), xxhash.xxh3_64_intdigest(b" ")], np.uint64)
+
+
+def pair_keys(before: np.ndarray, after: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """A digest of each pair of words, from theirs."""
+    return mixed(h[before] * np.uint64(0x9E3779B97F4A7C15) + mixed(h)[after])
+
+
 def context_grid(n: np.ndarray, codes: np.ndarray, width: int, trained: np.ndarray) -> np.ndarray:
     """The logarithmic weights of the grid for the discount and strength of words' restaurants in training
     texts, each pair of words having one table; the end is a word too."""
@@ -202,14 +278,25 @@ def context_grid(n: np.ndarray, codes: np.ndarray, width: int, trained: np.ndarr
     of, times = of[used], times[used]
     last = np.where(n > 0, codes[np.maximum(np.cumsum(n) - 1, 0)] if len(codes) else 0, -1)
     of, times = np.concatenate([of, (np.arange(len(n)) * (width + 1) + last + 1)[trained]]), np.concatenate([times, np.ones(int(trained.sum()), np.int64)])
+    return one_table_grid(of, times)
+
+
+def document_grid(n: np.ndarray, codes: np.ndarray, width: int, trained: np.ndarray) -> np.ndarray:
+    """The same for the restaurants of training texts, whose customers are the tables of their words'."""
+    pair, _ = pairs_of(n, codes, width)
+    cell, times = np.unique(pair // width // (width + 1) * width + pair % width, return_counts=True)
+    used = trained[cell // width]
+    return one_table_grid(np.concatenate([cell[used] // width, np.flatnonzero(trained)]), np.concatenate([times[used], np.ones(int(trained.sum()), np.int64)]))
+
+
+def one_table_grid(of: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The logarithmic weights of the grid for restaurants ``of`` cells, each of so many customers at one table."""
     _, at = np.unique(of, return_inverse=True)
     (many, tables), (each, customers), (cells, held) = (np.unique(x, return_counts=True) for x in (np.bincount(at), np.bincount(at, times).astype(np.int64), times[times > 1]))
-    out = np.zeros((len(DISCOUNTS), len(STRENGTHS)))
-    for i, d in enumerate(DISCOUNTS):
-        seats = float(held @ (lgamma(cells - d) - lgamma(np.array(1 - d)))) if len(cells) else 0.0
-        for j, a in enumerate(STRENGTHS):
-            out[i, j] = seats + float(tables @ log_rising(np.full(len(many), a), d, many) - customers @ log_rising(np.full(len(each), a), 1.0, each))
-    return out
+    rising = lambda start, x, times: float(times @ lgamma(start + x)) - times.sum() * float(lgamma(np.array(start)))
+    of_customers = [rising(a, each, customers) for a in STRENGTHS]
+    seats = [float(held @ (lgamma(cells - d) - lgamma(np.array(1 - d)))) if len(cells) else 0.0 for d in DISCOUNTS]
+    return np.array([[s + float(tables @ many) * np.log(d) + rising(a / d, many, tables) - x for a, x in zip(STRENGTHS, of_customers, strict=True)] for d, s in zip(DISCOUNTS, seats, strict=True)])
 
 
 def _block(number: int, ids: pa.Array, held: np.ndarray, texts: pa.Array, parts: int) -> dict:
@@ -226,32 +313,24 @@ def _block(number: int, ids: pa.Array, held: np.ndarray, texts: pa.Array, parts:
     new = np.empty(len(order), np.int64)
     new[order] = np.arange(len(order))
     codes, order = new[codes], order[: int(real.sum())]
-    width = max(1, len(order))
     words_of = np.bincount(doc, minlength=len(texts))
-    pair, _ = pairs_of(words_of, codes, width)
-    cell, c = np.unique(pair // width // (width + 1) * width + pair % width, return_counts=True)
-    trained = ~held[cell // width]
-    once, many = trained & (c == 1), trained & (c > 1)
     found, sizes = np.unique(part[order], return_counts=True)
-    count = lambda x, **more: np.bincount(x, minlength=len(order), **more).astype(np.int64)
     return {
-        "block": number, "doc_id": ids.to_pylist(), "held": held.tolist(), "n": packed(words_of.astype(np.int32)), "m": packed(np.bincount(cell // width, c, minlength=len(texts)).astype(np.int32)), "grid": context_grid(words_of, codes, width, ~held).ravel().tolist(), "codes": packed(codes.astype(np.int32)),
-        "words": " ".join(words[i] for i in order).encode("utf-8", "replace"), "parts": found.tolist(), "sizes": sizes.tolist(), "trained": packed(count(codes[~held[doc]]).astype(np.int32)), "once": packed(count(cell[once] % width).astype(np.int32)),
-        "cell_doc": packed((cell[many] // width).astype(np.int32)), "cell_word": packed((cell[many] % width).astype(np.int32)), "cell_c": packed(c[many].astype(np.int32)),
+        "block": number, "doc_id": ids.to_pylist(), "held": held.tolist(), "n": packed(words_of.astype(np.int32)), "grids": np.concatenate([f(words_of, codes, max(1, len(order)), ~held).ravel() for f in (document_grid, context_grid)]).tolist(), "codes": packed(codes.astype(np.int32)),
+        "words": " ".join(words[i] for i in order).encode("utf-8", "replace"), "parts": found.tolist(), "sizes": sizes.tolist(), "trained": packed(np.bincount(codes[~held[doc]], minlength=len(order)).astype(np.int32)),
     }
 
 
-_BLOCK = "block long, doc_id array<long>, held array<boolean>, n binary, m binary, grid array<double>, codes binary, words binary, parts array<int>, sizes array<int>, trained binary, once binary, cell_doc binary, cell_word binary, cell_c binary"
+_BLOCK = "block long, doc_id array<long>, held array<boolean>, n binary, grids array<double>, codes binary, words binary, parts array<int>, sizes array<int>, trained binary"
 
 
 def blocks(docs: DataFrame, parts: int) -> DataFrame:
-    """Texts in blocks: numbers of words, the different words by part, and the cells (document, word) of
-    training texts whose word follows different ones; ``m`` is how many customers a document has."""
+    """Texts in blocks: numbers of words, and the different words by part."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         names = [f.split()[0] for f in _BLOCK.split(", ")]
-        kinds = {"block": pa.int64(), "doc_id": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "parts": pa.list_(pa.int32()), "sizes": pa.list_(pa.int32()), "grid": pa.list_(pa.float64())}
+        kinds = {"block": pa.int64(), "doc_id": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "parts": pa.list_(pa.int32()), "sizes": pa.list_(pa.int32()), "grids": pa.list_(pa.float64())}
         for batch in batches:
             texts = batch.column(2).fill_null("")
             size = np.cumsum(np.asarray(pc.binary_length(texts)).astype(np.int64)) // BLOCK
@@ -265,82 +344,173 @@ def blocks(docs: DataFrame, parts: int) -> DataFrame:
     return common.written(rows.mapInArrow(run, _BLOCK), "blocks")
 
 
+# ---------------------------------------------------------------- pairs of words
+
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys in order, a place of each, and which of them stands at each place."""
+    order = np.argsort(keys)
+    there = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = there[1:] != there[:-1]
+    at = np.empty(len(keys), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return there[new], order[new], at
+
+
+class Pairs:
+    """The tokens of a block's texts and its different pairs of words, in the order of their keys."""
+
+    def __init__(self, n: np.ndarray, codes: np.ndarray, words: bytes) -> None:
+        each = words.split(b" ") if words else []
+        self.words, self.width, self.hashes = each, len(each), digests(each)
+        self.doc, before, after = chained(n, codes, self.width)
+        self.keys, first, self.at = grouped(pair_keys(before, after, self.hashes))
+        self.before, self.after = before[first], after[first]
+
+
+def _pairs(row: pa.Table) -> Pairs:
+    n, codes = (unpacked(row[c][0].as_py(), "<i4").astype(np.int64) for c in ("n", "codes"))
+    return Pairs(n, codes, row["words"][0].as_py())
+
+
+def pair_counts(held: DataFrame, parts: int) -> DataFrame:
+    """For each block and part of the pairs, what the corpus's training texts count of each of the block's
+    pairs, doubled, and one more in one of the blocks that have the pair in training."""
+
+    def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                row = pa.Table.from_batches([batch.slice(k, 1)])
+                pairs, trained = _pairs(row), ~np.asarray(row["held"][0].as_py(), bool)
+                n = np.bincount(pairs.at, trained[pairs.doc], minlength=len(pairs.keys)).astype(np.int64)
+                part = ((pairs.keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+                found, starts = np.unique(part, return_index=True)
+                cuts = list(zip(starts.tolist(), [*starts.tolist()[1:], len(part)], strict=True))
+                columns = [found, [batch.column(0)[k].as_py()] * len(cuts), [packed(np.diff(pairs.keys[a:b], prepend=np.uint64(0))) for a, b in cuts], [packed(n[a:b].astype("<i4")) for a, b in cuts]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["slice", "block", "keys", "n"])
+
+    def count(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("block")
+        keys = [np.cumsum(unpacked(x, "<u8"), dtype=np.uint64) for x in rows["keys"].to_pylist()]
+        cuts = np.cumsum([len(x) for x in keys])[:-1]
+        at = grouped(np.concatenate(keys))[2]
+        n = np.concatenate([unpacked(x, "<i4") for x in rows["n"].to_pylist()]).astype(np.int64)
+        c = 2 * np.bincount(at, n).astype(np.int64)[at]
+        mine = np.flatnonzero(n)
+        c[mine[grouped(at[mine])[1]]] += 1
+        return pa.table([rows["slice"], rows["block"], pa.array([packed(x) for x in np.split(c, cuts)], pa.binary())], ["slice", "block", "pairs"])
+
+    sent = held.select("block", "n", "codes", "words", "held").mapInArrow(send, "slice int, block long, keys binary, n binary")
+    return common.written(sent.groupBy("slice").applyInArrow(count, "slice int, block long, pairs binary"), "pairs")
+
+
+def _counts(rows: pa.Table) -> np.ndarray:
+    """What the rows of one block's pairs say, in the order of the keys."""
+    rows = rows.take(pc.sort_indices(rows["slice"]))
+    return np.concatenate([np.zeros(0, np.int64), *(unpacked(x, "<i8") for x in rows["pairs"].to_pylist())])
+
+
+_SEATS = "block long, width int, ends array<long>, tables binary, contexts binary, before binary, after binary, c binary, keys binary, h binary, hashes binary"
+
+
+def seats(held: DataFrame, pairs: DataFrame, base: Broadcast) -> DataFrame:
+    """What each block seats: the pairs of two customers and more, and how many tables its words, and what
+    follows them, have from pairs of one; ``h`` is the base probability of the former's words."""
+
+    def run(row: pa.Table, counts: pa.Table) -> pa.Table:
+        if not len(row):
+            return pa.table([pa.array([], k) for k in kinds], names)
+        mine, c = _pairs(row), _counts(counts)
+        once, many = c == 3, np.flatnonzero((c & 1 == 1) & (c > 3))
+        words, contexts = (np.bincount(x[once], minlength=mine.width + 1) for x in (mine.after, mine.before))
+        each, at = np.unique(mine.after[many], return_inverse=True)
+        h = base.value([mine.words[i] if i < mine.width else b"" for i in each.tolist()]) if len(each) else np.zeros(0)
+        of_context = mine.hashes[np.unique(mine.before[many])]
+        arrays = [words[:-1].astype("<i4"), contexts[:-1].astype("<i4"), mine.before[many].astype("<i4"), mine.after[many].astype("<i4"), c[many] >> 1, mine.keys[many], h[at].astype("<f4"), of_context]
+        columns = [[row["block"][0].as_py()], [mine.width], [[int(words[-1]), int(contexts[-1])]], *([packed(x)] for x in arrays)]
+        return pa.table([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)
+
+    names, kinds = [x.split()[0] for x in _SEATS.split(", ")], [pa.int64(), pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 8]
+    rows = held.select("block", "n", "codes", "words")
+    return common.written(rows.groupBy("block").cogroup(pairs.groupBy("block")).applyInArrow(run, _SEATS), "seats")
+
+
 # ---------------------------------------------------------------- the corpus restaurant, by parts
 
-#: What a part sends a block about its words: counts, places in the part, and for each chain the
-#: customers less discounts. Row -1 of a part holds sums over its words, and their base probabilities.
-_REPLY = "part int, block long, place binary, c binary, rest array<binary>, h binary, sums array<double>"
-
-
-def _seated(part: int, blocks: list[int], places: list[np.ndarray], counts: list[np.ndarray] | None, tables: list[list[np.ndarray]], discounts: list[float], weights: list[float], h: np.ndarray, draw: int) -> pa.Table:
-    """Seats the parent's customers in a part, ``weights`` times the base ``h`` being x of its words, and answers the blocks."""
-    at = np.concatenate([np.zeros(0, np.int32), *places])
-    total = np.bincount(at, np.concatenate([np.zeros(0), *counts])).astype(np.int64) if counts is not None else None
-    rest, sums = [], [float((total > 0).sum()) if counts is not None else 0.0]
-    for chain, (mine, d, x) in enumerate(zip(tables, discounts, weights, strict=True)):
-        c = np.bincount(at, np.concatenate([np.zeros(0), *mine])).astype(np.int64)
-        seen = np.flatnonzero(c)
-        t = draw_tables(c[seen], x * h[seen].astype(float), d, np.random.default_rng([SEED, draw, chain, part]))
-        left = c.astype(np.float32)
-        left[seen] -= (d * t).astype(np.float32)
-        rest.append(left)
-        sums += [float(c.sum()), float(t.sum()), *seat_counts(c[seen], t)]
-    reply = lambda p: [packed(r[p]) for r in rest]
-    n = len(blocks)
-    columns = [[part] * (n + 1), [*blocks, -1], [*map(packed, places), b""], [*(packed(total[p]) if counts is not None else b"" for p in places), b""], [*map(reply, places), []], [b""] * n + [packed(h.astype("<f4")) if counts is not None else b""], [*[[]] * n, sums]]
-    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.list_(pa.float64())]
-    return pa.table([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["part", "block", "place", "c", "rest", "h", "sums"])
+#: What a part sends a block about its words: places in the part and, at first, counts, or else for each
+#: chain the customers less discounts and the tables of what follows. Row -1 of a part holds sums over its
+#: words and, at first, their base probabilities and counts.
+_REPLY = "part int, block long, place binary, c binary, rest array<binary>, tables array<binary>, h binary, sums array<double>"
+_NAMES, _KINDS = ["part", "block", "place", "c", "rest", "tables", "h", "sums"], [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.binary(), pa.list_(pa.float64())]
+#: Sums of a chain in a part: customers, tables, Stirling numbers by discount, and the words' restaurants.
+_GRID = len(DISCOUNTS) * len(STRENGTHS)
+_EACH = 2 + len(DISCOUNTS) + _GRID
 
 
 def lexicon(held: DataFrame, base: Broadcast) -> DataFrame:
-    """The first replies: every word's count and place in its part; each document's word has one table."""
+    """The first replies: every word's count, and its place in its part."""
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for numbers, parts, sizes, words, trained, once, cells in common.rows_of(batches):
-            for row in zip(numbers, parts, sizes, words, trained, once, cells, strict=True):
+        for numbers, parts, sizes, words, trained in common.rows_of(batches):
+            for row in zip(numbers, parts, sizes, words, trained, strict=True):
                 edges = np.cumsum([0, *row[2]])
-                each, n, t = row[3].split(b" "), unpacked(row[4], "<i4"), unpacked(row[5], "<i4").astype(np.int64)
-                t += np.bincount(unpacked(row[6], "<i4"), minlength=len(t))
+                each, n = row[3].split(b" "), unpacked(row[4], "<i4")
                 cut = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
-                columns = [row[1], [row[0]] * len(cut), [b" ".join(each[a:b]) for a, b in cut], [packed(n[a:b]) for a, b in cut], [packed(t[a:b].astype("<i4")) for a, b in cut]]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "block", "words", "n", "tables"])
+                columns = [row[1], [row[0]] * len(cut), [b" ".join(each[a:b]) for a, b in cut], [packed(n[a:b]) for a, b in cut]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part", "block", "words", "n"])
 
     def count(rows: pa.Table) -> pa.Table:
         each = [w.split(b" ") for w in rows["words"].to_pylist()]
         coded = pa.array([w for words in each for w in words], pa.binary()).dictionary_encode()
-        n, t = ([unpacked(x, "<i4") for x in rows[c].to_pylist()] for c in ("n", "tables"))
-        often = np.bincount(np.asarray(coded.indices), np.concatenate([np.zeros(0), *n]), minlength=len(coded.dictionary))
+        n = [unpacked(x, "<i4") for x in rows["n"].to_pylist()]
+        often = np.bincount(np.asarray(coded.indices), np.concatenate([np.zeros(0), *n]), minlength=len(coded.dictionary)).astype(np.int64)
         rank = np.empty(len(often), np.int32)
         rank[np.argsort(-often, kind="stable")] = np.arange(len(often), dtype=np.int32)  # small numbers for frequent words
         h = np.empty(len(often), np.float32)
         h[rank] = base.value(coded.dictionary.to_pylist()) if len(often) else 0
+        total = np.empty(len(often), np.int64)
+        total[rank] = often
         places = np.split(rank[np.asarray(coded.indices)], np.cumsum([len(w) for w in each])[:-1])
-        d = float(DISCOUNTS[START[0]])
-        return _seated(rows["part"][0].as_py(), rows["block"].to_pylist(), places, n, [t] * CHAINS, [d] * CHAINS, [d * len(h)] * CHAINS, h, 0)
+        m = len(places)
+        columns = [[rows["part"][0].as_py()] * (m + 1), [*rows["block"].to_pylist(), -1], [*map(packed, places), b""], [*(packed(total[p]) for p in places), packed(total)], [[]] * (m + 1), [[]] * (m + 1), [*[b""] * m, packed(h.astype("<f4"))], [*[[]] * m, [float((total > 0).sum())]]]
+        return pa.table([pa.array(x, k) for x, k in zip(columns, _KINDS, strict=True)], _NAMES)
 
-    sent = held.select("block", "parts", "sizes", "words", "trained", "once", "cell_word").mapInArrow(send, "part int, block long, words binary, n binary, tables binary")
+    sent = held.select("block", "parts", "sizes", "words", "trained").mapInArrow(send, "part int, block long, words binary, n binary")
     return common.written(sent.groupBy("part").applyInArrow(count, _REPLY), "lexicon")
 
 
+def restaurants_grid(c: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The logarithmic weights of the grid for restaurants of c customers at t tables, but for their cells."""
+    (customers, n), (tables, m) = (np.unique(x, return_counts=True) for x in (c, t))
+    rising = lambda start, x, times: float(times @ lgamma(start + x)) - times.sum() * float(lgamma(np.array(start)))
+    of_customers = [rising(a, customers, n) for a in STRENGTHS]
+    return np.array([[float(m @ tables) * np.log(d) + rising(a / d, tables, m) - x for a, x in zip(STRENGTHS, of_customers, strict=True)] for d in DISCOUNTS])
+
+
 class Chain:
     """The numbers of one chain that all tasks share: grid places, and the parent's totals."""
 
-    def __init__(self, seed: int, end: float) -> None:
+    def __init__(self, seed: int, end: float, texts: int) -> None:
         """``end`` is the base probability of the end."""
-        self.rng, self.base = np.random.default_rng([SEED, seed]), end
-        self.document, self.corpus = START, START
+        self.rng, self.base, self.texts = np.random.default_rng([SEED, seed]), end, texts
+        self.context, self.corpus = START, START
         self.customers = self.tables = 0.0
 
-    def resume(self, sums: np.ndarray, texts: int) -> None:
-        """Takes in what the parts have seated, and draws the parent's discount and strength."""
-        end = draw_tables(np.array([max(texts, 1)]), np.array([self.x() * self.base]), self.d(), self.rng)[0] if texts else 0
-        self.end = texts - self.d() * end
-        self.customers, self.tables = float(sums[0]) + texts, float(sums[1]) + end
-        seats = sums[2:] + seat_counts(np.array([texts]), np.array([int(end)]))
+    def resume(self, sums: np.ndarray, seated: np.ndarray) -> None:
+        """Takes in what blocks and parts have seated, and draws discounts and strengths. What ends texts and
+        what they begin with are no words of a part."""
+        ends, self.starts = int(seated[0]), int(seated[1])
+        end = draw_tables(np.array([ends]), np.array([self.x() * self.base]), self.d(), self.rng)[0] if ends else 0
+        self.end = ends - self.d() * end
+        self.customers, self.tables = float(sums[0]) + ends, float(sums[1]) + end
+        cells = sums[2 : 2 + len(DISCOUNTS)] + seat_counts(np.array([ends]), np.array([int(end)]))
         self.totals = self.customers, self.tables, self.d(), self.strength()  # of the seating that was drawn
-        grid = np.array([[s + float(log_rising(np.array([a]), d, np.array([self.tables]))[0] - log_rising(np.array([a]), 1.0, np.array([self.customers]))[0]) for a in STRENGTHS] for s, d in zip(seats, DISCOUNTS, strict=True)])
+        grid = np.array([[s + float(log_rising(np.array([a]), d, np.array([self.tables]))[0] - log_rising(np.array([a]), 1.0, np.array([self.customers]))[0]) for a in STRENGTHS] for s, d in zip(cells, DISCOUNTS, strict=True)])
         if self.customers:
             self.corpus = on_grid(grid, self.rng)
+            of_words = sums[2 + len(DISCOUNTS) :].reshape(len(DISCOUNTS), len(STRENGTHS)) + restaurants_grid(np.array([self.texts]), np.array([self.starts]))
+            self.context = on_grid(of_words + seated[2:, None], self.rng)
 
     def d(self) -> float:
         return float(DISCOUNTS[self.corpus[0]])
@@ -352,6 +522,10 @@ class Chain:
         """The weight of a new table at the parent, before the base, given a draw of its Gamma variable."""
         return self.d() * float(self.rng.gamma(self.strength() / self.d() + self.tables)) if self.tables else self.d()
 
+    def state(self) -> dict:
+        """What a block has to know of the seating besides its words'."""
+        return {"totals": self.totals, "end": self.end, "starts": self.starts, "base": self.base, "d": float(DISCOUNTS[self.context[0]]), "strength": float(STRENGTHS[self.context[1]])}
+
 
 def predictive(rest: np.ndarray, totals: tuple[float, ...], base: np.ndarray | float) -> np.ndarray:
     """The parent's predictive probability of words from their customers less discounts and their base."""
@@ -359,68 +533,87 @@ def predictive(rest: np.ndarray, totals: tuple[float, ...], base: np.ndarray | f
     return (rest + (strength + d * tables) * base) / (customers + strength)
 
 
-def _sums(replies: DataFrame) -> np.ndarray:
-    rows = replies.filter("block = -1").select(F.posexplode("sums").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect()
-    out = np.zeros(1 + CHAINS * (2 + len(DISCOUNTS)))
-    for r in rows:
+def pair_tables(c: np.ndarray, keys: np.ndarray, before: np.ndarray, p: np.ndarray, tables: np.ndarray, hashes: np.ndarray, state: dict, draw: int, chain: int) -> np.ndarray:
+    """A draw of the tables of pairs of c customers: ``p`` is the parent's probability of their words,
+    ``tables`` are the tables so far of the restaurants that ``before`` names, ``hashes`` the digests of
+    those that it does name, in order."""
+    some, at = np.unique(before, return_inverse=True)
+    gamma = keyed_gamma(state["strength"] / state["d"] + np.maximum(tables[some], 1), keyed(hashes, draw, chain))
+    return draw_tables(c, state["d"] * gamma[at] * p, state["d"], None, keyed(keys, draw, chain))
+
+
+def _sums(rows: DataFrame, size: int) -> np.ndarray:
+    out = np.zeros(size)
+    for r in rows.select(F.posexplode("sums").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect():
         out[r["at"]] = r["x"]
     return out
 
 
-def sweep(held: DataFrame, replies: DataFrame, first: DataFrame, spelt: DataFrame, chains: list[Chain], draw: int) -> tuple[DataFrame, np.ndarray]:
-    """Seats the customers of all training documents, then those of the parent; also the logarithmic
-    weights of the grid for the documents' discount and strength, for each chain."""
-    totals, documents = [c.totals for c in chains], [(float(DISCOUNTS[c.document[0]]), float(STRENGTHS[c.document[1]])) for c in chains]
-    size = len(DISCOUNTS) * len(STRENGTHS)
+def _joined(rows: list[bytes], dtype: str) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype), *(unpacked(x, dtype) for x in rows)])
+
+
+def sweep(seating: DataFrame, replies: DataFrame, first: DataFrame, chains: list[Chain], draw: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Seats the customers of all words' restaurants, then those of the parent; also the sums of parts and of
+    blocks. Draw 0 gives each pair one table."""
+    states = [c.state() for c in chains] if draw else [None] * len(chains)
 
     def seat(row: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(row):
             return pa.table([pa.array([], k) for k in kinds], names)
-        h = unpacked(answers.filter(pc.less(answers["part"], 0))["place"][0].as_py(), "<f4").astype(float)
-        answers = answers.filter(pc.greater_equal(answers["part"], 0))
         answers = answers.take(pc.sort_indices(answers["part"]))
-        places, block = answers["place"].to_pylist(), row["block"][0].as_py()
-        doc, word, c = (unpacked(row[x][0].as_py(), "<i4").astype(np.int64) for x in ("cell_doc", "cell_word", "cell_c"))
-        once, n = unpacked(row["once"][0].as_py(), "<i4").astype(np.int64), unpacked(row["m"][0].as_py(), "<i4").astype(np.int64)
-        _, at = np.unique(word, return_inverse=True)
-        trained = ~np.asarray(row["held"][0].as_py(), bool)
-        singles = n - np.bincount(doc, c, minlength=len(n)).astype(np.int64)
-        rest = [np.concatenate([np.zeros(0, np.float32), *(unpacked(a[k], "<f4") for a in answers["rest"].to_pylist())]) for k in range(len(totals))]
-        tables, sums = [], []
-        for k, (total, (d, strength)) in enumerate(zip(totals, documents, strict=True)):
-            rng = np.random.default_rng([SEED, draw, k, block])
-            p, t = predictive(rest[k][word].astype(float), total, h[at]), np.ones(len(c), np.int64)
-            for _ in range(2):
-                gamma = rng.gamma(np.maximum(strength / d + singles + np.bincount(doc, t, minlength=len(n)), 1e-9))
-                t = draw_tables(c, d * gamma[doc] * p, d, rng)
-            tables.append(once + np.bincount(word, t, minlength=len(once)).astype(np.int64))
-            seats, of_doc = seat_counts(c, t), (singles + np.bincount(doc, t, minlength=len(n)) + 1)[trained]  # the end has a table too
-            (many, times), (words, texts) = np.unique(of_doc, return_counts=True), np.unique(n[trained] + 1, return_counts=True)
-            sums += [float(s + times @ log_rising(np.full(len(many), a), g, many) - texts @ log_rising(np.full(len(words), a), 1.0, words)) for s, g in zip(seats, DISCOUNTS, strict=True) for a in STRENGTHS]
+        get = lambda name, kind: unpacked(row[name][0].as_py(), kind)
+        places, width, block = answers["place"].to_pylist(), row["width"][0].as_py(), row["block"][0].as_py()
+        before, after, c, keys, h = get("before", "<i4"), get("after", "<i4"), get("c", "<i8"), get("keys", "<u8"), get("h", "<f4")
+        once = [np.append(get(x, "<i4"), n).astype(np.int64) for x, n in zip(("tables", "contexts"), row["ends"][0].as_py(), strict=True)]
         cuts = np.cumsum([len(unpacked(x, "<i4")) for x in places])[:-1] if places else []
-        sent = [[packed(x.astype("<i4")) for x in np.split(t, cuts)] if places else [] for t in tables]
+        sent: list[list[list[bytes]]] = []
+        sums: list[float] = []
+        for k, state in enumerate(states):
+            t = np.ones(len(c), np.int64)
+            if state is not None:
+                rest = np.append(_joined([x[k] for x in answers["rest"].to_pylist()], "<f4").astype(float), state["end"])
+                sofar = np.append(_joined([x[k] for x in answers["tables"].to_pylist()], "<i4").astype(np.int64), state["starts"])
+                p = predictive(rest[after], state["totals"], np.where(after == width, state["base"], h.astype(float)))
+                t = pair_tables(c, keys, before, p, sofar, get("hashes", "<u8"), state, draw, k)
+            both = [x + np.bincount(at, t, minlength=width + 1).astype(np.int64) for x, at in zip(once, (after, before), strict=True)]
+            sums += [float(both[0][-1]), float(both[1][-1]), *seat_counts(c, t)]
+            sent.append([[packed(x.astype("<i4")) for x in np.split(b[:-1], cuts)] if places else [] for b in both])
         m = len(places)
-        columns = [[*answers["part"].to_pylist(), -1], [block] * (m + 1), [*places, b""], [*map(list, zip(*sent, strict=True)), []], [*[[]] * m, sums]]
+        by_place = [list(zip(*(x[i] for x in sent), strict=True)) for i in (0, 1)]
+        columns = [[*answers["part"].to_pylist(), -1], [block] * (m + 1), [*places, b""], *([*map(list, x), []] for x in by_place), [*[[]] * m, sums]]
         return pa.table([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)
 
-    names, kinds = ["part", "block", "place", "tables", "sums"], [pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.float64())]
-    rows, answers = held.select("block", "m", "held", "once", "cell_doc", "cell_word", "cell_c"), replies.filter("block >= 0").select("block", "part", "place", "rest").union(spelt)
-    seated = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(seat, "part int, block long, place binary, tables array<binary>, sums array<double>")
+    names, kinds = ["part", "block", "place", "words", "contexts", "sums"], [pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.float64())]
+    answers = replies.filter("block >= 0").select("block", "part", "place", "rest", "tables")
+    seated = seating.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(seat, "part int, block long, place binary, words array<binary>, contexts array<binary>, sums array<double>")
     seated = common.written(seated, "seated")
-    grid = seated.filter("part = -1").select(F.posexplode("sums").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect()
-    weights = np.zeros(len(chains) * size)
-    for r in grid:
-        weights[r["at"]] = r["x"]
+    of_blocks = _sums(seated.filter("part = -1"), len(chains) * (2 + len(DISCOUNTS))).reshape(len(chains), -1)
     discounts, xs = [c.d() for c in chains], [c.x() for c in chains]
 
     def update(rows: pa.Table, state: pa.Table) -> pa.Table:
         places = [unpacked(x, "<i4") for x in rows["place"].to_pylist()]
-        tables = rows["tables"].to_pylist()
-        return _seated(rows["part"][0].as_py(), rows["block"].to_pylist(), places, None, [[unpacked(t[k], "<i4") for t in tables] for k in range(len(discounts))], discounts, xs, unpacked(state["h"][0].as_py(), "<f4"), draw)
-
-    state = first.filter("block = -1").select(F.col("part").alias("of"), "h")
+        at, part, m = np.concatenate([np.zeros(0, np.int32), *places]), rows["part"][0].as_py(), len(places)
+        h, customers = unpacked(state["h"][0].as_py(), "<f4").astype(float), unpacked(state["c"][0].as_py(), "<i8")
+        words, contexts, sums = rows["words"].to_pylist(), rows["contexts"].to_pylist(), []
+        replied: list[list[list[bytes]]] = []
+        for k, (d, x) in enumerate(zip(discounts, xs, strict=True)):
+            c, tables = (np.bincount(at, _joined([y[k] for y in z], "<i4"), minlength=len(h)).astype(np.int64) for z in (words, contexts))
+            seen = np.flatnonzero(c)
+            t = draw_tables(c[seen], (x if draw else d * len(h)) * h[seen], d, np.random.default_rng([SEED, draw, k, part]))
+            left = c.astype("<f4")
+            left[seen] -= (d * t).astype("<f4")
+            used = customers > 0
+            sums += [float(c.sum()), float(t.sum()), *seat_counts(c[seen], t), *restaurants_grid(customers[used], tables[used]).ravel()]
+            replied.append([[packed(left[p]) for p in places], [packed(tables[p].astype("<i4")) for p in places]])
+        by_place = [list(zip(*(x[i] for x in replied), strict=True)) for i in (0, 1)]
+        columns = [[part] * (m + 1), [*rows["block"].to_pylist(), -1], [*rows["place"].to_pylist(), b""], [b""] * (m + 1), *([*map(list, x), []] for x in by_place), [b""] * (m + 1), [*[[]] * m, sums]]
+        return pa.table([pa.array(x, k) for x, k in zip(columns, _KINDS, strict=True)], _NAMES)
+
+    state = first.filter("block = -1").select(F.col("part").alias("of"), "h", "c")
     back = seated.filter("part >= 0").drop("sums").groupBy("part").cogroup(state.groupBy("of")).applyInArrow(update, _REPLY)
-    return common.written(back, "replies"), weights.reshape(len(chains), len(DISCOUNTS), len(STRENGTHS))
+    back = common.written(back, "replies")
+    return back, _sums(back.filter("block = -1"), len(chains) * _EACH).reshape(len(chains), -1), of_blocks
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -428,54 +621,64 @@ def score(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     held = blocks(docs, max(1, -(-size // PART)))
     base = docs.sparkSession.sparkContext.broadcast(spelling(held))  # of fixed size
-    first, spelt = lexicon(held, base), _spelt_cells(held, base)
+    first, pairs = lexicon(held, base), pair_counts(held, max(1, -(-size // PAIRS)))
+    seating = seats(held, pairs, base)
     texts = held.select(F.explode("held").alias("h")).filter("NOT h").count()
-    sums = _sums(first)
-    types, chains = sums[0], [Chain(k, float(base.value([b""])[0])) for k in range(CHAINS)]
-    each = 2 + len(DISCOUNTS)
-    of_chain = lambda s, k: s[1 + k * each : 1 + (k + 1) * each]
-    for k, chain in enumerate(chains):
-        chain.resume(of_chain(sums, k), texts)
-    replies, kept = first, None
-    said: list[tuple[tuple[float, ...], float]] = []
-    for draw in range(1, BURN_IN + KEPT + 1):
-        replies, weights = sweep(held, replies, first, spelt, chains, draw)
-        sums = _sums(replies)
-        for k, chain in enumerate(chains):
-            chain.document = on_grid(weights[k], chain.rng) if texts else chain.document
-            chain.resume(of_chain(sums, k), texts)
-        if draw > BURN_IN:
-            rows = replies.filter("block >= 0").select("block", "part", F.lit(draw - BURN_IN).alias("kind"), "c", "rest")
+    types = _sums(first.filter("block = -1"), 1)[0]
+    chains = [Chain(k, float(base.value([b""])[0]), texts) for k in range(CHAINS)]
+    replies, kept, said = first, None, []
+    for draw in range(BURN_IN + KEPT + 1):
+        replies, of_parts, of_blocks = sweep(seating, replies, first, chains, draw)
+        for chain, x, y in zip(chains, of_parts, of_blocks, strict=True):
+            used = chain.state() if draw else None  # of the draw: what was known before it
+            chain.resume(x, y)
+            if draw > BURN_IN:
+                said[-1].append((used, chain.state()))
+        if draw >= BURN_IN:
+            rows = replies.filter("block >= 0").select("block", "part", F.lit(draw - BURN_IN + 1).alias("kind"), "c", "rest", "tables")
             kept = rows if kept is None else kept.union(rows)
-            said += [(c.totals, c.end) for c in chains]
-    answers = first.filter("block >= 0").select("block", "part", F.lit(0).alias("kind"), "c", F.array().cast("array<binary>").alias("rest")).union(kept)
-    d = float(np.mean([DISCOUNTS[c.document[0]] for c in chains]))
-    strength = float(np.exp(np.mean([np.log(STRENGTHS[c.document[1]]) for c in chains])))
-    p_end = float(np.mean([predictive(np.array(end), totals, chains[0].base) for totals, end in said]))
-    new = float(np.mean([predictive(np.array(0.0), totals, 1.0) for totals, _ in said]))  # what the base has of a draw
-    grid = held.select(F.posexplode("grid").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect()
-    best = max(grid, key=lambda r: r["x"])["at"] if texts else START[0] * len(STRENGTHS) + START[1]
-    context = float(DISCOUNTS[best // len(STRENGTHS)]), float(STRENGTHS[best % len(STRENGTHS)])
+            said.append([])
+    said.pop()
+    words = first.filter("block >= 0").select("block", "part", F.lit(0).alias("kind"), "c", "rest", "tables")
+    counted = pairs.select("block", F.col("slice").alias("part"), F.lit(-1).alias("kind"), F.col("pairs").alias("c"), F.array().cast("array<binary>").alias("rest"), F.array().cast("array<binary>").alias("tables"))
+    answers = words.union(kept).union(counted)
+    grids = _sums(held.select(F.col("grids").alias("sums")), 2 * _GRID).reshape(2, _GRID)
+    document, context = ((float(DISCOUNTS[i // len(STRENGTHS)]), float(STRENGTHS[i % len(STRENGTHS)])) for i in (grids.argmax(axis=1).tolist() if texts else [START[0] * len(STRENGTHS) + START[1]] * 2))
     names, kinds = ["doc_id", "held_out", "n_words", "n_known", "logs", "score"], [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
-    def rate(row: pa.Table, said_of: pa.Table) -> pa.Table:
+    def rate(row: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(row):
             return pa.table([pa.array([], k) for k in kinds], names)
         n, codes = unpacked(row["n"][0].as_py(), "<i4").astype(np.int64), unpacked(row["codes"][0].as_py(), "<i4").astype(np.int64)
-        said_of = said_of.take(pc.sort_indices(said_of, [("kind", "ascending"), ("part", "ascending")]))
-        kind, c, rest = np.asarray(said_of["kind"]), said_of["c"].to_pylist(), said_of["rest"].to_pylist()
-        counts = np.concatenate([np.zeros(0, np.int64), *(unpacked(x, "<i8") for x, k in zip(c, kind, strict=True) if k == 0)])
-        words = row["words"][0].as_py().split(b" ")[: len(counts)]
-        p, h = np.zeros(len(counts)), base.value(words) if len(counts) else np.zeros(0)
-        for i, (totals, _) in enumerate(said):
-            mine = [unpacked(x[i % CHAINS], "<f4") for x, k in zip(rest, kind, strict=True) if k == 1 + i // CHAINS]
-            p += predictive(np.concatenate([np.zeros(0, np.float32), *mine]).astype(float), totals, h) / len(said)
-        logs_p = np.log10(np.maximum(p, 1e-300))
+        pairs, answers = _pairs(row), answers.take(pc.sort_indices(answers, [("kind", "ascending"), ("part", "ascending")]))
+        of = {k: answers.filter(pc.equal(answers["kind"], k)) for k in range(-1, KEPT + 2)}
+        counts = _joined(of[0]["c"].to_pylist(), "<i8")
+        c = _joined(of[-1]["c"].to_pylist(), "<i8") >> 1
+        customers, many = np.append(counts, texts), np.flatnonzero(c > 1)
+        h = base.value(pairs.words) if pairs.width else np.zeros(0)
+        q, new = np.zeros(len(c)), np.append(counts == 0, False)
+        before, after = pairs.before, pairs.after
+        for k in range(CHAINS):
+            rest, tables = ([_joined([x[k] for x in of[i][name].to_pylist()], dtype) for i in range(1, KEPT + 2)] for name, dtype in (("rest", "<f4"), ("tables", "<i4")))
+            for i, each in enumerate(said):
+                used, state = each[k]
+                p = predictive(np.append(rest[i].astype(float), used["end"])[after[many]], used["totals"], np.append(h.astype("<f4").astype(float), used["base"])[after[many]])
+                t = np.minimum(c, 1)
+                t[many] = pair_tables(c[many], pairs.keys[many], before[many], p, np.append(tables[i].astype(np.int64), used["starts"]), pairs.hashes[np.unique(before[many])], used, BURN_IN + 1 + i, k)
+                p = predictive(np.append(rest[i + 1].astype(float), state["end"]), state["totals"], np.append(h, state["base"]))
+                p[new] = predictive(np.array(0.0), state["totals"], 1.0)  # before its spelling
+                d, strength = used["d"], used["strength"]
+                share = strength + d * np.append(tables[i + 1].astype(np.int64), state["starts"])
+                q += (c - d * t + share[before] * p[after]) / (customers[before] + strength) / (len(said) * CHAINS)
+        logs_q = np.log10(np.maximum(q, 1e-300))
         unseen = np.flatnonzero(counts == 0)
         if len(unseen):
-            logs_p[unseen] = np.log10(new) + base.value.logs10([words[i] for i in unseen.tolist()])
+            spelt = np.zeros(pairs.width + 1)
+            spelt[unseen] = base.value.logs10([pairs.words[i] for i in unseen.tolist()])
+            logs_q += spelt[after]
         logs, known = logs_of(n, codes, np.log10(counts + ADDED)), logs_of(n, codes, (counts > 0).astype(float))
-        got = text_scores(n, codes, logs_p[codes], p_end, (d, strength), context)
+        each, ends = logs_q[pairs.at], np.cumsum(n + 1) - 1
+        got = text_scores(n, codes, np.delete(each, ends), 10.0 ** each[ends], document, context)
         return pa.table([pa.array(row["doc_id"][0].as_py(), pa.int64()), pa.array(row["held"][0].as_py(), pa.bool_()), pa.array(n), pa.array(np.rint(known).astype(np.int64)), pa.array(logs), pa.array(got)], names)
 
     rated = held.select("block", "doc_id", "held", "n", "codes", "words").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(rate, "doc_id long, held_out boolean, n_words long, n_known long, logs double, score double")
@@ -486,22 +689,6 @@ def score(docs: DataFrame) -> DataFrame:
     return rated.select("doc_id", "held_out", n_tokens.alias("n_tokens"), (F.col("n_known") + int(texts > 0)).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base_score.alias("base_score"), "score")
 
 
-def _spelt_cells(held: DataFrame, base: Broadcast) -> DataFrame:
-    """Rows like replies, of part -1: the base probabilities of a block's words that are in its cells."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for blocks, words, cells in common.rows_of(batches):
-            h = []
-            for w, cell in zip(words, cells, strict=True):
-                each = w.split(b" ")
-                some = [each[i] for i in np.unique(unpacked(cell, "<i4")).tolist()]
-                h.append(packed(base.value(some).astype("<f4") if some else np.zeros(0, "<f4")))
-            n = len(blocks)
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([-1] * n, pa.int32()), pa.array(h, pa.binary()), pa.array([[]] * n, pa.list_(pa.binary()))], ["block", "part", "place", "rest"])
-
-    return common.written(held.select("block", "words", "cell_word").mapInArrow(run, "block long, part int, place binary, rest array<binary>"), "spelt")
-
-
 def _trained(held: DataFrame) -> int:
     """The words of all training texts."""
 
@@ -530,11 +717,12 @@ def _before(keys: np.ndarray, mark: np.ndarray | None = None) -> np.ndarray:
     return out
 
 
-def text_scores(n: np.ndarray, types: np.ndarray, log_p: np.ndarray, p_end: float, document: tuple[float, float], context: tuple[float, float]) -> np.ndarray:
+def text_scores(n: np.ndarray, types: np.ndarray, log_p: np.ndarray, p_end: float | np.ndarray, document: tuple[float, float], context: tuple[float, float]) -> np.ndarray:
     """The log10 probability of texts of n words: each word given those before it, then the end.
 
-    ``log_p`` has the logarithms of the corpus restaurant's probabilities, ``document`` and ``context``
-    the discounts and strengths of a text's own restaurant and of those of its words."""
+    ``log_p`` and ``p_end`` have what the corpus's seating gives each word and the end, given the word
+    before, ``document`` and ``context`` the discounts and strengths of a text's own restaurant and of
+    those of its words."""
     ends = np.cumsum(n)
     doc = np.repeat(np.arange(len(n)), n + 1)
     width = int(types.max(initial=0)) + 2

@@ -76,6 +76,63 @@ def test_order_of_words_is_scored(spark):
     assert all(got[i] > got[1000 + i] for i in range(60))
 
 
+def test_words_are_scored_after_those_before_them_in_other_texts(spark):
+    """Held-out texts without repeats, in phrases of training texts, and the same words in another order."""
+    rng = random.Random(4)
+    lexicon = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(200)]
+    phrases = [lexicon[i : i + 5] for i in range(0, 200, 5)]
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 == 0][:40]
+    rows = [(i, " ".join(w for p in rng.sample(phrases, 8) for w in p)) for i in range(300) if zlib.crc32(str(i).encode()) % 10]
+    for i in range(0, 40, 2):
+        text = [w for p in rng.sample(phrases, 8) for w in p]
+        rows += [(held[i], " ".join(text)), (held[i + 1], " ".join(rng.sample(text, len(text))))]
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[held[i]] > got[held[i + 1]] + 10 for i in range(0, 40, 2))
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_scores_are_a_distribution(spark, monkeypatch, small):
+    """Chances of the texts that training holds sum to less than one, and to nearly one."""
+    if small:  # the blocks that score a pair aren't those that seat it
+        monkeypatch.setattr(lm_scoring, "BLOCK", 40)
+        monkeypatch.setattr(lm_scoring, "PART", 300)
+        monkeypatch.setattr(lm_scoring, "PAIRS", 300)
+    texts = ["", "a", "b c", "a a d"]
+    training = [i for i in range(900) if zlib.crc32(str(i).encode()) % 10]
+    held = [i for i in range(900) if i not in set(training)][: len(texts)]
+    rows = [(i, texts[i % 7 % 4]) for i in training] + list(zip(held, texts, strict=True))
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    chances = dict(zip(texts, (10 ** got[i] for i in held), strict=True))
+    assert 0.5 < sum(chances.values()) < 1 and chances["a"] > 0.1
+    by_text = {t: {round(got[i], 9) for i, x in rows if x == t} for t in texts}
+    assert all(len(x) == 1 for x in by_text.values())
+
+
+def test_keyed_draws_follow_their_laws():
+    keys = lm_scoring.keyed(np.arange(200_000, dtype=np.uint64), 3, 1)
+    assert np.histogram(lm_scoring.uniform(keys, 0), 20, (0, 1))[0] == pytest.approx(np.full(20, 10_000), rel=0.05)
+    z = lm_scoring.normal(keys, 0)
+    assert (z.mean(), z.std()) == pytest.approx((0, 1), abs=0.01)
+    for a in (1.0, 1.4, 30.0, 5e4):
+        g = lm_scoring.keyed_gamma(np.full(len(keys), a), keys)
+        assert (g.mean(), g.var()) == pytest.approx((a, a), rel=0.02) and (g > 0).all()
+    for m in (0.3, 20.0, 900.0):
+        n = lm_scoring.keyed_poisson(np.full(len(keys), m), keys)
+        assert (n.mean(), n.var()) == pytest.approx((m, m), rel=0.02)
+    for x in (0.02, 0.9, 30.0):
+        t = lm_scoring.draw_tables(np.full(40_000, 5), np.full(40_000, x), 0.53125, None, keys[:40_000])
+        w = np.exp(lm_scoring.stirling(0.53125)[5, 1:6] + np.arange(1, 6) * math.log(x))
+        assert np.bincount(t, minlength=6)[1:] / 40_000 == pytest.approx(w / w.sum(), abs=0.01)
+
+
+def test_grid_of_restaurants():
+    c, t = np.array([5, 5, 9, 700]), np.array([2, 1, 2, 30])
+    for i, d in enumerate(lm_scoring.DISCOUNTS):
+        for j, a in enumerate(lm_scoring.STRENGTHS):
+            want = sum(lm_scoring.log_rising(np.array([a]), d, np.array([y]))[0] - lm_scoring.log_rising(np.array([a]), 1.0, np.array([x]))[0] for x, y in zip(c, t, strict=True))
+            assert lm_scoring.restaurants_grid(c, t)[i, j] == pytest.approx(want, abs=1e-6)
+
+
 def test_spelling_is_a_distribution():
     """Over an alphabet of all bytes, chances of words by length sum to less than one and to nearly one with the longer ones' prefix."""
     words = [b"ab", b"abc", b"b", b""]
