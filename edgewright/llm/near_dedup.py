@@ -14,9 +14,10 @@ the next one if it stands that near. In a cell pairs are formed along a third co
 the links leaves a task, so large groups of near copies stay linear. Components follow by contracting
 edges to parents, cut by checkpoint().
 
-One fingerprint of 3-word shingles within 2 bits finds few near copies of 0.8 similarity, so the
-pipeline's ``keep_one`` links by the rule itself, the Jaccard similarity of the sets of 5-word
-shingles. Least hashes of these in bands bring similar texts into buckets (a pair of 0.8 shares one
+The pipeline's ``keep_one`` links by a rule, a Jaccard similarity of 0.8 of the sets of 5-word
+shingles. It first takes the links of the fingerprints, found by the pivot table as above, and verifies
+them on the whole sets. Fingerprints within 2 bits are few of the near copies of 0.8, so what they leave
+apart goes on: least hashes of these in bands bring similar texts into buckets (a pair of 0.8 shares one
 with a chance of 0.998). In a bucket a spanning tree of the largest estimated similarities gives one
 pair fewer than texts, whatever the bucket's size; pairs that 512 bits of parity prove too far apart
 go, and the others are verified on their whole sets, so nothing below the rule is linked. A bucket
@@ -148,6 +149,7 @@ class Forest:
 
     def __init__(self) -> None:
         self.parent: dict[int, int] = {}
+        self.links: tuple[list[int], list[int]] = ([], [])  # the pairs that united two trees
 
     def root(self, x: int) -> int:
         up = self.parent
@@ -156,8 +158,11 @@ class Forest:
         return x
 
     def unite(self, a: int, b: int) -> None:
+        pair = a, b
         a, b = self.root(a), self.root(b)
         if a != b:
+            self.links[0].append(min(pair))
+            self.links[1].append(max(pair))
             self.parent[max(a, b)] = min(a, b)
 
     def edges(self) -> tuple[list[int], list[int]]:
@@ -165,9 +170,9 @@ class Forest:
         return [x for x, _ in found], [r for _, r in found]
 
 
-def _spanning(buckets: DataFrame, most: int) -> DataFrame:
+def _spanning(buckets: DataFrame, most: int, linked_ends: bool = False) -> DataFrame:
     """A spanning forest (a, b) of the links between the nodes of rows (pick, kept, fp, node), where
-    a pick and what is kept name a bucket."""
+    a pick and what is kept name a bucket. Its edges lead to roots, or are links if ``linked_ends``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, held = Forest(), None
@@ -196,13 +201,13 @@ def _spanning(buckets: DataFrame, most: int) -> DataFrame:
             held = rows[end:]
         if held is not None:
             link(held)
-        a, b = forest.edges()
+        a, b = forest.links if linked_ends else forest.edges()
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return buckets.repartition("pick", "kept").sortWithinPartitions("pick", "kept").mapInArrow(run, "a long, b long")
 
 
-def links(representatives: DataFrame, most: int = MOST_BITS, blocks: int = BLOCKS) -> DataFrame:
+def links(representatives: DataFrame, most: int = MOST_BITS, blocks: int = BLOCKS, linked_ends: bool = False) -> DataFrame:
     """A spanning forest (a, b) of the links between the ``node`` of rows (node, fp), fp distinct."""
     fp, rows = F.col("fp"), representatives.select("node", "fp", F.lit(0).alias("cell"))
     for i in range(SPLIT):
@@ -211,7 +216,7 @@ def links(representatives: DataFrame, most: int = MOST_BITS, blocks: int = BLOCK
         rows = rows.select("node", "fp", "cell", F.explode(near).alias("more")).select("node", "fp", (F.col("cell") * 32 + F.col("more")).alias("cell"))
     masks = block_masks(most, blocks)
     each = F.array(*[F.struct((F.lit(k) + F.col("cell") * len(masks)).alias("pick"), fp.bitwiseAND(F.lit(m)).alias("kept")) for k, m in enumerate(masks)])
-    return _spanning(rows.select(F.inline(each), "fp", "node"), most)
+    return _spanning(rows.select(F.inline(each), "fp", "node"), most, linked_ends)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -329,23 +334,23 @@ def _signature(h: np.ndarray) -> np.ndarray:
 
 
 def _mapped(docs: DataFrame, frequent=None) -> DataFrame:
-    """id, key, n, odd, and sketch and bands, or the first shingles if ``frequent`` gives their order."""
+    """id, key, fp, n, odd, and sketch and bands, or the first shingles if ``frequent`` gives their order."""
     lists = pa.list_(pa.int64())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in common.rows_of(batches, HELD):
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for text in texts:  # one text's words at a time
                 tokens = tokens_of(text)
                 h = shingles(tokens)
                 least = _signature(h) if frequent is None else None
                 more = (least.astype(np.uint8).tobytes(), _bands(least)) if frequent is None else (None, prefix(h, frequent.value).view(np.int64))
-                for column, x in zip(out, (key_of(tokens), len(h), parity(h), *more), strict=True):
+                for column, x in zip(out, (key_of(tokens), _signed(fingerprint(text)) if frequent is None else None, len(h), parity(h), *more), strict=True):
                     column.append(x)
-            kinds = pa.int64(), pa.int64(), lists, pa.binary(), lists
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], ["id", "key", "n", "odd", "sketch", "first"])
+            kinds = pa.int64(), pa.int64(), pa.int64(), lists, pa.binary(), lists
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], ["id", "key", "fp", "n", "odd", "sketch", "first"])
 
-    return docs.mapInArrow(run, "id long, key long, n long, odd array<long>, sketch binary, first array<long>")
+    return docs.mapInArrow(run, "id long, key long, fp long, n long, odd array<long>, sketch binary, first array<long>")
 
 
 def _bands(least: np.ndarray) -> np.ndarray:
@@ -466,9 +471,26 @@ def similar(docs: DataFrame, exact: bool = False) -> tuple[DataFrame, DataFrame]
     between keys. They join what all links of the rule join: nearly always, or always if ``exact``."""
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, docs.count())) if exact else None
     rows = common.written(_mapped(docs, frequent), "mapped")
-    reps = rows.groupBy("key").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", "odd", "sketch", "first")))
+    reps = rows.groupBy("key").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("fp", "n", "odd", "sketch", "first")))
     reps = common.written(reps, "representatives")
-    return reps.select("key", "id"), _all_links(docs, reps) if exact else _verified(_candidates(reps), docs, reps)
+    return reps.select("key", "id"), _all_links(docs, reps) if exact else _near_links(docs, reps)
+
+
+def _fingerprint_pairs(reps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of keys that join what fingerprints of ``MOST_BITS`` or fewer join, each within these."""
+    of_fp = common.written(reps.groupBy("fp").agg(F.min("key").alias("node")), "fingerprints")
+    same = reps.join(of_fp, "fp").filter("key <> node").select(F.col("node").alias("a"), F.col("key").alias("b"))
+    return links(of_fp.select("node", "fp"), linked_ends=True).union(same).distinct()
+
+
+def _near_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links of the rule: those that fingerprints find by pivot tables, then, for texts that are farther
+    apart than these tell, those that bands find between what the former left apart."""
+    close = _verified(_fingerprint_pairs(reps), docs, reps)
+    found = components(close).select("node", "component")
+    of_a, of_b = (found.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in ("a", "b"))
+    rest = _candidates(reps).join(of_a, "a", "left").join(of_b, "b", "left").filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+    return close.union(_verified(rest.select("a", "b"), docs, reps))
 
 
 def _all_links(docs: DataFrame, reps: DataFrame) -> DataFrame:

@@ -121,6 +121,27 @@ def test_all_pairs_of_the_rule_are_linked(spark, exact):
     assert sorted(r["doc_id"] for r in kept.collect()) == kept_by_brute_force(rows) and len(kept_by_brute_force(rows)) == 12
 
 
+def test_fingerprints_link_near_copies_by_themselves(spark, monkeypatch):
+    """Without bands, copies within two bits of 0.8 or more go; farther ones, and those below 0.8, stay."""
+    monkeypatch.setattr(near_dedup, "_candidates", lambda reps: reps.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0))
+    rng, rows, want, kinds = random.Random(31), [], [], Counter()
+    bits = lambda s, t: bin(plain_fingerprint(s) ^ plain_fingerprint(t)).count("1")
+    for i in range(300):
+        text = words(rng, 200, "abcdefghijklmnop")
+        w = text.split()
+        for at in rng.sample(range(200), rng.choice((1, 1, 2, 12))):
+            w[at] = "changed"
+        copy = " ".join(w)
+        gone = bits(text, copy) <= 2 and jaccard(text, copy) >= 0.8
+        kinds[bits(text, copy) <= 2, jaccard(text, copy) >= 0.8] += 1
+        rows += [(2 * i, text), (2 * i + 1, copy)]
+        want += [2 * i] if gone else [2 * i, 2 * i + 1]
+    rows += [(900, "a b c d e"), (901, "a b c d e a b c d e a b c d e")]
+    kept = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert kinds[True, True] > 5 and kinds[False, True] > 5
+    assert sorted(r["doc_id"] for r in kept.collect()) == [*want, 900, 901]
+
+
 def test_nothing_below_the_rule_is_dropped(spark):
     """Each copy and its original alone: of those just below 0.8, both stay."""
     rng = random.Random(12)
