@@ -34,7 +34,7 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -56,6 +56,10 @@ BLOCK, PART, PAIRS = 8 << 20, 64 << 20, 16 << 20
 SPELLED, EVEN = 4096, 4.0
 #: Customers up to which tables are drawn from their exact law.
 EXACT = 512
+#: The logarithm of what doubles of one and more don't change by.
+NOTHING = -39.5
+#: Words of texts that are scored at once.
+SCORED = 1 << 16
 #: The grid of discounts and strengths, and where the chains start on it.
 DISCOUNTS, STRENGTHS, START = (np.arange(16) + 0.5) / 16, 2.0 ** np.arange(-3, 21), (8, 8)
 
@@ -89,16 +93,27 @@ def draw_tables(c: np.ndarray, x: np.ndarray, d: float, rng: np.random.Generator
     if not len(c):
         return t
     log_s, log_x = stirling(d), np.log(x)
-    order = np.argsort(c, kind="stable")
-    different, first = np.unique(c[order], return_index=True)
-    for n, a, b in zip(different.tolist(), first.tolist(), [*first.tolist()[1:], len(c)], strict=True):
+    equal = Places(c)
+    order, first = equal.order, equal.first
+    for n, a, b in zip(c[order[first]].tolist(), first.tolist(), [*first.tolist()[1:], len(c)], strict=True):
         if n < 2 or n > EXACT:
             continue
-        for at in np.split(order[a:b], range(1 << 14, b - a, 1 << 14)):
-            w = log_s[n, 1 : n + 1] + np.arange(1, n + 1) * log_x[at, None]
-            w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
-            drawn = rng.random(len(at)) if keys is None else uniform(keys[at], 0)
-            t[at] = 1 + (w < drawn[:, None] * w[:, -1:]).sum(axis=1)
+        cells, step, log_r = order[a:b], max(64, (1 << 15) // min(n, 64)), log_s[n, 1 : n + 1] - log_s[n, 1]
+        small = (log_x[cells] <= 0) | (n <= 100) & (n * log_x[cells] < 300)
+        u = rng.random(len(cells)) if keys is None else uniform(keys[cells], 0)
+        for some, drawn, by_powers in ((cells[small], u[small], True), (cells[~small], u[~small], False)):
+            for i in range(0, len(some), step):
+                at = some[i : i + step]
+                if by_powers:  # weights past the last that counts are less than a sum of doubles can hold
+                    w = np.empty((1 + int(np.flatnonzero(log_r + np.arange(n) * log_x[at].max() > NOTHING)[-1]), len(at)))
+                    w[0], w[1:] = 1, x[at]
+                    np.cumprod(w, axis=0, out=w)
+                    w *= np.exp(log_r[: len(w), None])
+                else:
+                    w = log_r[:, None] + np.arange(n)[:, None] * log_x[at]
+                    np.exp(w - w.max(axis=0), out=w)
+                np.cumsum(w, axis=0, out=w)  # a column for each cell
+                t[at] = 1 + np.count_nonzero(w < drawn[i : i + step] * w[-1], axis=0)
     many = np.flatnonzero(c > EXACT)
     if len(many):  # tables are a compound Poisson law's, given that their customers sum to c
         n, x = c[many].astype(float), x[many]
@@ -184,7 +199,9 @@ def on_grid(log_weights: np.ndarray, rng: np.random.Generator) -> tuple[int, int
 def seat_counts(c: np.ndarray, t: np.ndarray) -> np.ndarray:
     """The sum of log S_d(c, t) over cells of up to EXACT customers, for each discount of the grid."""
     few = (c > 1) & (c <= EXACT)
-    pairs, n = np.unique(c[few] * (EXACT + 1) + t[few], return_counts=True)
+    times = np.bincount(c[few] * (EXACT + 1) + t[few])
+    pairs = np.flatnonzero(times)
+    n = times[pairs]
     return np.array([float(n @ stirling(d)[pairs // (EXACT + 1), pairs % (EXACT + 1)]) for d in DISCOUNTS])
 
 
@@ -193,7 +210,7 @@ def seat_counts(c: np.ndarray, t: np.ndarray) -> np.ndarray:
 
 def _spelt(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The context and symbol of each byte of words and of their ends, and whose they are."""
-    size = np.array([len(w) for w in words], np.int64)
+    size = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1
     symbol = np.full(size.sum() + len(words), 256, np.int64)
     inside = np.ones(len(symbol), bool)
@@ -212,15 +229,21 @@ class Spelling:
         each = counts.reshape(SPELLED, 257)
         self.logs = np.log((each + EVEN / 257) / (each.sum(axis=1, keepdims=True) + EVEN)).ravel()
 
+    def _logs(self, words: list[bytes]) -> np.ndarray:
+        out = [np.zeros(0)]
+        for a in range(0, len(words), 1 << 14):
+            some = words[a : a + (1 << 14)]
+            cell, of = _spelt(some)
+            out.append(np.bincount(of, self.logs[cell], minlength=len(some)))
+        return np.concatenate(out)
+
     def __call__(self, words: list[bytes]) -> np.ndarray:
         """The probability of each word, no less than what single precision holds."""
-        cell, of = _spelt(words)
-        return np.exp(np.maximum(np.bincount(of, self.logs[cell], minlength=len(words)), -80.0))
+        return np.exp(np.maximum(self._logs(words), -80.0))
 
     def logs10(self, words: list[bytes]) -> np.ndarray:
         """The logarithm of the probability of each word, however long."""
-        cell, of = _spelt(words)
-        return np.bincount(of, self.logs[cell], minlength=len(words)) / np.log(10)
+        return self._logs(words) / np.log(10)
 
 
 def spelling(held: DataFrame) -> Spelling:
@@ -230,7 +253,7 @@ def spelling(held: DataFrame) -> Spelling:
         total = np.zeros(SPELLED * 257)
         for words, trained in common.rows_of(batches):
             for w, n in zip(words, trained, strict=True):
-                some = [x for x, k in zip(w.split(b" "), unpacked(n, "<i4").tolist(), strict=False) if k]
+                some = [x for x, k in zip(words_in(w), unpacked(n, "<i4").tolist(), strict=False) if k]
                 total += np.bincount(_spelt(some)[0], minlength=len(total)) if some else 0
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["cell", "n"])
@@ -261,7 +284,7 @@ def chained(n: np.ndarray, codes: np.ndarray, width: int) -> tuple[np.ndarray, n
 
 def digests(words: list[bytes]) -> np.ndarray:
     """A digest of each word, and one for the end, or the start, after them."""
-    return np.array([*map(xxhash.xxh3_64_intdigest, words), xxhash.xxh3_64_intdigest(b" ")], np.uint64)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, [*words, b" "]), np.uint64, len(words) + 1)
 
 
 def pair_keys(before: np.ndarray, after: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -269,10 +292,10 @@ def pair_keys(before: np.ndarray, after: np.ndarray, h: np.ndarray) -> np.ndarra
     return mixed(h[before] * np.uint64(0x9E3779B97F4A7C15) + mixed(h)[after])
 
 
-def context_grid(n: np.ndarray, codes: np.ndarray, width: int, trained: np.ndarray) -> np.ndarray:
+def context_grid(n: np.ndarray, codes: np.ndarray, width: int, trained: np.ndarray, pairs: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """The logarithmic weights of the grid for the discount and strength of words' restaurants in training
     texts, each pair of words having one table; the end is a word too."""
-    pair, times = pairs_of(n, codes, width)
+    pair, times = pairs or pairs_of(n, codes, width)
     of = pair // width
     used = trained[of // (width + 1)]
     of, times = of[used], times[used]
@@ -281,32 +304,46 @@ def context_grid(n: np.ndarray, codes: np.ndarray, width: int, trained: np.ndarr
     return one_table_grid(of, times)
 
 
-def document_grid(n: np.ndarray, codes: np.ndarray, width: int, trained: np.ndarray) -> np.ndarray:
+def document_grid(n: np.ndarray, codes: np.ndarray, width: int, trained: np.ndarray, pairs: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """The same for the restaurants of training texts, whose customers are the tables of their words'."""
-    pair, _ = pairs_of(n, codes, width)
+    pair, _ = pairs or pairs_of(n, codes, width)
     cell, times = np.unique(pair // width // (width + 1) * width + pair % width, return_counts=True)
     used = trained[cell // width]
     return one_table_grid(np.concatenate([cell[used] // width, np.flatnonzero(trained)]), np.concatenate([times[used], np.ones(int(trained.sum()), np.int64)]))
 
 
+def tallied(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ones of small numbers, and how often each occurs."""
+    n = np.bincount(x)
+    each = np.flatnonzero(n)
+    return each, n[each]
+
+
 def one_table_grid(of: np.ndarray, times: np.ndarray) -> np.ndarray:
     """The logarithmic weights of the grid for restaurants ``of`` cells, each of so many customers at one table."""
-    _, at = np.unique(of, return_inverse=True)
-    (many, tables), (each, customers), (cells, held) = (np.unique(x, return_counts=True) for x in (np.bincount(at), np.bincount(at, times).astype(np.int64), times[times > 1]))
+    same = Places(of)
+    (many, tables), (each, customers), (cells, held) = (tallied(x) for x in (same.size, np.add.reduceat(times[same.order], same.first) if len(of) else times, times[times > 1]))
     rising = lambda start, x, times: float(times @ lgamma(start + x)) - times.sum() * float(lgamma(np.array(start)))
     of_customers = [rising(a, each, customers) for a in STRENGTHS]
     seats = [float(held @ (lgamma(cells - d) - lgamma(np.array(1 - d)))) if len(cells) else 0.0 for d in DISCOUNTS]
     return np.array([[s + float(tables @ many) * np.log(d) + rising(a / d, many, tables) - x for a, x in zip(STRENGTHS, of_customers, strict=True)] for d, s in zip(DISCOUNTS, seats, strict=True)])
 
 
+def words_in(row: bytes) -> list[bytes]:
+    """The different words of a block."""
+    flat = unpacked(row, "u1").tobytes()
+    return flat.split(b" ") if flat else []
+
+
 def _block(number: int, ids: pa.Array, held: np.ndarray, texts: pa.Array, parts: int) -> dict:
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     coded = lists.flatten().dictionary_encode()
     codes, words = np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_pylist()
     doc = np.repeat(np.arange(len(texts)), np.diff(np.asarray(lists.offsets)))
     real = np.array([w != "" for w in words], bool)
-    codes, doc = codes[real[codes]], doc[real[codes]]
-    part = np.array([xxhash.xxh3_64_intdigest(w) % parts for w in words], np.int64)
+    if not real.all():
+        codes, doc = codes[real[codes]], doc[real[codes]]
+    part = (np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) % np.uint64(parts)).astype(np.int64)
     part[~real] = parts
     often = np.bincount(codes, minlength=len(words))
     order = np.lexsort((-often, part))  # by part, frequent words first
@@ -315,9 +352,11 @@ def _block(number: int, ids: pa.Array, held: np.ndarray, texts: pa.Array, parts:
     codes, order = new[codes], order[: int(real.sum())]
     words_of = np.bincount(doc, minlength=len(texts))
     found, sizes = np.unique(part[order], return_counts=True)
+    width = max(1, len(order))
+    pairs = pairs_of(words_of, codes, width)
     return {
-        "block": number, "doc_id": ids.to_pylist(), "held": held.tolist(), "n": packed(words_of.astype(np.int32)), "grids": np.concatenate([f(words_of, codes, max(1, len(order)), ~held).ravel() for f in (document_grid, context_grid)]).tolist(), "codes": packed(codes.astype(np.int32)),
-        "words": " ".join(words[i] for i in order).encode("utf-8", "replace"), "parts": found.tolist(), "sizes": sizes.tolist(), "trained": packed(np.bincount(codes[~held[doc]], minlength=len(order)).astype(np.int32)),
+        "block": number, "doc_id": ids.to_pylist(), "held": held.tolist(), "n": packed(words_of.astype(np.int32)), "grids": np.concatenate([f(words_of, codes, width, ~held, pairs).ravel() for f in (document_grid, context_grid)]).tolist(), "codes": packed(codes.astype(np.int32)),
+        "words": packed(np.frombuffer(" ".join(map(words.__getitem__, order.tolist())).encode("utf-8", "replace"), np.uint8), 5), "parts": found.tolist(), "sizes": sizes.tolist(), "trained": packed(np.bincount(codes[~held[doc]], minlength=len(order)).astype(np.int32)),
     }
 
 
@@ -344,13 +383,38 @@ def blocks(docs: DataFrame, parts: int) -> DataFrame:
     return common.written(rows.mapInArrow(run, _BLOCK), "blocks")
 
 
+def indexed(x: np.ndarray) -> bytes:
+    """An array of few different numbers as these and which of them stands where."""
+    values, at = np.unique(x, return_inverse=True)
+    head = packed(values)
+    return len(head).to_bytes(8, "little") + head + packed(at.astype("<i4"))
+
+
+def unindexed(data: bytes, dtype: str) -> np.ndarray:
+    cut = 8 + int.from_bytes(data[:8], "little")
+    return unpacked(data[8:cut], dtype)[unpacked(data[cut:], "<i4")]
+
+
 # ---------------------------------------------------------------- pairs of words
 
 
+def in_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of numbers from zero on in the order of these, and the numbers there. Numbers sort faster
+    than places by number, so a place is put in lower bits."""
+    bits = len(keys).bit_length()
+    at, mask = np.arange(len(keys)).astype(keys.dtype), (1 << bits) - 1
+    if int(keys.max(initial=0)) < 1 << 63 - bits:
+        there = np.sort(keys << bits | at)
+        return (there & mask).astype(np.int64), there >> bits
+    order = (np.sort(keys >> bits << bits | at) & mask).astype(np.int64)
+    if (keys[order][1:] < keys[order][:-1]).any():  # the lower bits tell some apart
+        order = np.argsort(keys, kind="stable")
+    return order, keys[order]
+
+
 def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The different keys in order, a place of each, and which of them stands at each place."""
-    order = np.argsort(keys)
-    there = keys[order]
+    order, there = in_order(keys)
     new = np.ones(len(keys), bool)
     new[1:] = there[1:] != there[:-1]
     at = np.empty(len(keys), np.int64)
@@ -361,9 +425,8 @@ def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Pairs:
     """The tokens of a block's texts and its different pairs of words, in the order of their keys."""
 
-    def __init__(self, n: np.ndarray, codes: np.ndarray, words: bytes) -> None:
-        each = words.split(b" ") if words else []
-        self.words, self.width, self.hashes = each, len(each), digests(each)
+    def __init__(self, n: np.ndarray, codes: np.ndarray, words: list[bytes]) -> None:
+        self.words, self.width, self.hashes = words, len(words), digests(words)
         self.doc, before, after = chained(n, codes, self.width)
         self.keys, first, self.at = grouped(pair_keys(before, after, self.hashes))
         self.before, self.after = before[first], after[first]
@@ -371,7 +434,7 @@ class Pairs:
 
 def _pairs(row: pa.Table) -> Pairs:
     n, codes = (unpacked(row[c][0].as_py(), "<i4").astype(np.int64) for c in ("n", "codes"))
-    return Pairs(n, codes, row["words"][0].as_py())
+    return Pairs(n, codes, words_in(row["words"][0].as_py()))
 
 
 def pair_counts(held: DataFrame, parts: int) -> DataFrame:
@@ -411,10 +474,10 @@ def _counts(rows: pa.Table) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.int64), *(unpacked(x, "<i8") for x in rows["pairs"].to_pylist())])
 
 
-_SEATS = "block long, width int, ends array<long>, tables binary, contexts binary, before binary, after binary, c binary, keys binary, h binary, hashes binary"
+_SEATS = "block long, width int, sizes array<int>, ends array<long>, tables binary, contexts binary, before binary, after binary, c binary, keys binary, h binary, hashes binary"
 
 
-def seats(held: DataFrame, pairs: DataFrame, base: Broadcast) -> DataFrame:
+def seats(held: DataFrame, pairs: DataFrame, base: Broadcast, path: str) -> DataFrame:
     """What each block seats: the pairs of two customers and more, and how many tables its words, and what
     follows them, have from pairs of one; ``h`` is the base probability of the former's words."""
 
@@ -428,17 +491,17 @@ def seats(held: DataFrame, pairs: DataFrame, base: Broadcast) -> DataFrame:
         h = base.value([mine.words[i] if i < mine.width else b"" for i in each.tolist()]) if len(each) else np.zeros(0)
         of_context = mine.hashes[np.unique(mine.before[many])]
         arrays = [words[:-1].astype("<i4"), contexts[:-1].astype("<i4"), mine.before[many].astype("<i4"), mine.after[many].astype("<i4"), c[many] >> 1, mine.keys[many], h[at].astype("<f4"), of_context]
-        columns = [[row["block"][0].as_py()], [mine.width], [[int(words[-1]), int(contexts[-1])]], *([packed(x)] for x in arrays)]
+        columns = [[row["block"][0].as_py()], [mine.width], row["sizes"].to_pylist(), [[int(words[-1]), int(contexts[-1])]], *([packed(x)] for x in arrays)]
         return pa.table([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)
 
-    names, kinds = [x.split()[0] for x in _SEATS.split(", ")], [pa.int64(), pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 8]
-    rows = held.select("block", "n", "codes", "words")
-    return common.written(rows.groupBy("block").cogroup(pairs.groupBy("block")).applyInArrow(run, _SEATS), "seats")
+    names, kinds = [x.split()[0] for x in _SEATS.split(", ")], [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), *[pa.binary()] * 8]
+    rows = held.select("block", "n", "codes", "words", "sizes")
+    return common.rewritten(rows.groupBy("block").cogroup(pairs.groupBy("block")).applyInArrow(run, _SEATS), path)
 
 
 # ---------------------------------------------------------------- the corpus restaurant, by parts
 
-#: What a part sends a block about its words: places in the part and, at first, counts, or else for each
+#: What a part sends a block about its words: at first, places in the part and counts, later for each
 #: chain the customers less discounts and the tables of what follows. Row -1 of a part holds sums over its
 #: words and, at first, their base probabilities and counts.
 _REPLY = "part int, block long, place binary, c binary, rest array<binary>, tables array<binary>, h binary, sums array<double>"
@@ -455,7 +518,7 @@ def lexicon(held: DataFrame, base: Broadcast) -> DataFrame:
         for numbers, parts, sizes, words, trained in common.rows_of(batches):
             for row in zip(numbers, parts, sizes, words, trained, strict=True):
                 edges = np.cumsum([0, *row[2]])
-                each, n = row[3].split(b" "), unpacked(row[4], "<i4")
+                each, n = words_in(row[3]), unpacked(row[4], "<i4")
                 cut = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
                 columns = [row[1], [row[0]] * len(cut), [b" ".join(each[a:b]) for a, b in cut], [packed(n[a:b]) for a, b in cut]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part", "block", "words", "n"])
@@ -537,7 +600,8 @@ def pair_tables(c: np.ndarray, keys: np.ndarray, before: np.ndarray, p: np.ndarr
     """A draw of the tables of pairs of c customers: ``p`` is the parent's probability of their words,
     ``tables`` are the tables so far of the restaurants that ``before`` names, ``hashes`` the digests of
     those that it does name, in order."""
-    some, at = np.unique(before, return_inverse=True)
+    named = np.bincount(before) > 0
+    some, at = np.flatnonzero(named), (np.cumsum(named) - 1)[before]
     gamma = keyed_gamma(state["strength"] / state["d"] + np.maximum(tables[some], 1), keyed(hashes, draw, chain))
     return draw_tables(c, state["d"] * gamma[at] * p, state["d"], None, keyed(keys, draw, chain))
 
@@ -549,13 +613,13 @@ def _sums(rows: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def _joined(rows: list[bytes], dtype: str) -> np.ndarray:
-    return np.concatenate([np.zeros(0, dtype), *(unpacked(x, dtype) for x in rows)])
+def _joined(rows: list[bytes], dtype: str, read: Callable[[bytes, str], np.ndarray] = unpacked) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype), *(read(x, dtype) for x in rows)])
 
 
-def sweep(seating: DataFrame, replies: DataFrame, first: DataFrame, chains: list[Chain], draw: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+def sweep(seating: DataFrame, replies: DataFrame, first: DataFrame, chains: list[Chain], draw: int, paths: tuple[str, str]) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """Seats the customers of all words' restaurants, then those of the parent; also the sums of parts and of
-    blocks. Draw 0 gives each pair one table."""
+    blocks. Draw 0 gives each pair one table. ``paths`` take the two tables that a sweep writes."""
     states = [c.state() for c in chains] if draw else [None] * len(chains)
 
     def seat(row: pa.Table, answers: pa.Table) -> pa.Table:
@@ -563,36 +627,36 @@ def sweep(seating: DataFrame, replies: DataFrame, first: DataFrame, chains: list
             return pa.table([pa.array([], k) for k in kinds], names)
         answers = answers.take(pc.sort_indices(answers["part"]))
         get = lambda name, kind: unpacked(row[name][0].as_py(), kind)
-        places, width, block = answers["place"].to_pylist(), row["width"][0].as_py(), row["block"][0].as_py()
+        m, width, block = len(answers), row["width"][0].as_py(), row["block"][0].as_py()
         before, after, c, keys, h = get("before", "<i4"), get("after", "<i4"), get("c", "<i8"), get("keys", "<u8"), get("h", "<f4")
         once = [np.append(get(x, "<i4"), n).astype(np.int64) for x, n in zip(("tables", "contexts"), row["ends"][0].as_py(), strict=True)]
-        cuts = np.cumsum([len(unpacked(x, "<i4")) for x in places])[:-1] if places else []
+        cuts = np.cumsum(row["sizes"][0].as_py())[:-1] if m else []
         sent: list[list[list[bytes]]] = []
         sums: list[float] = []
         for k, state in enumerate(states):
             t = np.ones(len(c), np.int64)
             if state is not None:
-                rest = np.append(_joined([x[k] for x in answers["rest"].to_pylist()], "<f4").astype(float), state["end"])
+                rest = np.append(_joined([x[k] for x in answers["rest"].to_pylist()], "<f4", unindexed).astype(float), state["end"])
                 sofar = np.append(_joined([x[k] for x in answers["tables"].to_pylist()], "<i4").astype(np.int64), state["starts"])
                 p = predictive(rest[after], state["totals"], np.where(after == width, state["base"], h.astype(float)))
                 t = pair_tables(c, keys, before, p, sofar, get("hashes", "<u8"), state, draw, k)
             both = [x + np.bincount(at, t, minlength=width + 1).astype(np.int64) for x, at in zip(once, (after, before), strict=True)]
             sums += [float(both[0][-1]), float(both[1][-1]), *seat_counts(c, t)]
-            sent.append([[packed(x.astype("<i4")) for x in np.split(b[:-1], cuts)] if places else [] for b in both])
-        m = len(places)
+            sent.append([[packed(x.astype("<i4")) for x in np.split(b[:-1], cuts)] if m else [] for b in both])
         by_place = [list(zip(*(x[i] for x in sent), strict=True)) for i in (0, 1)]
-        columns = [[*answers["part"].to_pylist(), -1], [block] * (m + 1), [*places, b""], *([*map(list, x), []] for x in by_place), [*[[]] * m, sums]]
+        columns = [[*answers["part"].to_pylist(), -1], [block] * (m + 1), *([*map(list, x), []] for x in by_place), [*[[]] * m, sums]]
         return pa.table([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)
 
-    names, kinds = ["part", "block", "place", "words", "contexts", "sums"], [pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.float64())]
-    answers = replies.filter("block >= 0").select("block", "part", "place", "rest", "tables")
-    seated = seating.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(seat, "part int, block long, place binary, words array<binary>, contexts array<binary>, sums array<double>")
-    seated = common.written(seated, "seated")
+    names, kinds = ["part", "block", "words", "contexts", "sums"], [pa.int32(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.float64())]
+    answers = replies.filter("block >= 0").select("block", "part", "rest", "tables")
+    seated = seating.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(seat, "part int, block long, words array<binary>, contexts array<binary>, sums array<double>")
+    seated = common.rewritten(seated, paths[0])
     of_blocks = _sums(seated.filter("part = -1"), len(chains) * (2 + len(DISCOUNTS))).reshape(len(chains), -1)
     discounts, xs = [c.d() for c in chains], [c.x() for c in chains]
 
     def update(rows: pa.Table, state: pa.Table) -> pa.Table:
-        places = [unpacked(x, "<i4") for x in rows["place"].to_pylist()]
+        rows, state = (x.take(pc.sort_indices(x["block"])) for x in (rows, state))  # the state's first is of block -1
+        places = [unpacked(x, "<i4") for x in state["place"].to_pylist()[1:]]
         at, part, m = np.concatenate([np.zeros(0, np.int32), *places]), rows["part"][0].as_py(), len(places)
         h, customers = unpacked(state["h"][0].as_py(), "<f4").astype(float), unpacked(state["c"][0].as_py(), "<i8")
         words, contexts, sums = rows["words"].to_pylist(), rows["contexts"].to_pylist(), []
@@ -605,30 +669,37 @@ def sweep(seating: DataFrame, replies: DataFrame, first: DataFrame, chains: list
             left[seen] -= (d * t).astype("<f4")
             used = customers > 0
             sums += [float(c.sum()), float(t.sum()), *seat_counts(c[seen], t), *restaurants_grid(customers[used], tables[used]).ravel()]
-            replied.append([[packed(left[p]) for p in places], [packed(tables[p].astype("<i4")) for p in places]])
+            replied.append([[indexed(left[p]) for p in places], [packed(tables[p].astype("<i4")) for p in places]])
         by_place = [list(zip(*(x[i] for x in replied), strict=True)) for i in (0, 1)]
-        columns = [[part] * (m + 1), [*rows["block"].to_pylist(), -1], [*rows["place"].to_pylist(), b""], [b""] * (m + 1), *([*map(list, x), []] for x in by_place), [b""] * (m + 1), [*[[]] * m, sums]]
+        columns = [[part] * (m + 1), [*rows["block"].to_pylist(), -1], *[[b""] * (m + 1)] * 2, *([*map(list, x), []] for x in by_place), [b""] * (m + 1), [*[[]] * m, sums]]
         return pa.table([pa.array(x, k) for x, k in zip(columns, _KINDS, strict=True)], _NAMES)
 
-    state = first.filter("block = -1").select(F.col("part").alias("of"), "h", "c")
+    state = first.select(F.col("part").alias("of"), "block", "place", "h", F.when(F.col("block") < 0, F.col("c")).alias("c"))
     back = seated.filter("part >= 0").drop("sums").groupBy("part").cogroup(state.groupBy("of")).applyInArrow(update, _REPLY)
-    back = common.written(back, "replies")
+    back = common.rewritten(back, paths[1])
     return back, _sums(back.filter("block = -1"), len(chains) * _EACH).reshape(len(chains), -1), of_blocks
 
 
 def score(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
+    spark = docs.sparkSession
+    with common.freed(spark):
+        return _score(spark, docs)
+
+
+def _score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     held = blocks(docs, max(1, -(-size // PART)))
-    base = docs.sparkSession.sparkContext.broadcast(spelling(held))  # of fixed size
+    base = spark.sparkContext.broadcast(spelling(held))  # of fixed size
     first, pairs = lexicon(held, base), pair_counts(held, max(1, -(-size // PAIRS)))
-    seating = seats(held, pairs, base)
+    seats_at, seated_at, unkept_at = (common.place(spark, name) for name in ("seats", "seated", "replies"))
+    seating = seats(held, pairs, base, seats_at)
     texts = held.select(F.explode("held").alias("h")).filter("NOT h").count()
     types = _sums(first.filter("block = -1"), 1)[0]
     chains = [Chain(k, float(base.value([b""])[0]), texts) for k in range(CHAINS)]
     replies, kept, said = first, None, []
     for draw in range(BURN_IN + KEPT + 1):
-        replies, of_parts, of_blocks = sweep(seating, replies, first, chains, draw)
+        replies, of_parts, of_blocks = sweep(seating, replies, first, chains, draw, (seated_at, unkept_at if draw < BURN_IN else common.place(spark, "kept")))
         for chain, x, y in zip(chains, of_parts, of_blocks, strict=True):
             used = chain.state() if draw else None  # of the draw: what was known before it
             chain.resume(x, y)
@@ -639,6 +710,8 @@ def score(docs: DataFrame) -> DataFrame:
             kept = rows if kept is None else kept.union(rows)
             said.append([])
     said.pop()
+    for path in (seats_at, seated_at, unkept_at):  # nothing reads them any more
+        common.rewritten(spark.createDataFrame([], first.schema), path)
     words = first.filter("block >= 0").select("block", "part", F.lit(0).alias("kind"), "c", "rest", "tables")
     counted = pairs.select("block", F.col("slice").alias("part"), F.lit(-1).alias("kind"), F.col("pairs").alias("c"), F.array().cast("array<binary>").alias("rest"), F.array().cast("array<binary>").alias("tables"))
     answers = words.union(kept).union(counted)
@@ -658,18 +731,19 @@ def score(docs: DataFrame) -> DataFrame:
         h = base.value(pairs.words) if pairs.width else np.zeros(0)
         q, new = np.zeros(len(c)), np.append(counts == 0, False)
         before, after = pairs.before, pairs.after
+        named, of_past = pairs.hashes[np.flatnonzero(np.bincount(before[many]))], customers[before]
         for k in range(CHAINS):
-            rest, tables = ([_joined([x[k] for x in of[i][name].to_pylist()], dtype) for i in range(1, KEPT + 2)] for name, dtype in (("rest", "<f4"), ("tables", "<i4")))
+            rest, tables = ([_joined([x[k] for x in of[i][name].to_pylist()], dtype, read) for i in range(1, KEPT + 2)] for name, dtype, read in (("rest", "<f4", unindexed), ("tables", "<i4", unpacked)))
             for i, each in enumerate(said):
                 used, state = each[k]
                 p = predictive(np.append(rest[i].astype(float), used["end"])[after[many]], used["totals"], np.append(h.astype("<f4").astype(float), used["base"])[after[many]])
                 t = np.minimum(c, 1)
-                t[many] = pair_tables(c[many], pairs.keys[many], before[many], p, np.append(tables[i].astype(np.int64), used["starts"]), pairs.hashes[np.unique(before[many])], used, BURN_IN + 1 + i, k)
+                t[many] = pair_tables(c[many], pairs.keys[many], before[many], p, np.append(tables[i].astype(np.int64), used["starts"]), named, used, BURN_IN + 1 + i, k)
                 p = predictive(np.append(rest[i + 1].astype(float), state["end"]), state["totals"], np.append(h, state["base"]))
                 p[new] = predictive(np.array(0.0), state["totals"], 1.0)  # before its spelling
                 d, strength = used["d"], used["strength"]
                 share = strength + d * np.append(tables[i + 1].astype(np.int64), state["starts"])
-                q += (c - d * t + share[before] * p[after]) / (customers[before] + strength) / (len(said) * CHAINS)
+                q += (c - d * t + share[before] * p[after]) / (of_past + strength) / (len(said) * CHAINS)
         logs_q = np.log10(np.maximum(q, 1e-300))
         unseen = np.flatnonzero(counts == 0)
         if len(unseen):
@@ -704,17 +778,23 @@ def logs_of(n: np.ndarray, codes: np.ndarray, value: np.ndarray) -> np.ndarray:
     return np.bincount(np.repeat(np.arange(len(n)), n), value[codes], minlength=len(n))
 
 
-def _before(keys: np.ndarray, mark: np.ndarray | None = None) -> np.ndarray:
-    """For each place, how many places before it, with ``mark`` if given, have the same key."""
-    order = np.argsort(keys, kind="stable")
-    count = np.ones(len(keys), np.int64) if mark is None else mark[order].astype(np.int64)
-    up = np.cumsum(count) - count
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[order][1:] != keys[order][:-1]
-    first = np.flatnonzero(new)
-    out = np.empty(len(keys), np.int64)
-    out[order] = up - np.repeat(up[first], np.diff([*first, len(keys)]))
-    return out
+class Places:
+    """The places of equal keys, in order."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.order, there = in_order(keys)
+        new = np.ones(len(keys), bool)
+        new[1:] = there[1:] != there[:-1]
+        self.first = np.flatnonzero(new)
+        self.size = np.diff(self.first, append=len(keys))
+
+    def before(self, mark: np.ndarray | None = None) -> np.ndarray:
+        """For each place, how many places before it, with ``mark`` if given, have the same key."""
+        count = np.ones(len(self.order), np.int64) if mark is None else mark[self.order].astype(np.int64)
+        up = np.cumsum(count) - count
+        out = np.empty(len(self.order), np.int64)
+        out[self.order] = up - np.repeat(up[self.first], self.size)
+        return out
 
 
 def text_scores(n: np.ndarray, types: np.ndarray, log_p: np.ndarray, p_end: float | np.ndarray, document: tuple[float, float], context: tuple[float, float]) -> np.ndarray:
@@ -723,6 +803,13 @@ def text_scores(n: np.ndarray, types: np.ndarray, log_p: np.ndarray, p_end: floa
     ``log_p`` and ``p_end`` have what the corpus's seating gives each word and the end, given the word
     before, ``document`` and ``context`` the discounts and strengths of a text's own restaurant and of
     those of its words."""
+    starts, p_end = np.cumsum([0, *n]), np.broadcast_to(p_end, len(n))
+    cuts = [0, *(np.flatnonzero(np.diff(starts[1:] // SCORED)) + 1).tolist(), len(n)]
+    some = [(slice(a, b), slice(starts[a], starts[b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return np.concatenate([_some_scores(n[r], types[w], log_p[w], p_end[r], document, context) for r, w in some])
+
+
+def _some_scores(n: np.ndarray, types: np.ndarray, log_p: np.ndarray, p_end: np.ndarray, document: tuple[float, float], context: tuple[float, float]) -> np.ndarray:
     ends = np.cumsum(n)
     doc = np.repeat(np.arange(len(n)), n + 1)
     width = int(types.max(initial=0)) + 2
@@ -730,17 +817,17 @@ def text_scores(n: np.ndarray, types: np.ndarray, log_p: np.ndarray, p_end: floa
     past = np.roll(types, 1)
     past[ends - n + np.arange(len(n))] = width - 1  # nothing before: no word ever follows the end
     after = doc * width + past
-    _, pair = np.unique(after * width + types, return_inverse=True)
-    again = _before(pair)
+    again = Places(after * width + types).before()
     new = again == 0  # a customer of the document's restaurant
-    word = _before(doc * width + types, new)
-    guests, dishes = _before(doc, new), _before(doc, new & (word == 0))
+    word = Places(doc * width + types).before(new)
+    of_doc, of_past = Places(doc), Places(after)
+    guests, dishes = of_doc.before(new), of_doc.before(new & (word == 0))
     (d, a), (e, b) = document, context
     p = 10.0 ** np.maximum(log_p, -280)
     of_document = (np.where(word > 0, word - d, 0) + (a + d * dishes) * p) / (guests + a)
     plain = np.log10(np.where(word > 0, 1.0, (a + d * dishes) / (guests + a))) + log_p  # of a word the text lacks so far
-    all_after = _before(after)
-    share = (b + e * _before(after, new)) / (all_after + b)
+    all_after = of_past.before()
+    share = (b + e * of_past.before(new)) / (all_after + b)
     logs = np.where(word + again > 0, np.log10(np.where(again > 0, again - e, 0) / (all_after + b) + share * of_document), np.log10(share) + plain)
     return np.bincount(doc, logs, minlength=len(n))
 

@@ -7,6 +7,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -267,3 +268,27 @@ def test_grid_of_words_restaurants():
 def test_arrays_come_back():
     for x in (np.arange(1000, dtype=np.int32), np.array([], np.int32), np.array([-5, 1 << 40])):
         assert (lm_scoring.unpacked(lm_scoring.packed(x), x.dtype.str) == x).all()
+
+
+def test_tables_of_sweeps_and_shuffles_are_gone_when_texts_are_rated(spark, docs):
+    folder, local = (Path(x.removeprefix("file:")) for x in (lm_scoring.common.shared_folder(spark), spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath()))
+    before, shuffled = set(folder.iterdir()), set(local.rglob("shuffle_*.data"))
+    lm_scoring.score(docs)
+    left = {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before if spark.read.parquet(str(p)).count()}
+    assert left == {"blocks", "lexicon", "pairs", "kept"}
+    assert sum(p.stat().st_size for p in set(local.rglob("shuffle_*.data")) - shuffled) < 1 << 20
+
+
+def test_texts_are_scored_alike_in_parts(monkeypatch):
+    rng = np.random.default_rng(7)
+    n = np.array([0, 3, 0, 12, 5, 1, 0, 40, 2])
+    types, log_p = rng.integers(0, 5, n.sum()), np.log10(rng.random(n.sum()))
+    whole = lm_scoring.text_scores(n, types, log_p, 0.1, (0.4, 3.0), (0.7, 1.5))
+    for some in (1, 4, 15):
+        monkeypatch.setattr(lm_scoring, "SCORED", some)
+        assert lm_scoring.text_scores(n, types, log_p, 0.1, (0.4, 3.0), (0.7, 1.5)).tolist() == whole.tolist()
+
+
+def test_numbers_come_back_from_their_index():
+    for x in (np.repeat(np.array([0.5, 7.25, 3.0], np.float32), 100), np.array([], np.float32)):
+        assert (lm_scoring.unindexed(lm_scoring.indexed(x), "<f4") == x).all()
