@@ -7,7 +7,8 @@ stratum is left for it.
 
 Draws are not scans of a stratum: its entities are numbered, so a draw is a number, found by an
 equi-join. A round makes ``draws`` draws for each positive without a negative and keeps its first good
-one; of equal pairs the least ticket wins, and the others go on to the next round.
+one; of equal pairs the least ticket wins, and the others go on to the next round. Nearly all first draws
+are good, so the further ones of a round are made only for positives whose first one isn't.
 
 Those that all rounds leave (ends that are linked to most of their stratum) search its complement: what
 an end can't take are few intervals of numbers, those of its neighbours and of its cluster, whose
@@ -21,11 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgewright.functions.draws import below, ticket
-from edgewright.operators.ranges import checkpointed, quantiles, running
+from edgewright.operators.ranges import checkpointed, quantiles, running, scratch
 
 SEED, DRAWS, ROUNDS = 42, 16, 4
 #: How often a two-sided set redraws the end that it searches from, after all draws failed.
 ENDS = 16
+#: Positives of all seeds of a sweep that are served at once.
+SWEPT = 1 << 22
 #: The share of a set that one entity may stand in for before ``reuse`` says so.
 REUSE = 0.02
 
@@ -48,6 +51,7 @@ class _Sets:
 
     def __init__(self, positives: DataFrame, entities: DataFrame, seed: int, both: bool, exclude_cluster: bool, candidates: DataFrame | None) -> None:
         self.seed, self.both, self.cluster = seed, both, exclude_cluster
+        entities = checkpointed(entities)
         mine = entities.select("entity", "stratum", *(["cluster"] if exclude_cluster else []))
         self.pool = checkpointed(numbered(mine if candidates is None else mine.join(candidates.select("entity").distinct(), "entity", "left_semi")))
         self.sizes = checkpointed(self.pool.select("stratum", "size").distinct())
@@ -71,8 +75,8 @@ class _Sets:
         members = self.pool.select(F.col("stratum").alias(f"in_{out}"), F.col("number").alias("number"), F.col("entity").alias(out), *extra)
         return tries.withColumn("number", number.cast("long")).join(members.withColumn("number", F.col("number").cast("long")), [f"in_{out}", "number"]).drop("number")
 
-    def keep(self, drawn: DataFrame) -> bool:
-        """Takes each positive's first good try; whether there was one."""
+    def good(self, drawn: DataFrame) -> DataFrame:
+        """(of_a, of_b, p): each positive's first good try."""
         kept = F.when(F.col("keep_a"), F.col("a")).otherwise(F.col("b"))
         x, y = (F.col("u"), F.col("v")) if self.both else (kept, F.col("u"))
         fine = x != y if self.both else (F.col("u") != F.col("a")) & (F.col("u") != F.col("b"))
@@ -82,7 +86,10 @@ class _Sets:
         rows = rows.join(self.known.toDF("x", "y"), ["x", "y"], "left_anti")
         if self.made is not None:
             rows = rows.join(self.made.select("x", "y"), ["x", "y"], "left_anti")
-        first = rows.groupBy("of_a", "of_b").agg(F.min_by(F.struct("x", "y"), "try").alias("p"))
+        return rows.groupBy("of_a", "of_b").agg(F.min_by(F.struct("x", "y"), "try").alias("p"))
+
+    def keep(self, first: DataFrame) -> bool:
+        """Takes each positive's first good try, if no other has it; whether there was one."""
         won = first.groupBy("p").agg(F.min_by(F.struct("of_a", "of_b"), F.struct(ticket(self.seed, "of_a", "of_b"), "of_a", "of_b")).alias("o"))
         new = checkpointed(won.select("p.x", "p.y", "o.of_a", "o.of_b"))
         if new.isEmpty():
@@ -91,16 +98,23 @@ class _Sets:
         self.open = checkpointed(self.open.join(new.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")), ["a", "b"], "left_anti"))
         return True
 
+    def tries(self, ready: DataFrame, start: int, end: int, salt: str) -> DataFrame:
+        rows = ready.withColumn("try", F.explode(F.sequence(F.lit(start), F.lit(end - 1))))
+        for out in ("u", "v") if self.both else ("u",):
+            rows = self.member(rows, below(F.col(f"size_{out}"), self.seed, F.lit(f"{salt}{out} number"), "a", "b", "try"), out)
+        return rows
+
     def draw(self, rounds: int, draws: int, salt: str = "") -> None:
         for r in range(rounds):
             if self.open.isEmpty():
                 return
             ready = self.sized(self.open, F.col("stratum_a") if self.both else self.wanted(), "u")
             ready = self.sized(ready, F.col("stratum_b"), "v") if self.both else ready
-            tries = ready.withColumn("try", F.explode(F.sequence(F.lit(r * draws), F.lit((r + 1) * draws - 1))))
-            for out in ("u", "v") if self.both else ("u",):
-                tries = self.member(tries, below(F.col(f"size_{out}"), self.seed, F.lit(f"{salt}{out} number"), "a", "b", "try"), out)
-            self.keep(tries)
+            first = checkpointed(self.good(self.tries(ready, r * draws, r * draws + 1, salt)))
+            if draws > 1:
+                rest = ready.join(first.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")), ["a", "b"], "left_anti")
+                first = first.union(self.good(self.tries(rest, r * draws + 1, (r + 1) * draws, salt)))
+            self.keep(first)
 
     def neighbours(self, ends: DataFrame) -> DataFrame:
         """(x, entity): what ``ends`` (x) are linked to, by known pairs and by those made."""
@@ -140,7 +154,7 @@ class _Sets:
         while not self.open.isEmpty():
             kept = F.when(F.col("keep_a"), F.col("a")).otherwise(F.col("b")).alias("x")
             extra = [F.when(F.col("keep_a"), F.col("cluster_a")).otherwise(F.col("cluster_b")).alias("cluster_x")] if self.cluster else []
-            if not self.keep(self.complement(self.open.select("*", kept, self.wanted().alias("in_u"), *extra), salt)):
+            if not self.keep(self.good(self.complement(self.open.select("*", kept, self.wanted().alias("in_u"), *extra), salt))):
                 return
 
     def search_from_draws(self) -> None:
@@ -150,7 +164,7 @@ class _Sets:
                 return
             drawn = self.member(self.sized(self.open, F.col("stratum_a"), "u"), below(F.col("size_u"), self.seed, F.lit("end"), "a", "b", F.lit(r)), "u")
             asked = drawn.withColumnRenamed("u", "v").drop("in_u", "size_u").withColumn("x", F.col("v")).withColumn("in_u", F.col("stratum_b"))
-            self.keep(self.complement(asked, f"{r} "))
+            self.keep(self.good(self.complement(asked, f"{r} ")))
 
     def rows(self, name: str) -> DataFrame:
         made = self.made if self.made is not None else self.known.limit(0).select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("a").alias("of_a"), F.col("b").alias("of_b"))
@@ -222,7 +236,7 @@ def nearest(positives: DataFrame, entities: DataFrame, name: str, caliper: int |
     while not sets.open.isEmpty():
         kept = F.when(F.col("keep_a"), F.col("a")).otherwise(F.col("b")).alias("x")
         asked = _next_free(sets, sets.open.select("*", kept, sets.wanted().alias("wanted")), caliper)
-        if not sets.keep(sets.complement(asked, f"{r} ")):
+        if not sets.keep(sets.good(sets.complement(asked, f"{r} "))):
             break
         r += 1
     return sets.rows(name)
@@ -275,16 +289,24 @@ def reuse(negatives: DataFrame, positives: DataFrame) -> DataFrame:
     return most.join(q, "set_name").select("set_name", "decoys", "most", F.round(F.col("q")[0], 6).alias("median"), F.round(F.col("q")[1], 6).alias("p95"), F.round(F.col("most") / F.col("rows"), 6).alias("most_share"), (F.col("most") / F.col("rows") > REUSE).alias("over_reused"))
 
 
-def swept(positives: DataFrame, entities: DataFrame, name: str, seeds: list[int]) -> DataFrame:
-    """(seed, set_name, a, b, label, of_a, of_b): one set for each seed, all made at once.
+def swept(positives: DataFrame, entities: DataFrame, name: str, seeds: list[int], then=lambda made: made) -> DataFrame:
+    """``then`` of (seed, set_name, a, b, label, of_a, of_b): one set for each seed.
 
-    A seed is a part of every id and stratum, so the sets share rounds but no draw and no pair."""
+    A seed is a part of every id and stratum, so sets share rounds but no draw and no pair. As many seeds
+    are made at once as keep ``SWEPT`` positives; what their rounds leave on disk goes before the next ones."""
+    spark, positives, entities, out = positives.sparkSession, checkpointed(positives), checkpointed(entities), None
     own = lambda c: F.concat(F.col("seed"), F.lit("|"), F.lpad(F.col(c).cast("string"), 20, "0"))
-    many = F.explode(F.array(*[F.lit(str(s)) for s in seeds])).alias("seed")
     of_seed = F.element_at(F.create_map(*[x for i, s in enumerate(seeds) for x in (F.lit(str(s)), F.lit(i))]), F.col("seed"))
-    pairs = positives.select("*", many).select(own("a").alias("a"), own("b").alias("b"))
-    pool = entities.select("*", many).select(own("entity").alias("entity"), (F.col("stratum") * len(seeds) + of_seed).alias("stratum"))
-    made = matched(pairs, pool, name)
     kind = positives.schema["a"].dataType.simpleString()
     plain = lambda c: F.regexp_replace(F.substring_index(c, "|", -1), "^0+(?=.)", "").cast(kind).alias(c)
-    return made.select(F.substring_index("a", "|", 1).cast("int").alias("seed"), "set_name", plain("a"), plain("b"), "label", plain("of_a"), plain("of_b"))
+    many = max(1, SWEPT // max(1, positives.count()))
+    for start in range(0, len(seeds), many):
+        each = F.explode(F.array(*[F.lit(str(s)) for s in seeds[start : start + many]])).alias("seed")
+        with scratch(spark) as kept:
+            pairs = positives.select("*", each).select(own("a").alias("a"), own("b").alias("b"))
+            pool = entities.select("*", each).select(own("entity").alias("entity"), (F.col("stratum") * len(seeds) + of_seed).alias("stratum"))
+            made = matched(pairs, pool, name)
+            rows = then(made.select(F.substring_index("a", "|", 1).cast("int").alias("seed"), "set_name", plain("a"), plain("b"), "label", plain("of_a"), plain("of_b")))
+            block = kept(rows)
+        out = block if out is None else out.union(block)
+    return out

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a slice, about, and the most slices.
@@ -28,6 +30,35 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Checkpoints within it are deleted at its end, and shuffle files with the queries that made them, but
+    what the function that it gives is called with stays."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    if not spark.sparkContext.getCheckpointDir():
+        checkpointed(spark.range(0))
+    home, before = spark.sparkContext.getCheckpointDir().rsplit("/", 1)[0], spark.conf.get(key, None)  # Spark adds a folder of its own
+    spark.sparkContext.setCheckpointDir(f"{home}/scratch")
+    mine = [spark.sparkContext.getCheckpointDir()]
+    spark.conf.set(key, "true")
+
+    def kept(df: DataFrame) -> DataFrame:
+        spark.sparkContext.setCheckpointDir(home)
+        try:
+            return df.checkpoint()
+        finally:
+            spark.sparkContext.setCheckpointDir(f"{home}/scratch")
+            mine.append(spark.sparkContext.getCheckpointDir())
+
+    try:
+        yield kept
+    finally:
+        spark.sparkContext.setCheckpointDir(home)
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for path in map(spark._jvm.org.apache.hadoop.fs.Path, mine):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def running(df: DataFrame, group: list[str], by: str, sums: dict[str, Column] | None = None, least: dict[str, Column] | None = None, descending: bool = False) -> DataFrame:
     """``df`` with running sums, a row itself included, ``all_<name>``, each group's sum, and the minima
     over the rows before a row.

@@ -15,9 +15,9 @@ from edgewright.sources import tables as t
 SETS = {"N1": "random", "N2": "degree", "N5": "degree_length"}
 
 
-def _with_features(spark, sf_dir, rows):
+def _with_features(spark, sf_dir, rows, pairs):
     """``rows`` (a, b, ...) with a row for each representation: scalars of length, of degree, or of both."""
-    s = study_queries._scalars(spark, sf_dir)
+    s = study_queries._scalars(spark, sf_dir, pairs)
     x, y = (s.toDF(k, f"d_{k}", f"l_{k}") for k in ("a", "b"))
     length, degree = (list(vectors.scalar_features(F.col(f"{n}_a").cast("double"), F.col(f"{n}_b").cast("double"))) for n in ("l", "d"))
     kinds = F.array(*[F.struct(F.lit(n).alias("representation"), F.array(*c).alias("feat")) for n, c in (("both", length + degree), ("degree", degree), ("length", length))])
@@ -34,25 +34,26 @@ def _areas(rows, keys):
 @query("consistent_negatives")
 def consistent_negatives(spark, sf_dir):
     """R0 and R3 with each set of negatives on both sides, by three representations: eighteen models in one pass."""
-    pairs = t.part_pairs(spark, sf_dir).withColumn("label", F.lit(1))
+    plain = checkpointed(t.part_pairs(spark, sf_dir))
+    pairs, strata = plain.withColumn("label", F.lit(1)), {kind: split_queries.strata(spark, sf_dir, kind, plain) for kind in SETS.values()}
     pooled = splits.pools(t.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity"), F.col("p_brand").alias("grp")))
 
     def sets(positives, candidates):
-        made = [negatives.matched(positives, split_queries.strata(spark, sf_dir, kind), name, candidates=candidates) for name, kind in SETS.items()]
+        made = [negatives.matched(positives, strata[kind], name, candidates=candidates) for name, kind in SETS.items()]
         return made[0].union(made[1]).union(made[2])
 
     built = checkpointed(splits.datasets(pairs, pooled, sets))
     every = F.explode(F.array(*map(F.lit, SETS))).alias("set_name")
     rows = built.filter("set_name <> 'positives'").union(built.filter("set_name = 'positives'").drop("set_name").select("regime", every, "side", "a", "b", "label"))
-    return _areas(_with_features(spark, sf_dir, rows), ["regime", "set_name", "representation"])
+    return _areas(_with_features(spark, sf_dir, rows, plain), ["regime", "set_name", "representation"])
 
 
 @query("novelty_curve")
 def novelty_curve(spark, sf_dir):
     """Random negatives split as their positives are, over R0 to R3: the area of each regime and representation."""
     positives = checkpointed(t.part_pairs(spark, sf_dir))
-    made = negatives.matched(positives, split_queries.strata(spark, sf_dir, "random"), "N1").select("a", "b").withColumn("label", F.lit(0))
+    made = negatives.matched(positives, split_queries.strata(spark, sf_dir, "random", positives), "N1").select("a", "b").withColumn("label", F.lit(0))
     pairs = checkpointed(positives.withColumn("label", F.lit(1)).union(made))
     pooled = splits.pools(t.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity"), F.col("p_brand").alias("grp")))
     rows = splits.random_split(pairs).union(splits.novelty(pairs, pooled))
-    return _areas(_with_features(spark, sf_dir, rows), ["regime", "representation"])
+    return _areas(_with_features(spark, sf_dir, rows, positives), ["regime", "representation"])

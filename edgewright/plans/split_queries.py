@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from edgewright.functions.draws import ticket_sql, uniform, uniform_sql
 from edgewright.operators import audit, graph, negatives, splits, stats
+from edgewright.operators.ranges import checkpointed
 from edgewright.plans.audit_queries import CANONICAL_SQL
 from edgewright.plans.catalogue import query
 from edgewright.plans.graph_queries import DEGREE
@@ -119,12 +120,13 @@ def leakage_gates(spark, sf_dir):
 STRATUM = {"random": "0", "degree": "degree_decile", "length": "length_decile", "degree_length": "degree_decile * 10 + length_decile", "exact_degree": "degree"}
 
 
-def strata(spark, sf_dir, kind: str):
-    """(entity, stratum, cluster): parts by degree decile, length decile, both, exact degree, or neither."""
+def strata(spark, sf_dir, kind: str, pairs=None):
+    """(entity, stratum, cluster): parts by degree decile, length decile, both, exact degree, or neither;
+    ``pairs`` are the part pairs, where they are at hand."""
     parts = t.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity_id"), F.length(F.concat("p_name", "p_type")).alias("length"), "p_brand")
-    degree = graph.degrees(t.part_pairs(spark, sf_dir).withColumn("label", F.lit(1)))
+    degree = graph.degrees((t.part_pairs(spark, sf_dir) if pairs is None else pairs).withColumn("label", F.lit(1)))
     s = stats.entity_statistics(parts.drop("p_brand"), degree).join(parts.select("entity_id", "p_brand"), "entity_id")
-    return s.select(F.col("entity_id").alias("entity"), F.expr(STRATUM[kind]).cast("long").alias("stratum"), F.col("p_brand").alias("cluster"))
+    return checkpointed(s.select(F.col("entity_id").alias("entity"), F.expr(STRATUM[kind]).cast("long").alias("stratum"), F.col("p_brand").alias("cluster")))  # joined several times
 
 
 STRATA = f"""{DEGREE}, e AS (
@@ -139,7 +141,8 @@ CONTROL_SETS = {"N1_random": ("random", {}), "N2_degree": ("degree", {}), "N3_le
 
 def made(spark, sf_dir, name):
     kind, how = CONTROL_SETS[name]
-    return negatives.matched(t.part_pairs(spark, sf_dir), strata(spark, sf_dir, kind), name, **how)
+    pairs = checkpointed(t.part_pairs(spark, sf_dir))
+    return negatives.matched(pairs, strata(spark, sf_dir, kind, pairs), name, **how)
 
 
 def _wanted(name: str, kind: str) -> str:

@@ -108,18 +108,27 @@ SEEDS = list(range(1000, 1030))
 @query("seed_sweep", f"WITH {t.PART_PAIRS_SQL}, n AS (SELECT count(*) AS n FROM edges) SELECT seed::INTEGER AS seed, n, n AS different, 0::BIGINT AS known FROM n, range({SEEDS[0]}, {SEEDS[-1] + 1}) r(seed)")
 def seed_sweep(spark, sf_dir):
     """Degree-matched sets of thirty seeds: each serves every positive, and holds none twice."""
-    pairs = t.part_pairs(spark, sf_dir)
-    made = negatives.swept(pairs, split_queries.strata(spark, sf_dir, "degree"), "N2", SEEDS).join(pairs.withColumn("known", F.lit(1)), ["a", "b"], "left")
-    return made.groupBy("seed").agg(F.count("*").alias("n"), F.count_distinct("a", "b").alias("different"), F.count("known").alias("known"))
+    pairs = checkpointed(t.part_pairs(spark, sf_dir))
+
+    def counted(made):
+        known = made.join(pairs.withColumn("known", F.lit(1)), ["a", "b"], "left")
+        each = known.groupBy("seed", "a", "b").agg(F.count("*").alias("n"), F.count("known").alias("known"))
+        return each.groupBy("seed").agg(F.sum("n").alias("n"), F.count("*").alias("different"), F.sum("known").alias("known"))
+
+    return negatives.swept(pairs, split_queries.strata(spark, sf_dir, "degree", pairs), "N2", SEEDS, counted)
 
 
 @query("seed_sweep_summary")
 def seed_sweep_summary(spark, sf_dir):
     """Mean, deviation, least and greatest over seeds of the mean degree at ends of degree-matched sets."""
-    pairs = t.part_pairs(spark, sf_dir)
-    degree = graph.degrees(pairs.withColumn("label", F.lit(1))).select(F.col("node").alias("entity"), F.col("total_degree").alias("x"))
-    made = negatives.swept(pairs, split_queries.strata(spark, sf_dir, "degree"), "N2", SEEDS).select("seed", F.explode(F.array("a", "b")).alias("entity"))
-    each = made.join(degree, "entity", "left").groupBy("seed").agg(F.avg(F.coalesce("x", F.lit(0))).alias("m"))
+    pairs = checkpointed(t.part_pairs(spark, sf_dir))
+    degree = checkpointed(graph.degrees(pairs.withColumn("label", F.lit(1))).select(F.col("node").alias("entity"), F.col("total_degree").alias("x")))
+
+    def mean(made):
+        ends = made.select("seed", F.explode(F.array("a", "b")).alias("entity")).join(degree, "entity", "left")
+        return ends.groupBy("seed").agg(F.avg(F.coalesce("x", F.lit(0))).alias("m"))
+
+    each = negatives.swept(pairs, split_queries.strata(spark, sf_dir, "degree", pairs), "N2", SEEDS, mean)
     return each.agg(F.count("*").alias("seeds"), F.round(F.avg("m"), 6).alias("mean"), F.round(F.stddev_samp("m"), 6).alias("sd"), F.round(F.min("m"), 6).alias("low"), F.round(F.max("m"), 6).alias("high"))
 
 
@@ -131,11 +140,12 @@ def dataset_builders(spark, sf_dir):
 
 
 def _built(spark, sf_dir, regime):
-    pairs = t.part_pairs(spark, sf_dir).withColumn("label", F.lit(1))
+    pairs = checkpointed(t.part_pairs(spark, sf_dir)).withColumn("label", F.lit(1))
     pooled = splits.pools(t.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity"), F.col("p_brand").alias("grp")))
+    strata = {kind: split_queries.strata(spark, sf_dir, kind, pairs.select("a", "b")) for kind in ("degree", "degree_length")}
 
     def sets(positives, candidates):
-        n2, n5 = (negatives.matched(positives, split_queries.strata(spark, sf_dir, kind), name, candidates=candidates) for name, kind in (("N2", "degree"), ("N5", "degree_length")))
+        n2, n5 = (negatives.matched(positives, strata[kind], name, candidates=candidates) for name, kind in (("N2", "degree"), ("N5", "degree_length")))
         return n2.union(n5)
 
     return splits.datasets(pairs, pooled, sets, regimes=(regime,))
@@ -201,8 +211,8 @@ SELECT place, round(round(x.roc_auc, 6) - round(y.roc_auc, 6), 6) AS difference
 def unpaired_bootstrap_difference(spark, sf_dir):
     """Two scores in replicates that aren't the same ones: the other's are numbered from the last."""
     rows = inference_queries.scored(spark, sf_dir)
-    other = inference.bootstrap(rows.withColumn("p", 1 - F.col("p") * F.col("p")), REPLICATES).withColumn("replicate", -F.col("replicate"))
-    return inference.unpaired_difference(inference.bootstrap(rows, REPLICATES), other)
+    first, other = inference.bootstrap_pair(rows, rows.withColumn("p", 1 - F.col("p") * F.col("p")), REPLICATES)
+    return inference.unpaired_difference(first, other.withColumn("replicate", -F.col("replicate")))
 
 
 L2 = f"""l1 AS (SELECT component, {AUC} AS v FROM (SELECT *, rank() OVER (PARTITION BY component ORDER BY p) + (count(*) OVER (PARTITION BY component, p) - 1) / 2 AS r FROM rest) GROUP BY component),
@@ -337,9 +347,9 @@ def cross_validation(spark, sf_dir):
     return each.agg(F.count("*").alias("folds"), *(f(c).alias(f"{n}_{c}") for c in ("roc_auc", "pr_auc", "mcc", "f1") for n, f in (("mean", F.avg), ("sd", F.stddev_samp))))
 
 
-def _scalars(spark, sf_dir):
-    """(entity_id, degree, length) of every part."""
-    degree = graph.degrees(t.part_pairs(spark, sf_dir).withColumn("label", F.lit(1)))
+def _scalars(spark, sf_dir, pairs=None):
+    """(entity_id, degree, length) of every part; ``pairs`` are the part pairs, where they are at hand."""
+    degree = graph.degrees((t.part_pairs(spark, sf_dir) if pairs is None else pairs).withColumn("label", F.lit(1)))
     parts = t.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity_id"), F.length(F.concat("p_name", "p_type")).alias("length"))
     return checkpointed(stats.entity_statistics(parts, degree).select("entity_id", F.col("degree").cast("double").alias("degree"), F.col("length").cast("double").alias("length")))
 
@@ -347,11 +357,11 @@ def _scalars(spark, sf_dir):
 @query("negative_designs")
 def negative_designs(spark, sf_dir):
     """Models of degree and length, trained with each set of negatives and tested with each: the area."""
-    s = _scalars(spark, sf_dir)
     positives = checkpointed(t.part_pairs(spark, sf_dir))
+    s = _scalars(spark, sf_dir, positives)
     rows = None
     for name, kind in (("N1", "random"), ("N2", "degree"), ("N5", "degree_length")):
-        made = negatives.matched(positives, split_queries.strata(spark, sf_dir, kind), name).select("a", "b").withColumn("label", F.lit(0))
+        made = negatives.matched(positives, split_queries.strata(spark, sf_dir, kind, positives), name).select("a", "b").withColumn("label", F.lit(0))
         mine = positives.withColumn("label", F.lit(1)).union(made).withColumn("set_name", F.lit(name))
         rows = mine if rows is None else rows.union(mine)
     x, y = (s.toDF(k, f"d_{k}", f"l_{k}") for k in ("a", "b"))
@@ -365,8 +375,8 @@ def negative_designs(spark, sf_dir):
 @query("nested_features")
 def nested_features(spark, sf_dir):
     """Random negatives told apart by length, by degree, and by both: the area of each."""
-    s = _scalars(spark, sf_dir)
     positives = checkpointed(t.part_pairs(spark, sf_dir))
+    s = _scalars(spark, sf_dir, positives)
     made = negatives.matched(positives, split_queries.strata(spark, sf_dir, "random"), "N1").select("a", "b").withColumn("label", F.lit(0))
     x, y = (s.toDF(k, f"d_{k}", f"l_{k}") for k in ("a", "b"))
     rows = checkpointed(positives.withColumn("label", F.lit(1)).union(made).join(x, "a").join(y, "b").withColumn("test", uniform(42, "label", "a", "b") < 0.2))

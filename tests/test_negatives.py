@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,3 +102,20 @@ def test_reuse_is_told(spark):
     made = spark.createDataFrame(rows, "set_name string, a int, b int, label int, of_a int, of_b int")
     got = {r["set_name"]: r for r in negatives.reuse(made, made).collect()}
     assert got["s"]["over_reused"] and got["s"]["most"] == 29 and got["t"]["over_reused"] == (1 / 29 > negatives.REUSE)
+
+
+def test_first_draws_are_made_alone(spark, monkeypatch):
+    """Further draws are made for the positives whose first draw is bad, and blocks of seeds leave nothing behind."""
+    rng = random.Random(9)
+    positives = graph(rng, 60, 120)
+    pairs, entities = spark.createDataFrame(positives, "a int, b int"), spark.createDataFrame([(i, i % 2) for i in range(60)], "entity int, stratum int")
+    asked, plain = [], negatives._Sets.tries
+    monkeypatch.setattr(negatives._Sets, "tries", lambda self, ready, start, end, salt: (asked.append((end - start, ready.count())), plain(self, ready, start, end, salt))[1])
+    whole = sorted(tuple(r) for r in negatives.swept(pairs, entities, "set", [5, 6]).collect())
+    n = 2 * len(positives)
+    assert asked[0] == (1, n) and asked[1][0] == 15 and asked[1][1] < n / 2
+    monkeypatch.setattr(negatives, "SWEPT", 130)
+    home = spark.sparkContext.getCheckpointDir().rsplit("/", 1)[0]
+    assert sorted(tuple(r) for r in negatives.swept(pairs, entities, "set", [5, 6]).collect()) == whole and len(whole) == n
+    assert spark.sparkContext.getCheckpointDir().rsplit("/", 1)[0] == home
+    assert not list(Path(home.removeprefix("file:"), "scratch").iterdir())
